@@ -69,18 +69,39 @@ def carry_last(
     )
 
 
+def running_number(
+    df: DataFrame, group: Sequence[str], order: str, out: str, block_rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """Number the rows of each group 1..n by ``order``, an integer unique within the group."""
+    group = list(group)
+    blocked = df.withColumn("_block", F.floor(F.col(order) / F.lit(block_rows)))
+    inside = Window.partitionBy(*group, "_block").orderBy(order)
+    sizes = blocked.groupBy(*group, "_block").agg(F.count("*").alias("_size"))
+    earlier = Window.partitionBy(*group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*group, "_block", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_offset"))
+    numbered = blocked.withColumn("_nth", F.row_number().over(inside)).join(offsets, [*group, "_block"])
+    return numbered.select(*[F.col(c) for c in df.columns], (F.col("_offset") + F.col("_nth")).alias(out))
+
+
 def exact_median(
-    df: DataFrame, group: Sequence[str], value: str, out: str, bin_width: float, count_out: str = "value_count"
+    df: DataFrame,
+    group: Sequence[str],
+    value: str,
+    out: str,
+    bin_width: float | Column,
+    count_out: str = "value_count",
 ) -> DataFrame:
     """Exact median per group as a double, mean of the middle two.
 
     Equal values are counted together before the shuffle. A histogram of
-    ``bin_width`` then names the bin of each middle position, and only the
-    distinct values of those bins are ranked.
+    ``bin_width`` (a number, or a column that is constant per group) then names
+    the bin of each middle position, and only the distinct values of those bins
+    are ranked.
     """
     group = list(group)
+    width = bin_width if isinstance(bin_width, Column) else F.lit(bin_width)
     freq = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("_n"))
-    binned = freq.withColumn("_bin", F.floor(F.col(value) / F.lit(bin_width)))
+    binned = freq.withColumn("_bin", F.floor(F.col(value) / width))
     bins = binned.groupBy(*group, "_bin").agg(F.sum("_n").alias("_bin_n"))
     running = Window.partitionBy(*group).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*group)

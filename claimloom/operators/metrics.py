@@ -83,6 +83,27 @@ def _panel_rows(with_medians: bool, minimum_coverage: int | None) -> list[Column
     return rows
 
 
+def _with_medians(claims: DataFrame, totals: DataFrame, group: list[str]) -> DataFrame:
+    """Both medians from one frame of (group, measure, value)."""
+    keys = group or [SCOPE]
+    if not group:
+        claims, totals = claims.withColumn(SCOPE, F.lit(0)), totals.withColumn(SCOPE, F.lit(0))
+    gain = usable_amount("additional_rcv")
+    cycle = cycle_days(F.col("opened_at"), F.col("closed_at"))
+    measures = F.array(
+        F.struct(F.lit("gain").alias("measure"), gain.cast("decimal(38,10)").alias("value")),
+        F.struct(F.lit("cycle").alias("measure"), cycle.cast("decimal(38,10)").alias("value")),
+    )
+    width = F.when(F.col("measure") == "gain", F.lit(MONEY_BIN)).otherwise(F.lit(DAYS_BIN))
+    tall = claims.select(*keys, F.inline(measures))
+    medians = exact_median(tall, [*keys, "measure"], "value", "median", width)
+    wide = medians.groupBy(*keys).agg(
+        F.max(F.when(F.col("measure") == "gain", F.col("median"))).alias("gain_median"),
+        F.max(F.when(F.col("measure") == "cycle", F.col("median"))).alias("cycle_median"),
+    )
+    return totals.join(wide, keys, "left")
+
+
 def metric_panel(
     claims: DataFrame,
     group: Sequence[str] = (),
@@ -92,19 +113,8 @@ def metric_panel(
     """One row per metric (and group): value plus envelope."""
     group = list(group)
     totals = metric_totals(claims, group)
-    keys = group
     if with_medians:
-        source = claims.select(
-            *(group or [F.lit(0).alias(SCOPE)]),
-            usable_amount("additional_rcv").alias("gain"),
-            cycle_days(F.col("opened_at"), F.col("closed_at")).alias("cycle"),
-        )
-        keys = group or [SCOPE]
-        if not group:
-            totals = totals.withColumn(SCOPE, F.lit(0))
-        gains = exact_median(source, keys, "gain", "gain_median", MONEY_BIN).drop("value_count")
-        cycles = exact_median(source, keys, "cycle", "cycle_median", DAYS_BIN).drop("value_count")
-        totals = totals.join(gains, keys, "left").join(cycles, keys, "left")
+        totals = _with_medians(claims, totals, group)
     return totals.select(*group, F.inline(F.array(*_panel_rows(with_medians, minimum_coverage))))
 
 

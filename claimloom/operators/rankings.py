@@ -65,7 +65,7 @@ def contractor_totals(claims: DataFrame, contractors: DataFrame) -> DataFrame:
     totals = claims.groupBy("contractor_id").agg(
         F.count("*").alias("files"),
         F.count_if(is_closed()).alias("closed"),
-        F.coalesce(F.sum(gain), F.lit(0)).cast("decimal(28,2)").alias("recovered"),
+        F.coalesce(F.sum(gain), F.lit(0)).alias("recovered"),
         F.count(gain).alias("usable_count"),
     )
     return totals.join(contractors.withColumnRenamed("id", "contractor_id"), "contractor_id").withColumn(

@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.functions.numbers import additional_value, availability, decimal_amount
-from claimloom.schema import AMOUNT, MoneyColumn
+from claimloom.schema import MoneyColumn
+
+EXACT = "decimal(38,10)"
 
 
 def money_facts(rows: DataFrame, keep: Sequence[str], columns: Sequence[MoneyColumn], strict: bool = False) -> DataFrame:
@@ -53,7 +55,7 @@ def reconcile_strict(initial: Column, current: Column, source: Column) -> Column
     cent = F.lit("0.01").cast("decimal(3,2)")
     status = _status(missing, difference == 0, F.abs(difference) <= cent)
     return F.struct(
-        value.cast(AMOUNT).alias("value"), status.alias("status"), difference.cast(AMOUNT).alias("difference")
+        value.cast(EXACT).alias("value"), status.alias("status"), difference.cast(EXACT).alias("difference")
     )
 
 

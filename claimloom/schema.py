@@ -104,7 +104,8 @@ class SheetLayout:
     update_author: str = "User"
 
 
-AMOUNT = T.DecimalType(38, 10)
+# two digits below the widest decimal, so that two subtractions stay exact
+AMOUNT = T.DecimalType(36, 10)
 MONEY = T.DecimalType(18, 2)
 
 GRID = T.StructType(
@@ -217,12 +218,12 @@ TABLES = {
     ),
     "claim_financial_facts": (
         "claim_id string, normalized_metric_name string, import_job_id string, source_field_name string, "
-        "raw_value string, parsed_numeric_value decimal(38,10), source_availability_status string, source_sheet string, "
+        "raw_value string, parsed_numeric_value decimal(36,10), source_availability_status string, source_sheet string, "
         "source_row bigint, source_column bigint, transformation_version string"
     ),
     "claim_derived_metrics": (
         "claim_id string, metric_name string, metric_version string, import_job_id string, "
-        "calculated_value decimal(38,10), source_comparison_value decimal(38,10), reconciliation_status string, "
+        "calculated_value decimal(38,10), source_comparison_value decimal(36,10), reconciliation_status string, "
         "difference decimal(38,10), confidence string"
     ),
     "claim_updates": (

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimloom.functions.text import clean_text, norm_text
+from claimloom.operators.distributed import running_number
 from claimloom.schema import GRID
 
 SHEET = ["file_name", "sheet"]
@@ -82,26 +83,24 @@ def header_cells(grid: DataFrame, header_rows: DataFrame) -> DataFrame:
     )
 
 
-def _occurrence(group: Sequence[str]) -> Column:
-    # a header row is no wider than its sheet, so these windows stay small
-    return F.row_number().over(Window.partitionBy(*group, "raw").orderBy("position"))
-
-
 def positional_headers(cells: DataFrame, group: Sequence[str] = SHEET) -> DataFrame:
     """Internal names: a repeat gets its position, a blank header a placeholder."""
     placeholder = F.concat(F.lit("unnamed_column_"), F.col("position").cast("string"))
     named = cells.select(*group, "position", F.coalesce(clean_text(F.col("cell")), placeholder).alias("raw"))
+    first = named.groupBy(*group, "raw").agg(F.min("position").alias("_first"))
     suffixed = F.concat("raw", F.lit("__column_"), F.col("position").cast("string"))
-    return named.withColumn("internal", F.when(_occurrence(group) == 1, F.col("raw")).otherwise(suffixed))
+    internal = F.when(F.col("position") == F.col("_first"), F.col("raw")).otherwise(suffixed)
+    return named.join(first, [*group, "raw"]).select(*group, "position", "raw", internal.alias("internal"))
 
 
 def ordinal_headers(cells: DataFrame, group: Sequence[str] = SHEET) -> DataFrame:
     """The profiler's names: a repeat gets its running number."""
     placeholder = F.concat(F.lit("Unnamed_"), F.col("position").cast("string"))
     named = cells.select(*group, "position", F.coalesce(clean_text(F.col("cell")), placeholder).alias("raw"))
-    counted = named.withColumn("_nth", _occurrence(group))
+    counted = running_number(named, [*group, "raw"], "position", "_nth")
     suffixed = F.concat("raw", F.lit("__"), F.col("_nth").cast("string"))
-    return counted.withColumn("internal", F.when(F.col("_nth") == 1, F.col("raw")).otherwise(suffixed)).drop("_nth")
+    internal = F.when(F.col("_nth") == 1, F.col("raw")).otherwise(suffixed)
+    return counted.select(*group, "position", "raw", internal.alias("internal"))
 
 
 def repeated_headers(headers: DataFrame, group: Sequence[str] = SHEET) -> DataFrame:
