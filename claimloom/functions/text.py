@@ -11,6 +11,7 @@ from claimloom.schema import FINANCIAL_TERMS, SENSITIVE_TERMS
 
 # every character that counts as blank; plain trim() knows only the space
 BLANK = r"[\s\p{Z}\x0B\x1C-\x1F\x{85}]"
+NOT_BLANK = r"[^\s\p{Z}\x0B\x1C-\x1F\x{85}]"
 
 # fixed values: case foldings that turn one letter into plain a-z letters
 CASE_FOLDS = {

@@ -1,4 +1,4 @@
-"""Order statistics, fills and joins that keep no group in a single task.
+"""Order statistics, fills and numbering that keep no group in a single task.
 
 A window over one large group sorts that group in one task. The helpers here
 cut a group into blocks of bounded size, summarise the blocks (a small frame)
@@ -146,40 +146,16 @@ def global_position(df: DataFrame, order: Sequence[Column], out: str = "position
     return numbered.select(*[F.col(c) for c in df.columns], (F.col("_offset") + in_part + 1).alias(out))
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], share: int) -> DataFrame:
-    """Keys that hold more than 1/share of the rows: fewer than ``share`` of them."""
-    counts = df.where(_all_present(keys)).groupBy(*keys).agg(F.count("*").alias("_rows"))
-    total = counts.agg(F.sum("_rows")).scalar()
-    heavy = counts.where(F.col("_rows") * F.lit(share) > total)
-    salts = F.ceil(F.col("_rows") * F.lit(share) / total).cast("int")
-    return heavy.select(*keys, salts.alias("_salts"))
+def hold_if_small(df: DataFrame, max_rows: int = 1000) -> DataFrame:
+    """A small frame computed once and marked for broadcast; a larger one unchanged.
 
-
-def salted_join(
-    left: DataFrame,
-    right: DataFrame,
-    keys: Sequence[str],
-    how: str = "left",
-    share: int = 256,
-    spread: Sequence[str] | None = None,
-) -> DataFrame:
-    """Equi-join in which the hot keys of ``left`` are cut into salted pieces.
-
-    Only rows of a hot key are salted, and only their partners on the right are
-    repeated, once per salt. ``spread`` names the columns that decide the salt;
-    they must be deterministic (default: every column that is no map).
+    At most ``max_rows`` + 1 rows are read for the check. Beyond the limit the
+    frame is left as it is and takes part in an ordinary shuffled join.
     """
-    if how not in ("left", "inner", "left_semi", "left_anti"):
-        raise ValueError(f"unsupported join type {how}")
-    keys = list(keys)
-    # fewer than `share` rows by construction, so the broadcast is bounded
-    hot = F.broadcast(hot_keys(left, keys, share))
-    hashed = list(spread or [f.name for f in left.schema.fields if not f.dataType.simpleString().count("map<")])
-    salt = F.pmod(F.xxhash64(*hashed), F.coalesce(F.col("_salts"), F.lit(1))).cast("int")
-    salted_left = left.join(hot, keys, "left").withColumn("_salt", salt).drop("_salts")
-    copies = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))
-    salted_right = right.join(hot, keys, "left").withColumn("_salt", copies).drop("_salts")
-    return salted_left.join(salted_right, [*keys, "_salt"], how).drop("_salt")
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
 
 def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], limit: int) -> DataFrame:
@@ -190,10 +166,3 @@ def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column],
     """
     window = Window.partitionBy(*group).orderBy(*order)
     return df.withColumn("_rank", F.row_number().over(window)).where(F.col("_rank") <= limit)
-
-
-def _all_present(keys: Sequence[str]) -> Column:
-    present = F.lit(True)
-    for key in keys:
-        present = present & F.col(key).isNotNull()
-    return present

@@ -1,25 +1,28 @@
-"""Lookups between updates, claims, organizations and source rows."""
+"""Lookups between updates, claims, organizations and source rows.
+
+The looked-up side always has one row per key. A key that holds a large share
+of the other side makes one shuffle partition large; the session's adaptive
+skew join cuts such a partition into pieces, and a looked-up side below Spark's
+broadcast threshold is not shuffled at all.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.operators.distributed import salted_join
-
-POST = ["post_id"]
 
 
 def mark_matched(updates: DataFrame, claims: DataFrame, key: str = "item_id") -> DataFrame:
     """Flag updates whose item id is a known claim id; a missing id is unmatched."""
     known = claims.select(key).where(F.col(key).isNotNull()).distinct().withColumn("_known", F.lit(True))
-    marked = salted_join(updates, known, [key], "left", spread=POST)
+    marked = updates.join(known, key, "left")
     return marked.withColumn("matched", F.col("_known").isNotNull()).drop("_known")
 
 
 def lookup_claim(updates: DataFrame, claims: DataFrame, key: str = "item_id") -> DataFrame:
     """Add the claim id (NULL when unknown); ``claims`` has one row per item id."""
-    return salted_join(updates, claims.select(key, "claim_id"), [key], "left", spread=POST)
+    return updates.join(claims.select(key, "claim_id"), key, "left")
 
 
 def resolve_source_row(staged: DataFrame, worksheets: DataFrame, source_rows: DataFrame) -> DataFrame:
@@ -73,7 +76,7 @@ def reply_threads(posts: DataFrame) -> DataFrame:
     parents = posts.select(
         "item_id", F.col("post_id").alias("parent_post_id"), F.col("author").alias("parent_author")
     ).withColumn("_found", F.lit(True))
-    joined = salted_join(posts, parents, ["item_id", "parent_post_id"], "left", spread=POST)
+    joined = posts.join(parents, ["item_id", "parent_post_id"], "left")
     return joined.withColumn(
         "thread_role",
         F.when(F.col("parent_post_id").isNull(), "root").when(F.col("_found"), "reply").otherwise("orphan_reply"),
@@ -93,7 +96,7 @@ def duplicate_bodies(updates: DataFrame, fingerprint: str = "body_fingerprint")
 def mark_duplicate_bodies(updates: DataFrame, fingerprint: str = "body_fingerprint") -> DataFrame:
     """Flag updates whose body occurs more than once."""
     repeated = duplicate_bodies(updates, fingerprint).select(fingerprint, F.lit(True).alias("_repeated"))
-    marked = salted_join(updates, repeated, [fingerprint], "left", spread=POST)
+    marked = updates.join(repeated, fingerprint, "left")
     return marked.withColumn("duplicate_body", F.coalesce("_repeated", F.lit(False))).drop("_repeated")
 
 

@@ -31,20 +31,22 @@ def audit_row_class(item_id: Column, name: Column, label: str = SUBITEM_LABEL) -
     )
 
 
-def classify_rows(
-    rows: DataFrame,
-    item_id: Column,
-    name: Column,
+def with_row_class(rows: DataFrame, item_id: Column, name: Column) -> DataFrame:
+    """Add item id and class, both from the row itself."""
+    return rows.withColumn("source_item_id", clean_text(item_id)).withColumn("row_class", row_class(item_id, name))
+
+
+def with_parents(
+    classed: DataFrame,
     group: Sequence[str] = ("file_name", "sheet"),
     order: str = "physical_row",
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Add class, parent claim and, for details, the header row they stand under.
+    """Add the parent claim and, for details, the header row they stand under.
 
     The parent is the last claim at or above a row; a header counts only until
     the next claim starts.
     """
-    classed = rows.withColumn("source_item_id", clean_text(item_id)).withColumn("row_class", row_class(item_id, name))
     is_claim = F.col("row_class") == "claim"
     filled = carry_last(
         classed,

@@ -13,7 +13,7 @@ from claimloom.functions.text import body_fingerprint, clean_text, status_key
 from claimloom.operators.distributed import BLOCK_ROWS
 from claimloom.operators.joins import mark_duplicate_bodies, mark_matched
 from claimloom.operators.reconcile import reconcile_strict
-from claimloom.operators.rows import classify_rows
+from claimloom.operators.rows import with_parents, with_row_class
 from claimloom.schema import SheetLayout
 from claimloom.sources.grid import data_rows, header_cells, header_maps, named_rows, positional_headers
 
@@ -96,27 +96,25 @@ def parse_updates(update_rows: DataFrame, layout: SheetLayout) -> DataFrame:
     )
 
 
-def parse_import(
-    grid: DataFrame, header_rows: DataFrame, layout: SheetLayout, block_rows: int = BLOCK_ROWS
-) -> ParsedImport:
+def parse_import(grid: DataFrame, layout: SheetLayout, block_rows: int = BLOCK_ROWS) -> ParsedImport:
     """Parse the archive and update sheets of a grid.
 
-    ``header_rows`` has (sheet, header_row).
+    Only the subitem frames need the order of the rows; claims and updates are
+    read row by row.
     """
+    header_rows = layout.header_rows
     headers = positional_headers(header_cells(grid, header_rows))
     named = named_rows(data_rows(grid, header_rows), headers)
-    archive = classify_rows(
-        named.where(F.col("sheet") == layout.archive_sheet),
-        F.col("row")[layout.item_id],
-        F.col("row")[layout.name],
-        block_rows=block_rows,
+    archive = with_row_class(
+        named.where(F.col("sheet") == layout.archive_sheet), F.col("row")[layout.item_id], F.col("row")[layout.name]
     )
+    placed = with_parents(archive, block_rows=block_rows)
     update_rows = named.where(F.col("sheet") == layout.updates_sheet)
     claims = parse_claims(archive.where(F.col("row_class") == "claim"), layout)
     updates = mark_duplicate_bodies(mark_matched(parse_updates(update_rows, layout), claims))
 
     def subitems(kind: str, *extra: str) -> DataFrame:
-        return archive.where(F.col("row_class") == kind).select(
+        return placed.where(F.col("row_class") == kind).select(
             "file_name", "sheet", F.col("physical_row").alias("source_row"), "parent_item_id", *extra, "row"
         )
 

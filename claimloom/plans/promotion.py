@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from claimloom.functions.text import alias_key, natural_key, row_fingerprint, run_fingerprint
 from claimloom.operators.gate import start_job
 from claimloom.operators.issues import all_issues
-from claimloom.operators.joins import lookup_claim, resolve_source_row
+from claimloom.operators.joins import lookup_claim
 from claimloom.operators.merge import insert_if_absent, upsert
 from claimloom.plans.ingest import ParsedImport
 from claimloom.schema import (
@@ -258,10 +258,8 @@ def promote(tables: Tables, parsed: ParsedImport, job: ImportJob, layout: SheetL
     appended("source_rows", rows, ordered=False)
 
     def with_source_row(df: DataFrame) -> DataFrame:
-        placed = df.withColumn("physical_row", F.col("source_row"))
-        return resolve_source_row(placed, out["source_worksheets"], out["source_rows"]).drop(
-            "physical_row", "worksheet_id"
-        )
+        # the id follows from file, sheet and row number, so it needs no lookup
+        return df.withColumn("source_row_id", natural_key(worksheet, "source_row"))
 
     organizations = organization_rows(parsed.claims, "contractor").unionByName(
         organization_rows(parsed.claims, "carrier")

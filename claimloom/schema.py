@@ -103,6 +103,10 @@ class SheetLayout:
     update_created: str = "Created At"
     update_author: str = "User"
 
+    @property
+    def header_rows(self) -> dict[str, int]:
+        return {self.archive_sheet: self.archive_header_row, self.updates_sheet: self.updates_header_row}
+
 
 # two digits below the widest decimal, so that two subtractions stay exact
 AMOUNT = T.DecimalType(36, 10)

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.functions.text import clean_text, norm_text
-from claimloom.operators.distributed import running_number
+from claimloom.functions.text import NOT_BLANK, clean_text, norm_text
+from claimloom.operators.distributed import hold_if_small, running_number
 from claimloom.schema import GRID
 
 SHEET = ["file_name", "sheet"]
@@ -74,10 +74,20 @@ def shape_gate(grid: DataFrame, expected: DataFrame) -> DataFrame:
     )
 
 
-def header_cells(grid: DataFrame, header_rows: DataFrame) -> DataFrame:
-    """Header cells as (file, sheet, position from 1, cell); ``header_rows`` has (sheet, header_row)."""
-    # one small row per sheet kind; Spark decides on the broadcast by its size
-    heads = grid.join(header_rows, "sheet").where(F.col("physical_row") == F.col("header_row"))
+def _header_row(header_rows: Mapping[str, int]) -> Column:
+    """Header row number of a row's sheet; NULL for a sheet that is not listed."""
+    number = F.lit(None).cast("bigint")
+    for sheet, row in header_rows.items():
+        number = F.when(F.col("sheet") == sheet, F.lit(row)).otherwise(number)
+    return number
+
+
+def header_cells(grid: DataFrame, header_rows: Mapping[str, int]) -> DataFrame:
+    """Header cells as (file, sheet, position from 1, cell); ``header_rows`` maps sheet to row."""
+    wanted = F.lit(False)
+    for sheet, row in header_rows.items():
+        wanted = wanted | ((F.col("sheet") == sheet) & (F.col("physical_row") == row))
+    heads = grid.where(wanted)
     return heads.select(*SHEET, F.posexplode("cells").alias("_at", "cell")).select(
         *SHEET, (F.col("_at") + 1).cast("bigint").alias("position"), "cell"
     )
@@ -117,13 +127,14 @@ def header_maps(headers: DataFrame, group: Sequence[str] = SHEET) -> DataFrame:
     return headers.groupBy(*group).agg(F.array_sort(F.collect_list(entry)).alias("header_map"))
 
 
-def data_rows(grid: DataFrame, header_rows: DataFrame) -> DataFrame:
+def data_rows(grid: DataFrame, header_rows: Mapping[str, int]) -> DataFrame:
     """Rows below the header of their sheet."""
-    return grid.join(header_rows, "sheet").where(F.col("physical_row") > F.col("header_row")).drop("header_row")
+    return grid.where(F.col("physical_row") > _header_row(header_rows))
 
 
 def has_content(cells: str = "cells") -> Column:
-    return F.exists(cells, lambda cell: clean_text(cell).isNotNull())
+    """True when any cell holds a character that is not blank."""
+    return F.concat_ws("", cells).rlike(NOT_BLANK)
 
 
 def drop_blank_rows(rows: DataFrame) -> DataFrame:
@@ -133,7 +144,9 @@ def drop_blank_rows(rows: DataFrame) -> DataFrame:
 def named_rows(rows: DataFrame, headers: DataFrame) -> DataFrame:
     """Cells as a map from internal header name to cell, one map per row."""
     maps = header_maps(headers).select(*SHEET, F.col("header_map.internal").alias("_names"))
-    fitted = F.transform("_names", lambda _, i: F.get(F.col("cells"), i))
+    maps = hold_if_small(maps)
+    padded = F.transform("_names", lambda _, i: F.get(F.col("cells"), i))
+    fitted = F.when(F.size("cells") == F.size("_names"), F.col("cells")).otherwise(padded)
     return rows.join(maps, SHEET).withColumn("row", F.map_from_arrays("_names", fitted)).drop("_names")
 
 

@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from workload import kpi
+from workload import ingest, kpi
 
-ALL = {**kpi.QUERIES}
+ALL = {**kpi.QUERIES, **ingest.QUERIES}

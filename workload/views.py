@@ -185,12 +185,16 @@ quarters AS (SELECT DISTINCT CAST(year(o_orderdate) * 4 + quarter(o_orderdate) A
 
 
 def weather_events(spark: SparkSession) -> DataFrame:
-    schema = (
-        "id string, name string, kind string, occurred_at string, states array<string>, zip_prefixes array<string>, "
-        "severity string"
-    )
-    rows = [(*row[:4], list(row[4]), list(row[5]), row[6]) for row in WEATHER]
-    return spark.createDataFrame(rows, schema).withColumn("occurred_at", F.to_date("occurred_at"))
+    """The event catalogue: a fixed list, so Spark knows its size."""
+    entries = [
+        F.struct(
+            F.lit(w[0]).alias("id"), F.lit(w[1]).alias("name"), F.lit(w[2]).alias("kind"),
+            F.lit(w[3]).cast("date").alias("occurred_at"), F.array(*[F.lit(v) for v in w[4]]).alias("states"),
+            F.array(*[F.lit(v) for v in w[5]]).alias("zip_prefixes"), F.lit(w[6]).alias("severity"),
+        )
+        for w in WEATHER
+    ]
+    return spark.range(1).select(F.inline(F.array(*entries)))
 
 
 def _sql_list(values: tuple[str, ...]) -> str:
@@ -368,11 +372,6 @@ def grid(spark: SparkSession, sf: str) -> DataFrame:
     return both.select(F.lit(FILE).alias("file_name"), "sheet", "physical_row", "cells")
 
 
-def header_rows(spark: SparkSession) -> DataFrame:
-    rows = [(LAYOUT.archive_sheet, LAYOUT.archive_header_row), (LAYOUT.updates_sheet, LAYOUT.updates_header_row)]
-    return spark.createDataFrame(rows, "sheet string, header_row bigint")
-
-
 _NULLS = {c: "NULL" for c in ARCHIVE_COLUMNS}
 _STRIDE = "(SELECT coalesce(max(turn), 0) + 2 FROM conversations)"
 _CLAIM_SQL = {
