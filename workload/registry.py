@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from workload import ingest, kpi
+from workload import ingest, kpi, profiling
 
-ALL = {**kpi.QUERIES, **ingest.QUERIES}
+ALL = {**kpi.QUERIES, **ingest.QUERIES, **profiling.QUERIES}
