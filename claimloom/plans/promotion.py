@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from claimloom.functions.text import alias_key, natural_key, row_fingerprint, run_fingerprint
 from claimloom.operators.gate import start_job
@@ -54,7 +55,12 @@ class ImportJob:
 
 
 def empty_tables(spark: SparkSession) -> Tables:
-    return {name: spark.createDataFrame([], ddl) for name, ddl in TABLES.items()}
+    """Tables without rows; the optimizer knows that they are empty."""
+    tables = {}
+    for name, ddl in TABLES.items():
+        columns = [F.lit(None).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(ddl)]
+        tables[name] = spark.range(1).select(*columns).where(F.lit(False))
+    return tables
 
 
 def job_row(spark: SparkSession, job: ImportJob, source_rows: Column, updates: Column) -> DataFrame:

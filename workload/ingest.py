@@ -31,8 +31,15 @@ ARTIFACT = "ba7816bf8f01cfea414140de5dae2223b00361a396177a9cb410ff61f20015ad"
 BLOCK = 4096
 
 
+_PLANS: dict[tuple[str, str], ParsedImport] = {}
+
+
 def parsed(spark: SparkSession, sf: str) -> ParsedImport:
-    return parse_import(views.grid(spark, sf), LAYOUT, block_rows=BLOCK)
+    """The parse plan of one data folder, built once per application."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _PLANS:
+        _PLANS[key] = parse_import(views.grid(spark, sf), LAYOUT, block_rows=BLOCK)
+    return _PLANS[key]
 
 
 def _named(spark: SparkSession, sf: str, sheet: str) -> DataFrame:

@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from workload import ingest, kpi, profiling
+from workload import ingest, kpi, profiling, serving
 
-ALL = {**kpi.QUERIES, **ingest.QUERIES, **profiling.QUERIES}
+ALL = {**kpi.QUERIES, **ingest.QUERIES, **profiling.QUERIES, **serving.QUERIES}
