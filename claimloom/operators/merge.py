@@ -71,3 +71,17 @@ def changed_rows(before: DataFrame, after: DataFrame, keys: Sequence[str]) -> Da
 
     joined = hashed(before, "hash_before").join(hashed(after, "hash_after"), keys, "left")
     return joined.where(~F.col("hash_before").eqNullSafe(F.col("hash_after")))
+
+
+def row_differences(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Rows that one version has more often than the other, with the surplus.
+
+    Each version is read once: equal rows are counted with opposite signs.
+    """
+    columns = sorted(before.columns)
+
+    def signed(df: DataFrame, sign: int) -> DataFrame:
+        return df.select(F.sha2(F.to_json(F.struct(*columns)), 256).alias("row_hash"), F.lit(sign).alias("_sign"))
+
+    both = signed(before, -1).unionByName(signed(after, 1))
+    return both.groupBy("row_hash").agg(F.sum("_sign").alias("surplus")).where(F.col("surplus") != 0)

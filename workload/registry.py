@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from workload import ingest, kpi, profiling, serving
+from workload import ingest, kpi, lifecycle, profiling, serving
 
-ALL = {**kpi.QUERIES, **ingest.QUERIES, **profiling.QUERIES, **serving.QUERIES}
+ALL = {**kpi.QUERIES, **ingest.QUERIES, **profiling.QUERIES, **serving.QUERIES, **lifecycle.QUERIES}

@@ -67,10 +67,13 @@ def row_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def promoted_worksheets(spark: SparkSession, sf: str) -> DataFrame:
-    sheets = promoted(spark, sf)["source_worksheets"]
+    """Worksheets with their header names and stored rows."""
+    tables = promoted(spark, sf)
+    stored = tables["source_rows"].groupBy("worksheet_id").agg(F.count("*").alias("stored_rows"))
+    sheets = tables["source_worksheets"].join(stored, "worksheet_id")
     return sheets.select(
         "worksheet_id", "source_file_id", "file_name", "sheet", "worksheet_index", "header_row", "import_job_id",
-        F.array_join("header_map.internal", "|").alias("names"),
+        F.array_join("header_map.internal", "|").alias("names"), "stored_rows",
     )
 
 
@@ -110,10 +113,8 @@ def rerun_changes(spark: SparkSession, sf: str) -> DataFrame:
     second = promote(first, parsed(spark, sf), JOB, LAYOUT)
     changed = None
     for name in ("organizations", "people", "claims"):
-        added = second[name].exceptAll(first[name]).select(F.lit(name).alias("table"), F.lit("added").alias("change"))
-        gone = first[name].exceptAll(second[name]).select(F.lit(name).alias("table"), F.lit("removed").alias("change"))
-        both = added.unionByName(gone)
-        changed = both if changed is None else changed.unionByName(both)
+        part = merge.row_differences(first[name], second[name]).select(F.lit(name).alias("table"), "surplus")
+        changed = part if changed is None else changed.unionByName(part)
     return changed
 
 
@@ -432,13 +433,13 @@ QUERIES = {
     ),
     "promoted_worksheets": (
         promoted_worksheets,
-        f"""WITH {ARCHIVE}, w AS (SELECT * FROM (VALUES (0, 'archive', 5, '{"|".join(
+        f"""WITH {ARCHIVE},{POSTS}, w AS (SELECT * FROM (VALUES (0, 'archive', 5, '{"|".join(
             [n if n else "unnamed_column_21" for n in [*views.ARCHIVE_HEADERS[:16], "CH Update__column_17", *views.ARCHIVE_HEADERS[17:]]]
         )}'), (1, 'updates', 2, '{"|".join([*views.UPDATE_HEADERS[:7], "Content Type__column_8", "unnamed_column_9"])}'))
         v(i, sheet, header_row, names))
         SELECT sha256({_FILE_ID} || ':' || i) AS worksheet_id, {_FILE_ID} AS source_file_id, 'export' AS file_name, sheet,
-        CAST(i AS BIGINT) AS worksheet_index, CAST(header_row AS BIGINT) AS header_row, {_JOB_ID} AS import_job_id, names
-        FROM w WHERE (SELECT count(*) FROM archive) > 0""",
+        CAST(i AS BIGINT) AS worksheet_index, CAST(header_row AS BIGINT) AS header_row, {_JOB_ID} AS import_job_id, names,
+        CASE i WHEN 0 THEN (SELECT count(*) FROM archive) ELSE (SELECT count(*) FROM posts) END AS stored_rows FROM w""",
     ),
     "organizations": (
         organizations,
@@ -478,7 +479,7 @@ QUERIES = {
     ),
     "rerun_changes": (
         rerun_changes,
-        """SELECT CAST(o_orderkey AS VARCHAR) AS "table", CAST(o_orderkey AS VARCHAR) AS "change" FROM orders WHERE FALSE""",
+        """SELECT CAST(o_orderkey AS VARCHAR) AS "table", o_orderkey AS surplus FROM orders WHERE FALSE""",
     ),
     "keyed_upsert": (
         keyed_upsert,
