@@ -6,37 +6,35 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from claimloom.functions.text import BLANK, clean_text
-from claimloom.schema import MONTH_NAMES, SERIAL_DAY_RANGE, SERIAL_DAY_ZERO
+from claimloom.schema import SERIAL_DAY_RANGE, SERIAL_DAY_ZERO
 
 ISO_DAY = r"^\d{4}-\d{2}-\d{2}$"
 ISO_TIME = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{1,6})?$"
 SPACED_TIME = r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}$"
-NAMED_MONTH_TIME = r"^(\d{1,2}) ([A-Za-z]+) (\d{4}) (\d{1,2}):(\d{1,2})(?::(\d{1,2}))? ([AaPp][Mm])$"
+NAMED_MONTH_TIME = r"^\d{1,2} [A-Za-z]+ \d{4} \d{1,2}:\d{1,2}(:\d{1,2})? [AaPp][Mm]$"
+US_DAY = r"^\d{1,2}/\d{1,2}/\d{4}$"
 
 
 def _ntz(value: Column) -> Column:
     return value.try_cast("timestamp_ntz")
 
 
-def _part(text: Column, pattern: str, index: int) -> Column:
-    return F.regexp_extract(text, pattern, index)
+def _from_pattern(text: Column, pattern: str) -> Column:
+    """Text read with a datetime pattern as a naive timestamp, whatever the session's zone.
+
+    The text is read as UTC and its seconds are counted from a naive origin, so
+    no local clock change can move it.
+    """
+    instant = F.unix_seconds(F.try_to_timestamp(F.concat(text, F.lit(" +0000")), F.lit(f"{pattern} Z")))
+    origin = F.lit("1970-01-01").cast("timestamp_ntz")
+    day = F.floor(instant / F.lit(86400)).cast("int")
+    second = F.pmod(instant, F.lit(86400)).cast("int")
+    return F.timestamp_add("SECOND", second, F.timestamp_add("DAY", day, origin))
 
 
 def named_month_time(text: Column) -> Column:
     """``8 April 2025 08:16:10 PM`` as a naive timestamp; the seconds are optional."""
-    month = F.array_position(F.array(*[F.lit(m) for m in MONTH_NAMES]), F.lower(_part(text, NAMED_MONTH_TIME, 2)))
-    hour = _part(text, NAMED_MONTH_TIME, 4).try_cast("int")
-    hour24 = hour % 12 + F.when(F.lower(_part(text, NAMED_MONTH_TIME, 7)) == "pm", 12).otherwise(0)
-    seconds = F.coalesce(_part(text, NAMED_MONTH_TIME, 6).try_cast("int"), F.lit(0))
-    made = F.try_make_timestamp_ntz(
-        _part(text, NAMED_MONTH_TIME, 3).try_cast("int"),
-        month.cast("int"),
-        _part(text, NAMED_MONTH_TIME, 1).try_cast("int"),
-        hour24,
-        _part(text, NAMED_MONTH_TIME, 5).try_cast("int"),
-        seconds.cast("decimal(16,6)"),
-    )
-    return F.when(text.rlike(NAMED_MONTH_TIME) & hour.between(1, 12), made)
+    return _from_pattern(F.when(text.rlike(NAMED_MONTH_TIME), text), "d MMMM yyyy h:m[:s] a")
 
 
 def claim_date(raw: Column) -> Column:
@@ -86,18 +84,7 @@ def profile_date(value: Column, serial_numbers: bool = False) -> Column:
     text = clean_text(value)
     squeezed = F.regexp_replace(text, rf"{BLANK}+", " ")
     slashed = F.when(text.contains("/"), named_month_time(F.replace(squeezed, F.lit("/"), F.lit(" "))))
-    us_pattern = r"^(\d{1,2})/(\d{1,2})/(\d{4})$"
-    us_day = F.when(
-        text.rlike(us_pattern),
-        F.try_make_timestamp_ntz(
-            _part(text, us_pattern, 3).try_cast("int"),
-            _part(text, us_pattern, 1).try_cast("int"),
-            _part(text, us_pattern, 2).try_cast("int"),
-            F.lit(0),
-            F.lit(0),
-            F.lit(0).cast("decimal(16,6)"),
-        ),
-    )
+    us_day = _from_pattern(F.when(text.rlike(US_DAY), text), "M/d/yyyy")
     iso = F.when(
         text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$") | text.rlike(ISO_TIME) | squeezed.rlike(SPACED_TIME), _ntz(squeezed)
     )

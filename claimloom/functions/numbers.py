@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from claimloom.functions.text import BLANK, clean_text
+from claimloom.functions.text import clean_text, without
 from claimloom.schema import AMOUNT
 
 PLAIN_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
@@ -13,17 +13,16 @@ PLAIN_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 def decimal_amount(value: Column) -> Column:
     """Amount text without currency, percent, group marks and blanks; NULL when it is no number."""
-    stripped = F.regexp_replace(value.cast("string"), rf"[$,%]|{BLANK}", "")
-    return stripped.try_cast(AMOUNT)
+    return without(value, "$,%").try_cast(AMOUNT)
 
 
 def accounting_number(value: Column) -> Column:
     """Finite double; a value wrapped in parentheses is negative."""
     text = clean_text(value)
-    digits = F.regexp_replace(text, rf"[$,%()]|{BLANK}", "")
+    digits = without(value, "$,%()")
     number = F.when(digits.rlike(PLAIN_NUMBER), digits.try_cast("double"))
-    finite = F.when(F.abs(number) < float("inf"), number)
-    return F.when(text.rlike(r"(?s)^\(.*\)$"), -finite).otherwise(finite)
+    sign = F.when(text.startswith("(") & text.endswith(")"), -1.0).otherwise(1.0)
+    return F.nullif(F.nullif(number * sign, F.lit(float("inf"))), F.lit(float("-inf")))
 
 
 def availability(parsed: Column, raw: Column | None = None, strict: bool = False) -> Column:

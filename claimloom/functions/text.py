@@ -9,7 +9,11 @@ from pyspark.sql import functions as F
 
 from claimloom.schema import FINANCIAL_TERMS, SENSITIVE_TERMS
 
-# every character that counts as blank; plain trim() knows only the space
+# every character that counts as blank, as a list and as a pattern; plain trim() knows only the space
+BLANK_CHARACTERS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 BLANK = r"[\s\p{Z}\x0B\x1C-\x1F\x{85}]"
 NOT_BLANK = r"[^\s\p{Z}\x0B\x1C-\x1F\x{85}]"
 
@@ -22,9 +26,12 @@ CASE_FOLDS = {
 
 def clean_text(value: Column) -> Column:
     """Trim every kind of blank; an empty result becomes NULL."""
-    text = value.cast("string")
-    trimmed = F.regexp_replace(text, rf"^{BLANK}+|{BLANK}+$", "")
-    return F.nullif(trimmed, F.lit(""))
+    return F.nullif(F.btrim(value.cast("string"), F.lit(BLANK_CHARACTERS)), F.lit(""))
+
+
+def without(value: Column, characters: str) -> Column:
+    """The text less every blank and every one of ``characters``."""
+    return F.translate(value.cast("string"), characters + BLANK_CHARACTERS, "")
 
 
 def norm_text(value: Column) -> Column:

@@ -90,9 +90,12 @@ def exact_median(
     out: str,
     bin_width: float | Column,
     count_out: str = "value_count",
+    weight: str | None = None,
 ) -> DataFrame:
     """Exact median per group as a double, mean of the middle two.
 
+    ``weight`` names a column that says how often a row counts.
+
     Equal values are counted together before the shuffle. A histogram of
     ``bin_width`` (a number, or a column that is constant per group) then names
     the bin of each middle position, and only the distinct values of those bins
@@ -100,7 +103,11 @@ def exact_median(
     """
     group = list(group)
     width = bin_width if isinstance(bin_width, Column) else F.lit(bin_width)
-    freq = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("_n"))
+    present = F.col(value).isNotNull()
+    times = F.sum(F.when(present, F.col(weight))) if weight else F.count(value)
+    # the count leaves missing values out; a filter on the value itself would be
+    # pushed below the grouping and work the value out again for every row
+    freq = df.groupBy(*group, value).agg(times.alias("_n")).where(F.col("_n") > 0)
     binned = freq.withColumn("_bin", F.floor(F.col(value) / width))
     bins = binned.groupBy(*group, "_bin").agg(F.sum("_n").alias("_bin_n"))
     running = Window.partitionBy(*group).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)

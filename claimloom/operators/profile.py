@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.functions.dates import profile_date
+from claimloom.functions.dates import profile_date, serial_day
 from claimloom.functions.numbers import accounting_number
 from claimloom.functions.text import has_term, identity_key, norm_text, redact_example, sensitivity_class
 from claimloom.operators.distributed import exact_median, top_per_group
@@ -46,31 +46,33 @@ def value_counts(cells: DataFrame) -> DataFrame:
     )
 
 
+def _day_of(value: Column, cell_type: Column) -> Column:
+    """Date of a cell: any text format, or the serial number of a number cell."""
+    serial = F.when(cell_type == "number", serial_day(value.try_cast("double")))
+    return F.coalesce(profile_date(value), serial)
+
+
 def _parsed(counts: DataFrame, headers: DataFrame) -> DataFrame:
     header = F.col("header")
-    named = counts.join(headers.select(*COLUMN, F.col("internal").alias("header")), COLUMN)
-    filled = F.col("value") != ""
-    value = F.when(filled, F.col("value"))
-    number = F.when(F.col("cell_type") != "boolean", accounting_number(value))
-    day = F.coalesce(
-        profile_date(value), F.when(F.col("cell_type") == "number", profile_date(value, serial_numbers=True))
-    )
+    value = F.when(F.col("value") != "", F.col("value"))
     dated = has_term(header, DATE_TERMS)
     financial = has_term(header, FINANCIAL_TERMS)
+    named = counts.join(headers.select(*COLUMN, F.col("internal").alias("header")), COLUMN)
+    # each value is parsed only below a header that asks for it
+    parsed = named.select(
+        "*",
+        financial.alias("financial"),
+        F.when(financial & (F.col("cell_type") != "boolean"), accounting_number(value)).alias("number"),
+        F.when(dated, _day_of(value, F.col("cell_type"))).alias("day"),
+    )
     kind = (
-        F.when(~filled, F.lit(None).cast("string"))
+        F.when(F.col("value") == "", F.lit(None).cast("string"))
         .when(F.col("cell_type").isin("boolean", "date", "number"), F.col("cell_type"))
-        .when(dated & day.isNotNull(), "date_string")
-        .when(financial & number.isNotNull(), "numeric_text")
+        .when(F.col("day").isNotNull(), "date_string")
+        .when(F.col("number").isNotNull(), "numeric_text")
         .otherwise("text")
     )
-    return named.select(
-        "*",
-        kind.alias("kind"),
-        F.when(financial, number).alias("number"),
-        F.when(dated, day).alias("day"),
-        financial.alias("financial"),
-    )
+    return parsed.select("*", kind.alias("kind"))
 
 
 def _majority_kind() -> Column:
@@ -217,10 +219,8 @@ def money_stats(cells: DataFrame, claim_rows: DataFrame, headers: DataFrame) ->
         rows_where(filled & (F.col("cell_type") == "text")).alias("_texts"),
         rows_where(F.col("cell_type").isin("number", "boolean")).alias("_numbers"),
     )
-    amounts = cells.select(
-        *COLUMN, F.when(F.col("cell_type") != "boolean", accounting_number(F.col("value"))).alias("number")
-    )
-    medians = exact_median(amounts, COLUMN, "number", "median", MONEY_BIN).drop("value_count")
+    amounts = valued.select(*COLUMN, "number", "n")
+    medians = exact_median(amounts, COLUMN, "number", "median", MONEY_BIN, weight="n").drop("value_count")
     totals = claim_rows.groupBy(*SHEET).agg(F.count("*").alias("_rows"))
     form = (
         F.when((F.col("_texts") > 0) & (F.col("_numbers") > 0), "mixed")
@@ -304,11 +304,7 @@ def date_audit(cells: DataFrame, headers: DataFrame) -> DataFrame:
     """Parsed, invalid and extreme dates of every date column."""
     dated = headers.where(has_term(F.col("internal"), DATE_TERMS)).select(*COLUMN, F.col("internal").alias("header"))
     counts = value_counts(cells.where(F.col("value") != "")).join(dated, COLUMN)
-    day = F.coalesce(
-        profile_date(F.col("value")),
-        F.when(F.col("cell_type") == "number", profile_date(F.col("value"), serial_numbers=True)),
-    )
-    valued = counts.select("*", day.alias("day"))
+    valued = counts.select("*", _day_of(F.col("value"), F.col("cell_type")).alias("day"))
     n = F.col("n")
     stats = valued.groupBy(*COLUMN, "header").agg(
         F.sum(n).alias("nonblank_count"),

@@ -48,11 +48,7 @@ KEYWORD_FAMILIES = {
     "assignment": r"\bassign(?:ed|ment)?\b",
 }
 
-# --- fixed values: month names and calendar origin of serial dates ---------
-MONTH_NAMES = (
-    "january", "february", "march", "april", "may", "june",
-    "july", "august", "september", "october", "november", "december",
-)
+# --- fixed values: calendar origin and range of serial dates -----------------
 SERIAL_DAY_ZERO = "1899-12-30"
 SERIAL_DAY_RANGE = (1, 100000)
 

@@ -121,6 +121,11 @@ def repeated_headers(headers: DataFrame, group: Sequence[str] = SHEET) -> DataFr
     )
 
 
+def held_headers(headers: DataFrame, max_cells: int = 20_000) -> DataFrame:
+    """Header names computed once when there are few of them."""
+    return hold_if_small(headers, max_cells)
+
+
 def header_maps(headers: DataFrame, group: Sequence[str] = SHEET) -> DataFrame:
     """One row per sheet with its names in column order (at most one sheet width)."""
     entry = F.struct("position", "raw", "internal")

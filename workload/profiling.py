@@ -20,7 +20,7 @@ EVENT_HEADERS = ("Event ID", "Sent date", "Visitor", "Kind", "Fee amount", "Note
 def _sheet(spark: SparkSession, sf: str, sheet: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Non-blank rows, their cells and the profiler's header names of one sheet."""
     grid = views.grid(spark, sf).where(F.col("sheet") == sheet)
-    headers = grids.ordinal_headers(grids.header_cells(grid, LAYOUT.header_rows))
+    headers = grids.held_headers(grids.ordinal_headers(grids.header_cells(grid, LAYOUT.header_rows)))
     rows = grids.drop_blank_rows(grids.data_rows(grid, LAYOUT.header_rows))
     return rows, grids.unrolled_cells(rows), headers
 
