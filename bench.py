@@ -17,9 +17,8 @@ from claimloom.session import build_session  # noqa: E402
 from workload.registry import ALL  # noqa: E402
 
 HEADLINE = (
-    "kpi_panel", "kpi_panel_by_quarter", "carrier_scorecard", "contractor_ranking", "ageing", "update_frequency",
-    "executive_observations", "weather_rollup", "claim_page", "row_classes", "money_facts", "reconciliation",
-    "promoted_claims", "promoted_updates", "quality_issues", "import_summary", "claim_details", "column_profile",
+    "kpi_panel", "carrier_scorecard", "contractor_ranking", "ageing", "update_frequency", "executive_observations",
+    "weather_rollup", "claim_page", "row_classes", "reconciliation", "promoted_updates", "import_summary", "column_profile",
     "money_stats", "status_intervals", "invoice_balances", "payment_matches",
 )
 

@@ -108,7 +108,8 @@ def exact_median(
     # the count leaves missing values out; a filter on the value itself would be
     # pushed below the grouping and work the value out again for every row
     freq = df.groupBy(*group, value).agg(times.alias("_n")).where(F.col("_n") > 0)
-    binned = freq.withColumn("_bin", F.floor(F.col(value) / width))
+    # tied to the count, so that the join on the bin stays above the grouping as well
+    binned = freq.withColumn("_bin", F.when(F.col("_n") > 0, F.floor(F.col(value) / width)))
     bins = binned.groupBy(*group, "_bin").agg(F.sum("_n").alias("_bin_n"))
     running = Window.partitionBy(*group).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*group)
