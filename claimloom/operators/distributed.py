@@ -18,6 +18,11 @@ from claimloom.session import ensure_checkpoint_dir
 BLOCK_ROWS = 65_536
 
 
+def _block(order: str, rows: int) -> Column:
+    """Block number by whole division, exact for every 64-bit order number."""
+    return F.expr(f"`{order}` div {int(rows)}")
+
+
 def carry_last(
     df: DataFrame,
     group: Sequence[str],
@@ -35,7 +40,7 @@ def carry_last(
     values); ``backward=True`` looks from the end (a lead).
     """
     group = list(group)
-    block = F.floor(F.col(order) / F.lit(block_rows)).alias("_block")
+    block = _block(order, block_rows).alias("_block")
     named = df.select("*", block, *[value.alias(f"_v_{name}") for name, value in values.items()])
     direction = F.desc if backward else F.asc
 
@@ -74,7 +79,7 @@ def running_number(
 ) -> DataFrame:
     """Number the rows of each group 1..n by ``order``, an integer unique within the group."""
     group = list(group)
-    blocked = df.withColumn("_block", F.floor(F.col(order) / F.lit(block_rows)))
+    blocked = df.withColumn("_block", _block(order, block_rows))
     inside = Window.partitionBy(*group, "_block").orderBy(order)
     sizes = blocked.groupBy(*group, "_block").agg(F.count("*").alias("_size"))
     earlier = Window.partitionBy(*group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
