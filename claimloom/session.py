@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 
@@ -35,16 +33,10 @@ def build_session(app: str = "claimloom", master: str | None = None, **conf: str
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the folder named in ``spark.checkpoint.dir``.
 
-    Only a local-mode session without that setting gets a folder of its own; on
-    a cluster a machine-local folder would be lost with its executor, so there
-    the missing setting is an error.
+    Where the setting is missing, a folder below the warehouse takes its place,
+    which all executors of a cluster reach as well.
     """
     context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        named = tempfile.mkdtemp(prefix="claimloom-checkpoint-")
-    context.setCheckpointDir(named)
+    if context.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(named or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
