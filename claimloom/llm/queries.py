@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm import exact_dedup, mixture, quality, simhash
-from claimloom.llm.store import table
+from claimloom.llm import exact_dedup, mixture, quality, simhash, token_files, warc
+from claimloom.llm.store import shared_folder, table
 
 WEIGHTS = (5, 2, 1)
 MOST = 3.0
 MIX_SEED = 20
+END_ID = 2
 
 
 def op1_mixture(spark: SparkSession, sf: str) -> DataFrame:
@@ -60,6 +62,14 @@ FROM rates
 """
 
 
+def op2_token_files(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    found = token_files.encoded(spark, docs, public_tokenizers.path("byte_bpe_50k.json"), END_ID)
+    return found.select(
+        "doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")
+    )
+
+
 def op3_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     found = exact_dedup.duplicate_groups(table(spark, sf, "documents").select("doc_id", "text"))
     return found.select("doc_id", f"{found.columns[-1]}.*")
@@ -78,6 +88,33 @@ WINDOW best AS (PARTITION BY body ORDER BY code_points DESC, doc_id)
 """
 
 
+def op4_warc(spark: SparkSession, sf: str) -> DataFrame:
+    pages = table(spark, sf, "pages").select("page_id", "url", "html")
+    path = shared_folder(spark, "warc")
+    warc.write_archives(warc.record_plan(pages), path)
+    found = warc.read_archives(spark, path)
+    kind = pages.schema["page_id"].dataType
+    return found.select(
+        F.nullif("page_id", F.lit("")).cast(kind).alias("page_id"),
+        "payload_bytes", "payload_digest", "record_type",
+        F.col("refers_to").cast(kind).alias("refers_to"),
+    )
+
+
+OP4_SQL = """
+WITH payloads AS (
+  SELECT page_id, coalesce(html, '') AS html, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes
+  FROM pages
+), firsts AS (
+  SELECT *, sha256(html) AS payload_digest, min(page_id) OVER (PARTITION BY html) AS first_id FROM payloads
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id IS DISTINCT FROM first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
+FROM firsts
+"""
+
+
 def op6_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_classes(table(spark, sf, "documents").select("doc_id", "text"))
 
@@ -128,7 +165,9 @@ FROM failed
 
 QUERIES = {
     "op1_mixture": (op1_mixture, OP1_SQL),
+    "op2_token_files": (op2_token_files, None),
     "op3_exact_dedup": (op3_exact_dedup, OP3_SQL),
+    "op4_warc": (op4_warc, OP4_SQL),
     "op6_simhash": (op6_simhash, None),
     "op10_quality": (op10_quality, OP10_SQL),
 }
