@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm import exact_dedup, mixture, quality, simhash, token_files, warc
-from claimloom.llm.store import shared_folder, table
+from claimloom.llm import exact_dedup, language, mixture, pieces, quality, simhash, token_files, toxicity, warc
+from claimloom.llm.store import crc32_of, shared_folder, table
 
 WEIGHTS = (5, 2, 1)
 MOST = 3.0
@@ -115,10 +115,34 @@ FROM firsts
 """
 
 
+def op5_language(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    model = language.fit(docs.where(crc32_of() % 3 != 1))
+    found = language.identified(docs, model)
+    return found.select("doc_id", (crc32_of() % 3 == 1).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def op6_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_classes(table(spark, sf, "documents").select("doc_id", "text"))
 
 
+def op8_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs.where(crc32_of() % 3 != 1), table(spark, sf, "labels"))
+    found = toxicity.scored(docs, model)
+    result = found.columns[-1]
+    return found.select("doc_id", (crc32_of() % 3 == 1).alias("held_out"), f"{result}.score", f"{result}.predicted")
+
+
+def op9_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    found = pieces.encoded(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return found.select(
+        "doc_id", F.size("ids").cast("long").alias("n_ids"), F.crc32(F.array_join("ids", ",").cast("binary")).alias("ids_crc32"),
+        "score", "restored",
+    )
+
+
 def op10_quality(spark: SparkSession, sf: str) -> DataFrame:
     rows = quality.judged(quality.ledger(table(spark, sf, "documents")), "v1")
     base = F.lit(quality.mask_of("base")).cast("long")
@@ -168,6 +192,9 @@ QUERIES = {
     "op2_token_files": (op2_token_files, None),
     "op3_exact_dedup": (op3_exact_dedup, OP3_SQL),
     "op4_warc": (op4_warc, OP4_SQL),
+    "op5_language": (op5_language, None),
     "op6_simhash": (op6_simhash, None),
+    "op8_toxicity": (op8_toxicity, None),
+    "op9_pieces": (op9_pieces, None),
     "op10_quality": (op10_quality, OP10_SQL),
 }
