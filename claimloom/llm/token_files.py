@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -31,89 +32,131 @@ MAGIC = b"TIDS"
 # magic, payload bytes, first id's position, documents, ids
 _HEADER = "<4sQQQQ"
 
-# a blank between two characters that are no white space always begins a new pre-token
-_CUT = re.compile(r"(?<=\S) (?=\S)")
-_DOUBLE = re.compile(r"\s\s")
 _SPECIAL = "<|"
 
 
 # --- tokenizing ----------------------------------------------------------------
 
 
+class _Codes(dict):
+    """piece -> number, given out as pieces turn up; ``new`` collects those."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        code = self[piece] = len(self)
+        self.new.append(piece)
+        return code
+
+
 class Encoder:
     """Ids of texts; equal pieces of text are encoded once, many together.
 
-    The vocabulary splits a text before every single blank that stands between
-    other characters, so the ids of a text are the ids of those pieces in a row.
+    The vocabulary's own pre-tokenizer begins a new token before a blank and
+    around a line feed that stand alone between other characters, so the ids of
+    a text are the ids of the pieces between them in a row. A text with other
+    white space, or with the marks of special tokens, is encoded whole.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.break_id = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.known: dict[str, int] = {}
+        self.alphabet = byte_alphabet()
+        self.forget()
+
+    def forget(self) -> None:
+        self.codes = _Codes()
+        self.tokens: dict[str, tuple[int, ...]] = {}
         self.starts = np.zeros(1, dtype=np.int64)
         self.ids = np.zeros(0, dtype=np.uint32)
+        self.whole = np.zeros(0, dtype=bool)
 
     @staticmethod
     def pieces(text: str) -> list[str]:
-        if _DOUBLE.search(text) is not None or text[:1].isspace() or text[-1:].isspace():
-            first, *rest = _CUT.split(text)
-            return [first, *[" " + piece for piece in rest]]
-        # every blank and line feed stands alone between other characters
-        out: list[str] = []
-        for line in text.split("\n"):
-            first, *rest = line.split(" ")
-            out.append(first)
-            out += [" " + piece for piece in rest]
-            out.append("\n")
-        return out[:-1]
-
-    def _learn(self, new: list[str]) -> None:
-        """Pieces without line feeds are joined by line feeds, which are pre-tokens of their own."""
-        odd = [p for p in new if _SPACED.search(p)]
-        plain = [p for p in new if not _SPACED.search(p)] if odd else new
-        parts, sizes, order = [self.ids], [], []
-        for at in range(0, len(plain), 5000):
-            some = plain[at : at + 5000]
-            ids = np.array(self.tokenizer.encode("\n".join(some), add_special_tokens=False).ids, dtype=np.uint32)
-            cuts = np.flatnonzero(ids == self.break_id[0])
-            if len(cuts) != len(some) - 1:
-                odd = some + odd
-                continue
-            sizes.append(np.diff(np.concatenate(([-1], cuts, [len(ids)]))) - 1)
-            parts.append(np.delete(ids, cuts))
-            order += some
-        for some in odd:
-            ids = self.tokenizer.encode(some, add_special_tokens=False).ids
-            sizes.append(np.array([len(ids)], dtype=np.int64))
-            parts.append(np.array(ids, dtype=np.uint32))
-            order.append(some)
-        base = len(self.starts) - 1
-        self.known.update(zip(order, range(base, base + len(order))))
-        ends = self.starts[-1] + np.cumsum(np.concatenate(sizes))
-        self.starts = np.concatenate((self.starts, ends))
-        self.ids = np.concatenate(parts)
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in a row, and how many each text has."""
-        if len(self.known) > MEMO:
-            self.known, self.starts, self.ids = {}, self.starts[:1], self.ids[:0]
-        cut = [self.pieces(t) if t and _SPECIAL not in t else [t] if t else [] for t in texts]
-        new = {p for ps in cut for p in ps if p not in self.known}
-        if new:
-            self._learn(sorted(new))
-        known = self.known
-        codes = np.array([known[p] for ps in cut for p in ps], dtype=np.int64)
+        return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+
+    def _ids(self, token: str) -> tuple[int, ...]:
+        """Ids of one pre-token, which is plain text."""
+        own = self.tokens.get(token)
+        if own is None:
+            spelled = token.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.alphabet)
+            own = self.tokens[token] = tuple([t.id for t in self.tokenizer.model.tokenize(spelled)])
+        return own
+
+    def _learn(self) -> None:
+        """Ids of the new pieces: letters and marks are split here, all else by the tokenizer."""
+        new, self.codes.new = self.codes.new, []
+        ids: list[int] = []
+        sizes: list[int] = []
+        odd = np.zeros(len(new), dtype=bool)
+        simple, known, own_ids = _SIMPLE.fullmatch, self.tokens.get, self._ids
+        for k, piece in enumerate(new):
+            before = len(ids)
+            plain = simple(piece)
+            if plain is not None:
+                letters, marks = plain.groups()
+                ids += known(letters) or own_ids(letters)
+                if marks:
+                    ids += known(marks) or own_ids(marks)
+            elif piece != "\n" and (not piece.strip() or _INNER.search(piece) is not None):
+                odd[k] = True
+            else:
+                ids += self.tokenizer.encode(piece, add_special_tokens=False).ids
+            sizes.append(len(ids) - before)
+        self.whole = np.concatenate((self.whole, odd))
+        self.starts = np.concatenate((self.starts, self.starts[-1] + np.cumsum(np.array(sizes, dtype=np.int64))))
+        self.ids = np.concatenate((self.ids, np.array(ids, dtype=np.uint32)))
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in a row, and how many each text has; a missing text has none."""
+        if len(self.codes) > MEMO:
+            self.forget()
+        flat: list[str] = []
+        edges = [0]
+        apart = []
+        for k, text in enumerate(texts):
+            if text:
+                if "\0" in text or _SPECIAL in text:
+                    apart.append(k)
+                else:
+                    flat += self.pieces(text)
+            edges.append(len(flat))
+        codes = np.fromiter(map(self.codes.__getitem__, flat), dtype=np.int64, count=len(flat))
+        if self.codes.new:
+            self._learn()
+        cuts = np.array(edges)
+        odd = np.flatnonzero(self.whole[codes])
+        if odd.size:
+            apart = sorted({*apart, *(np.searchsorted(cuts, odd, side="right") - 1).tolist()})
         lengths = self.starts[codes + 1] - self.starts[codes]
         total = np.cumsum(lengths)
-        flat = np.arange(total[-1] if total.size else 0) + np.repeat(self.starts[codes] - (total - lengths), lengths)
-        edges = np.concatenate(([0], total))[np.cumsum([0] + [len(ps) for ps in cut])]
-        return self.ids[flat], np.diff(edges)
+        places = np.arange(total[-1] if total.size else 0) + np.repeat(self.starts[codes] - (total - lengths), lengths)
+        ends = np.concatenate(([0], total))[cuts]
+        ids, counts = self.ids[places], np.diff(ends)
+        if not apart:
+            return ids, counts
+        parts, at = [], 0
+        for k in apart:
+            own = np.array(self.tokenizer.encode(texts[k], add_special_tokens=False).ids, dtype=np.uint32)
+            parts += [ids[at : ends[k]], own]
+            at, counts[k] = ends[k + 1], len(own)
+        return np.concatenate([*parts, ids[at:]]), counts
+
+
+# white space after the first character, or at its place if it is no blank
+_INNER = re.compile(r"(?<=.)\s|^[^\S ]", re.DOTALL)
+# Latin letters after a blank or none, and then marks that make one pre-token
+_SIMPLE = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?|]*)")
 
 
-_SPACED = re.compile(r"(?<!^)\s|^[^\S ]|\s$")
+def byte_alphabet() -> dict[int, str]:
+    """The letter of each byte in byte-level vocabularies: printable Latin-1 stands for itself, the rest is counted on from U+0100."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = [b for b in range(256) if b not in plain]
+    return {**{b: chr(b) for b in plain}, **{b: chr(0x100 + n) for n, b in enumerate(rest)}}
 
 
 def token_blocks(docs: DataFrame, vocabulary: str, end_id: int, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -147,17 +190,17 @@ def token_blocks(docs: DataFrame, vocabulary: str, end_id: int, shard_bytes: int
             return out
 
         for batch in batches:
-            names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            sizes = [len(t or "") for t in texts]
+            sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
             at = 0
-            while at < len(texts):
+            while at < len(sizes):
                 upto, held = at, 0
-                while upto < len(texts) and (held == 0 or held + sizes[upto] <= 2 * BLOCK_IDS):
+                while upto < len(sizes) and (held == 0 or held + sizes[upto] <= 2 * BLOCK_IDS):
                     held += sizes[upto] + 1
                     upto += 1
-                ids, counts = encoder.encode(texts[at:upto])
+                part = batch.slice(at, upto - at)
+                ids, counts = encoder.encode(part.column(1).to_pylist())
                 ids = np.insert(ids, np.cumsum(counts), end_id)
-                yield emit(names[at:upto], counts + 1, ids)
+                yield emit(part.column(0).to_pylist(), counts + 1, ids)
                 at = upto
 
     return stored(
