@@ -10,6 +10,7 @@ jumping, so a file of n records takes about log2(n) rounds.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 from collections.abc import Iterator
@@ -29,38 +30,42 @@ _START = re.compile(rb"WARC/1\.[01]\r\n")
 _FIELD = re.compile(rb"([!-9;-~]+):[ \t]*([^\r\n]*)\r\n")
 
 
-def record_plan(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+def record_plan(
+    pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", shard_bytes: int = SHARD_BYTES
+) -> DataFrame:
     """(page_id, url, html, payload_bytes, payload_digest, record_type, refers_to) for every row of ``pages``.
 
     A missing payload is empty. Of equal payloads of ``REVISIT_FROM`` bytes or
     more the smallest page_id is the response; rows that repeat it are responses
-    as well. A missing page_id is never the first while another id is there.
+    as well, and so are rows without a page_id. Groups of equal payloads are
+    found on digests alone; pages move once, dealt into shards of about
+    ``shard_bytes`` payload.
     """
     body = F.coalesce(F.col(html), F.lit(""))
+    size, digest = F.octet_length(body).cast("long"), F.sha2(body.cast("binary"), 256)
+    number = shards(pages.sparkSession, pages.agg(F.sum(size + 500)).first()[0], shard_bytes)
+    named = pages.where(F.col(page_id).isNotNull() & (size >= REVISIT_FROM)).select(
+        F.col(page_id).alias("page_id"), digest.alias("payload_digest")
+    )
+    firsts = named.groupBy("payload_digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("_n")).where("_n > 1")
+    again = named.join(firsts.drop("_n"), "payload_digest").where("page_id <> refers_to").distinct()
+    keys = ["page_id", "payload_digest"]
     rows = pages.select(
         F.col(page_id).alias("page_id"),
         F.col(url).alias("url"),
         body.alias("html"),
-        F.octet_length(body).cast("long").alias("payload_bytes"),
-        F.sha2(body.cast("binary"), 256).alias("payload_digest"),
-    )
-    long = F.col("payload_bytes") >= REVISIT_FROM
-    firsts = (
-        rows.where(long).groupBy("payload_digest").agg(F.min("page_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1")
-    )
-    joined = rows.join(firsts.drop("_n"), "payload_digest", "left")
-    again = F.coalesce(long & F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first")), F.lit(False))
-    return joined.select(
-        "page_id", "url", "html", "payload_bytes", "payload_digest",
-        F.when(again, "revisit").otherwise("response").alias("record_type"),
-        F.when(again, F.col("_first")).alias("refers_to"),
+        size.alias("payload_bytes"),
+        digest.alias("payload_digest"),
     )
+    # both sides dealt alike, so that the join needs no other exchange
+    joined = rows.repartition(number, *keys).join(again.repartition(number, *keys), keys, "left")
+    kind = F.when(F.col("refers_to").isNotNull(), "revisit").otherwise("response")
+    return joined.select("page_id", "url", "html", "payload_bytes", "payload_digest", kind.alias("record_type"), "refers_to")
 
 
-def write_archives(plan: DataFrame, path: str, shard_bytes: int = SHARD_BYTES) -> None:
-    """One record per row of ``plan``, in files of about ``shard_bytes`` payload each."""
+def write_archives(plan: DataFrame, path: str) -> None:
+    """One record per row of ``plan``, one gzip file per partition, in the order of page_id within a file."""
     again = F.col("record_type") == "revisit"
-    total = plan.agg(F.sum(F.when(~again, F.col("payload_bytes")).otherwise(0) + 500)).first()[0]
     http = F.concat(
         F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "),
         F.col("payload_bytes").cast("string"),
@@ -86,8 +91,8 @@ def write_archives(plan: DataFrame, path: str, shard_bytes: int = SHARD_BYTES) -
         block,
         F.lit("\r\n\r"),
     )
-    dealt = plan.repartition(shards(plan.sparkSession, total, shard_bytes), "page_id")
-    dealt.sortWithinPartitions("page_id").select(record.alias("value")).write.option("lineSep", "\n").text(path)
+    lines = plan.sortWithinPartitions("page_id", "payload_digest").select(record.alias("value"))
+    lines.write.option("lineSep", "\n").option("compression", "gzip").text(path)
 
 
 CANDIDATE = (
@@ -118,7 +123,10 @@ def parse_record(data: bytes, at: int) -> tuple | None:
 
 
 def candidates(spark: SparkSession, path: str) -> DataFrame:
-    """Every place of the files that parses as a record, with the offset of its successor."""
+    """Every place of the files that parses as a record, with the offset of its successor.
+
+    Offsets of compressed files count their plain content.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [part.split()[0] for part in CANDIDATE.split(", ")]
@@ -126,6 +134,8 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for file, content in zip(batch.column(0), batch.column(1)):
                 data, name = content.as_py(), file.as_py()
+                if data[:2] == b"\x1f\x8b":
+                    data = gzip.decompress(data)
                 rows = []
                 for start in _START.finditer(data):
                     found = parse_record(data, start.start())
@@ -183,8 +193,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 
 def incomplete_files(spark: SparkSession, path: str) -> DataFrame:
-    """Files whose chain of records doesn't end at the end of the file; a file without records is among them."""
+    """Files with records whose chain doesn't end at the end of the file."""
     found = stored(candidates(spark, path), "candidates")
     ends = found.join(reachable(found), ["file", "at"], "left_semi").groupBy("file").agg(F.max("to").alias("end"))
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "length")
-    return files.join(ends, "file", "left").where("length > 0 AND NOT (end <=> length)").select("file")
+    sizes = found.groupBy("file").agg(F.max("size").alias("size"))
+    return sizes.join(ends, "file", "left").where("NOT (end <=> size)").select("file")
