@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm import exact_dedup, language, mixture, pieces, quality, simhash, token_files, toxicity, warc
+from claimloom.llm import exact_dedup, language, lm, mixture, pieces, quality, simhash, token_files, toxicity, warc
 from claimloom.llm.store import crc32_of, shared_folder, table
 
 WEIGHTS = (5, 2, 1)
@@ -126,6 +126,15 @@ def op6_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_classes(table(spark, sf, "documents").select("doc_id", "text"))
 
 
+def op7_language_model(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    held_out = crc32_of() % 7 == 2
+    found = lm.scored(docs, ~held_out)
+    return found.select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"
+    )
+
+
 def op8_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     model = toxicity.fit(docs.where(crc32_of() % 3 != 1), table(spark, sf, "labels"))
@@ -194,6 +203,7 @@ QUERIES = {
     "op4_warc": (op4_warc, OP4_SQL),
     "op5_language": (op5_language, None),
     "op6_simhash": (op6_simhash, None),
+    "op7_language_model": (op7_language_model, None),
     "op8_toxicity": (op8_toxicity, None),
     "op9_pieces": (op9_pieces, None),
     "op10_quality": (op10_quality, OP10_SQL),
