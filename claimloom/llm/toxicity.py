@@ -67,12 +67,10 @@ class ToxicityModel:
     offset: float
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFrame:
-    """(doc_id, text, y) of the documents with a label, stored. Repeated labels of an id: the largest counts."""
-    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
-        F.max(label).cast("int").alias("y")
-    )
-    return stored(docs.select("doc_id", "text").join(known, "doc_id"), "labelled")
+def labelled_ids(labels: DataFrame, label: str = "toxic") -> DataFrame:
+    """(doc_id, y), one row per labelled id; of repeated labels the largest counts."""
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
+    return known.groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
 
 
 def family_bit(words: list[str]) -> int:
@@ -233,9 +231,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> ToxicityMod
     label, those whose ids have the smallest crc32. Without labelled rows every
     score is 0; with one label alone every score is that label's rate.
     """
-    rows = labelled_rows(docs, labels, label)
-    sizes = {r.y > 0: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    known = labelled_ids(labels, label)
+    ids = stored(docs.select("doc_id").join(known, "doc_id"), "labelled-ids")
+    sizes = {r.y > 0: r.n for r in ids.groupBy("y").agg(F.count("*").alias("n")).collect()}
     toxic, clean = sizes.get(True, 0), sizes.get(False, 0)
+    rows = docs.select("doc_id", "text").join(known, "doc_id")
     strong = chosen_terms(term_counts(rows), toxic, clean) if toxic and clean else []
     terms = {term: i for i, (term, _) in enumerate(strong)}
     idf = np.log((toxic + clean + 1) / (np.array([n for _, n in strong], dtype=np.float64) + 1)) + 1
@@ -255,10 +255,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> ToxicityMod
                 ["doc_id", "y", "numbers", "weights"],
             )
 
-    picked = top_per_group(rows, ["y"], [crc32_of(), F.col("doc_id"), F.col("text")], EXAMPLES)
-    vectors = picked.select("doc_id", F.col("y"), "text").mapInArrow(
-        run, "doc_id bigint, y int, numbers array<bigint>, weights array<double>"
-    )
+    # ids alone are ranked; at most twice ``EXAMPLES`` of them, so they may be broadcast
+    picked = top_per_group(ids.distinct(), ["y"], [crc32_of(), F.col("doc_id")], EXAMPLES).drop("_rank")
+    examples = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "y", "text")
+    vectors = examples.mapInArrow(run, "doc_id bigint, y int, numbers array<bigint>, weights array<double>")
     found = sorted(vectors.collect(), key=lambda r: (r.y, len(r.numbers) and r.numbers[0], r.doc_id)) if strong else []
     return _indexed(found, terms, idf, toxic, clean)
 
