@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 from claimloom.llm.store import shared_folder, shards, stored
 
 BLOCK_IDS = 1 << 18  # ids per block, exceeded only by a single longer document
+FILE_BLOCKS = 16  # blocks per file
 SHARD_BYTES = 16 << 20
-MEMO = 300_000  # pieces of text whose ids a worker remembers at a time
+MEMO = 250_000  # pieces of text whose ids a worker remembers at a time
 
 MAGIC = b"TIDS"
 # magic, payload bytes, first id's position, documents, ids
@@ -69,7 +70,6 @@ class Encoder:
 
     def forget(self) -> None:
         self.codes = _Codes()
-        self.tokens: dict[str, tuple[int, ...]] = {}
         self.starts = np.zeros(1, dtype=np.int64)
         self.ids = np.zeros(0, dtype=np.uint32)
         self.whole = np.zeros(0, dtype=bool)
@@ -78,13 +78,10 @@ class Encoder:
     def pieces(text: str) -> list[str]:
         return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
-    def _ids(self, token: str) -> tuple[int, ...]:
+    def _ids(self, token: str) -> list[int]:
         """Ids of one pre-token, which is plain text."""
-        own = self.tokens.get(token)
-        if own is None:
-            spelled = token.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.alphabet)
-            own = self.tokens[token] = tuple([t.id for t in self.tokenizer.model.tokenize(spelled)])
-        return own
+        spelled = token.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.alphabet)
+        return [t.id for t in self.tokenizer.model.tokenize(spelled)]
 
     def _learn(self) -> None:
         """Ids of the new pieces: letters and marks are split here, all else by the tokenizer."""
@@ -92,15 +89,15 @@ class Encoder:
         ids: list[int] = []
         sizes: list[int] = []
         odd = np.zeros(len(new), dtype=bool)
-        simple, known, own_ids = _SIMPLE.fullmatch, self.tokens.get, self._ids
+        simple, own_ids = _SIMPLE.fullmatch, self._ids
         for k, piece in enumerate(new):
             before = len(ids)
             plain = simple(piece)
             if plain is not None:
                 letters, marks = plain.groups()
-                ids += known(letters) or own_ids(letters)
+                ids += own_ids(letters)
                 if marks:
-                    ids += known(marks) or own_ids(marks)
+                    ids += own_ids(marks)
             elif piece != "\n" and (not piece.strip() or _INNER.search(piece) is not None):
                 odd[k] = True
             else:
@@ -238,7 +235,7 @@ def pack(values: np.ndarray) -> bytes:
     return control.astype(np.uint8).tobytes() + v.view(np.uint8).reshape(-1, 4)[used].tobytes()
 
 
-def unpack(data: bytes, count: int) -> np.ndarray:
+def unpack(data: bytes | memoryview, count: int) -> np.ndarray:
     groups = -(-count // 4)
     raw = np.frombuffer(data, dtype=np.uint8)
     sizes = _LENGTHS[raw[:groups]].ravel()
@@ -282,26 +279,29 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int)
         rank_of = np.zeros(int(ids_of.max()) + 1 if len(ids_of) else 0, dtype=np.uint32)
         rank_of[ids_of] = np.arange(len(ids_of), dtype=np.uint32)
         for batch in batches:
-            made = []
-            for row in batch.to_pylist():
+            for at in range(batch.num_rows):
+                one = batch.slice(at, 1)
+                row = one.to_pylist()[0]
                 ids = np.frombuffer(row["ids"], dtype="<u4" if row["wide"] else "<u2")
                 names = [_NO_ID if d is None else d for d in row["doc_ids"]]
                 body = np.array(names, dtype="<i8").tobytes() + np.array(row["counts"], dtype="<u4").tobytes() + pack(rank_of[ids])
                 head = struct.pack(_HEADER, MAGIC, len(body), row["before"] + row["offset"], len(row["doc_ids"]), len(ids))
-                made.append(head + body)
-            yield pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("block"), pa.array(made, pa.binary())], ["shard", "block", "value"])
+                yield pa.RecordBatch.from_arrays(
+                    [one.column("shard"), one.column("block"), pa.array([head + body], pa.binary())], ["shard", "block", "value"]
+                )
 
     coded = blocks.join(F.broadcast(offsets), "shard").select("shard", "block", "before", "offset", "doc_ids", "counts", "ids", "wide").mapInArrow(
         code, "shard int, block int, value binary"
     )
     # the text writer copies the bytes of a row and adds a line feed; blocks know their length and skip it
-    coded.select(F.col("value").cast("string").alias("value")).write.text(f"{path}/ids")
+    plain = coded.select(F.col("value").cast("string").alias("value"))
+    plain.write.option("maxRecordsPerFile", FILE_BLOCKS).text(f"{path}/ids")
 
 
 _NO_ID = -(1 << 63)
 
 
-def parse_blocks(data: bytes) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+def parse_blocks(data: memoryview) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """(start, doc_ids, counts, ranks) of every block of a file."""
     at = 0
     while at < len(data):
@@ -324,7 +324,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
         id_of = shared.value
         for batch in batches:
             for content in batch.column(0):
-                for start, names, counts, coded in parse_blocks(content.as_py()):
+                for start, names, counts, coded in parse_blocks(memoryview(content.as_buffer())):
                     ids = id_of[coded].astype("<u4")
                     ends = np.cumsum(counts, dtype=np.int64)
                     raw = memoryview(ids.tobytes())
