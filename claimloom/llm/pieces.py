@@ -14,9 +14,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from claimloom.llm.memo import Memo
+
 SPACE = "▁"  # stands for a blank
 UNKNOWN_PENALTY = 10.0
 MEMO = 300_000  # stretches of text whose pieces a task remembers
+AT_ONCE = 128  # texts encoded together
+_UNKNOWN = (1, -1, 0.0)  # one character without a piece
 
 
 class PieceModel:
@@ -53,75 +57,79 @@ class PieceModel:
         self.unknown_id = model.unk_id()
         # no piece goes on from other characters into a blank, so texts can be cut there
         self.cuts = not inside
-        self.memo: dict[str, tuple[list[int], float]] = {}
 
     def best(self, text: str) -> tuple[list[int], float]:
         """Ids and score of the best segmentation; among equals the longer last piece wins."""
         n = len(text)
-        ending: list[list[tuple[int, int, float]]] = [[] for _ in range(n)]
+        score, back = [-np.inf] * (n + 1), [_UNKNOWN] * (n + 1)
+        score[0] = 0.0
+        strange = [k for k, c in enumerate(text) if c not in self.singles] if not self.singles.issuperset(text) else []
+        at = 0
         for end, found in self.automaton.iter(text):
-            ending[end].append(found)
-        score, back = [0.0] * (n + 1), [(1, -1)] * (n + 1)
-        for end in range(n):
-            top, step = -np.inf, (1, -1)
-            for length, ident, own in ending[end]:
-                value = score[end + 1 - length] + own
-                if value > top:
-                    top, step = value, (length, ident)
-            if text[end] not in self.singles and score[end] + self.unknown > top:
-                top, step = score[end] + self.unknown, (1, -1)
-            score[end + 1], back[end + 1] = top, step
+            while at < len(strange) and strange[at] < end:
+                self._unknown_step(strange[at], score, back)
+                at += 1
+            value = score[end + 1 - found[0]] + found[2]
+            if value > score[end + 1]:
+                score[end + 1], back[end + 1] = value, found
+            if at < len(strange) and strange[at] == end:
+                self._unknown_step(end, score, back)
+        for k in strange[at:]:
+            self._unknown_step(k, score, back)
         ids: list[int] = []
-        at = n
-        while at > 0:
-            length, ident = back[at]
+        place = n
+        while place > 0:
+            length, ident, _ = back[place]
             if ident >= 0:
                 ids.append(ident)
             elif self.byte_ids:
-                ids += [self.byte_ids[b] for b in reversed(text[at - 1].encode("utf-8", "surrogatepass"))]
+                ids += [self.byte_ids[b] for b in reversed(text[place - 1].encode("utf-8", "surrogatepass"))]
             else:
                 ids.append(self.unknown_id)
-            at -= length
+            place -= length
         return ids[::-1], score[n]
 
-    def stretches(self, text: str) -> list[str]:
-        """The text with its leading blank, cut before every blank that follows another character."""
-        marked = SPACE + text.replace(" ", SPACE)
+    def _unknown_step(self, k: int, score: list[float], back: list[tuple[int, int, float]]) -> None:
+        if score[k] + self.unknown > score[k + 1]:
+            score[k + 1], back[k + 1] = score[k] + self.unknown, _UNKNOWN
+
+    def stretches(self, text: str | None) -> list[str]:
+        """The text cut before every blank that follows another character; each stretch lacks its first blank.
+
+        The text's leading blank is the first of them. A missing or empty text
+        has no stretch.
+        """
+        if not text:
+            return []
+        plain = text.replace(SPACE, " ")
         if not self.cuts:
-            return [marked]
+            return [plain]
+        parts = plain.split(" ")
+        if "" not in parts:
+            return parts
         out: list[str] = []
-        blanks = SPACE
-        for part in marked.split(SPACE)[1:]:
+        blanks = ""
+        for part in parts:
             if part:
                 out.append(blanks + part)
-                blanks = SPACE
+                blanks = ""
             else:
-                blanks += SPACE
-        if len(blanks) > 1:
+                blanks += " "
+        if blanks:
             out.append(blanks[:-1])
         return out
 
+    def best_stretch(self, stretch: str) -> tuple[list[int], float]:
+        return self.best(SPACE + stretch.replace(" ", SPACE))
+
     def encode(self, text: str | None) -> tuple[list[int], float]:
-        """A missing or empty text has no ids."""
-        if not text:
-            return [], 0.0
-        ids: list[int] = []
-        score = 0.0
-        memo = self.memo
-        for part in self.stretches(text):
-            found = memo.get(part)
-            if found is None:
-                if len(memo) >= MEMO:
-                    memo.clear()
-                found = memo[part] = self.best(part)
-            ids += found[0]
-            score += found[1]
-        return ids, score
+        """Ids and score of one text; a missing or empty text has no ids."""
+        made = [self.best_stretch(stretch) for stretch in self.stretches(text)]
+        return [i for ids, _ in made for i in ids], sum((score for _, score in made), 0.0)
 
     def decode(self, ids: list[int]) -> str:
         """Pieces in a row without the leading blank; broken byte pieces become U+FFFD."""
-        table = self.bytes_of
-        raw = b"".join([table[i] for i in ids]).decode("utf-8", "replace")
+        raw = b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
         return raw[1:] if raw[:1] == " " else raw
 
 
@@ -135,19 +143,15 @@ def encoded(docs: DataFrame, model_file: str, doc_id: str = "doc_id", text: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = PieceModel(model_file)
+        memo = Memo(model.best_stretch, MEMO)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                ids, scores, same = [], [], []
-                for value in part.column(1):
-                    raw = value.as_py()
-                    own, score = model.encode(raw)
-                    ids.append(np.array(own, dtype=np.int32))
-                    scores.append(score)
-                    same.append(model.decode(own) == (raw or ""))
-                edges = np.cumsum([0] + [len(i) for i in ids])
-                flat = np.concatenate(ids) if ids else np.zeros(0, dtype=np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(flat))
+            for at in range(0, batch.num_rows, AT_ONCE):
+                part = batch.slice(at, AT_ONCE)
+                texts = part.column(1).to_pylist()
+                ids, edges, scores = memo.encode([model.stretches(t) for t in texts])
+                flat, cuts = ids.tolist(), edges.tolist()
+                same = [model.decode(flat[a:b]) == (t or "") for t, a, b in zip(texts, cuts, cuts[1:])]
+                lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), lists, pa.array(scores, pa.float64()), pa.array(same, pa.bool_())],
                     [doc_id, "ids", "score", "restored"],
