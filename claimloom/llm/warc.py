@@ -174,7 +174,8 @@ def reachable(nodes: DataFrame) -> DataFrame:
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """(page_id as text, payload_bytes, payload_digest, record_type, refers_to as text) of all records.
 
-    A revisit takes length and digest from the response that it refers to.
+    A revisit takes its length from the response that it refers to and whose
+    payload has the digest that it states.
     Records after damage in a file, which no chain reaches, are left out;
     ``incomplete_files`` names such files.
     """
@@ -182,13 +183,17 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     records = found.join(reachable(found), ["file", "at"], "left_semi")
     ident = lambda c: F.regexp_extract(c, "^<urn:page:(.*)>$", 1)
     named = records.select(
-        ident("page").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.nullif(ident("refers"), F.lit("")).alias("refers_to")
+        ident("page").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        F.nullif(ident("refers"), F.lit("")).alias("refers_to"), F.regexp_extract("stated_digest", "^sha256:(.*)$", 1).alias("stated"),
     )
-    wanted = named.where("record_type = 'revisit'").select("page_id", "refers_to")
+    wanted = named.where("record_type = 'revisit'").select("page_id", "refers_to", F.col("stated").alias("payload_digest"))
     source = named.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), "payload_bytes", "payload_digest")
-    resolved = wanted.join(source.dropDuplicates(["refers_to"]), "refers_to", "left").select(
+    # an id may stand for several payloads; the stated digest says which
+    keys = ["refers_to", "payload_digest"]
+    resolved = wanted.join(source.dropDuplicates(keys), keys, "left").select(
         "page_id", "payload_bytes", "payload_digest", F.lit("revisit").alias("record_type"), "refers_to"
     )
+    named = named.drop("stated")
     return named.where("record_type <> 'revisit'").unionByName(resolved)
 
 
