@@ -235,7 +235,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> ToxicityMod
     ids = stored(docs.select("doc_id").join(known, "doc_id"), "labelled-ids")
     sizes = {r.y > 0: r.n for r in ids.groupBy("y").agg(F.count("*").alias("n")).collect()}
     toxic, clean = sizes.get(True, 0), sizes.get(False, 0)
-    rows = docs.select("doc_id", "text").join(known, "doc_id")
+    # the labels grow with the documents, so both are dealt by id, whatever their size
+    rows = docs.select("doc_id", "text").join(known.hint("merge"), "doc_id")
     strong = chosen_terms(term_counts(rows), toxic, clean) if toxic and clean else []
     terms = {term: i for i, (term, _) in enumerate(strong)}
     idf = np.log((toxic + clean + 1) / (np.array([n for _, n in strong], dtype=np.float64) + 1)) + 1
