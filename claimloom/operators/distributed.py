@@ -159,18 +159,6 @@ def global_position(df: DataFrame, order: Sequence[Column], out: str = "position
     return numbered.select(*[F.col(c) for c in df.columns], (F.col("_offset") + in_part + 1).alias(out))
 
 
-def hold_if_small(df: DataFrame, max_rows: int = 1000) -> DataFrame:
-    """A small frame computed once and marked for broadcast; a larger one unchanged.
-
-    At most ``max_rows`` + 1 rows are read for the check. Beyond the limit the
-    frame is left as it is and takes part in an ordinary shuffled join.
-    """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
-
-
 def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], limit: int) -> DataFrame:
     """First ``limit`` rows of each group.
 

@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimloom.session import ensure_checkpoint_dir
+
 
 @dataclass(frozen=True)
 class QualityRule:
@@ -55,54 +57,61 @@ def exclusion_counts(rows: DataFrame, reasons: Mapping[str, Column]) -> DataFram
     return rows.groupBy(label.alias("reason")).agg(F.count("*").alias("rows"))
 
 
-def trace(start: DataFrame, edges: DataFrame, depth: int, backward: bool = False) -> DataFrame:
-    """Nodes reachable within ``depth`` steps, with the fewest steps to each.
+def trace(start: DataFrame, edges: DataFrame, most_steps: int | None = None, backward: bool = False) -> DataFrame:
+    """All nodes reachable from ``start``, with the fewest steps to each.
 
-    ``edges`` has (parent, child), ``start`` has (node). Depth is the known
-    height of the lineage, from metric to source row. Nodes are made distinct
-    after every step, so paths never multiply.
+    ``edges`` has (parent, child), ``start`` has (node). Each step goes on from
+    the nodes that the step before added, so paths never multiply and loops end;
+    it is over when a step adds none. A lineage higher than ``most_steps`` is an
+    error, never cut.
     """
+    ensure_checkpoint_dir(start.sparkSession)
     near, far = ("child", "parent") if backward else ("parent", "child")
     step = edges.select(F.col(near).alias("node"), F.col(far).alias("_next")).distinct()
-    frontier = start.select("node").distinct()
-    reached = frontier.withColumn("steps", F.lit(0))
-    for number in range(1, depth + 1):
-        frontier = frontier.join(step, "node").select(F.col("_next").alias("node")).distinct()
-        reached = reached.unionByName(frontier.withColumn("steps", F.lit(number)))
-    return reached.groupBy("node").agg(F.min("steps").cast("bigint").alias("steps"))
+    frontier = start.select("node").distinct().withColumn("steps", F.lit(0).cast("bigint")).checkpoint()
+    reached, number = frontier, 0
+    while True:
+        number += 1
+        ahead = frontier.join(step, "node").select(F.col("_next").alias("node")).distinct()
+        frontier = ahead.join(reached, "node", "left_anti").withColumn("steps", F.lit(number).cast("bigint")).checkpoint()
+        if frontier.isEmpty():
+            return reached
+        if most_steps is not None and number > most_steps:
+            raise ValueError(f"the lineage goes on after {most_steps} steps")
+        reached = reached.unionByName(frontier)
+
+
+def cycle_members(organizations: DataFrame) -> DataFrame:
+    """(id) of every organization that is its own ancestor, over cycles of any length.
+
+    Every round doubles the length of the jumps. When they are longer than any
+    chain can be, a jump that still ends somewhere ends inside a cycle, and every
+    member of a cycle is the end of some jump.
+    """
+    ensure_checkpoint_dir(organizations.sparkSession)
+    ids = organizations.select(F.col("id").alias("_at")).dropna().distinct()
+    jumps = organizations.select("id", F.col("parent_id").alias("_at")).dropna().join(ids, "_at", "left_semi").checkpoint()
+    for _ in range(ids.count().bit_length()):
+        on = jumps.select(F.col("id").alias("_at"), F.col("_at").alias("_next"))
+        jumps = jumps.join(on, "_at").select("id", F.col("_next").alias("_at")).checkpoint()
+    return jumps.select(F.col("_at").alias("id")).distinct()
 
 
-def parent_violations(organizations: DataFrame, depth: int = 8) -> DataFrame:
-    """Organizations whose parent is missing, in another tenant, or part of a cycle.
+def parent_violations(organizations: DataFrame) -> DataFrame:
+    """Organizations whose parent is missing, in another tenant, or part of a cycle with them.
 
-    ``organizations`` has (id, parent_id, tenant_id). A cycle up to ``depth``
-    long shows when the chain of parents comes back to its start.
+    ``organizations`` has (id, parent_id, tenant_id), one row per id.
     """
-    parents = organizations.select(
-        F.col("id").alias("_p"), F.col("parent_id").alias("_next"), F.col("tenant_id").alias("_tenant")
-    )
-    first = organizations.join(parents, F.col("parent_id") == F.col("_p"), "left")
-    walk = first.select(
-        "id",
-        "parent_id",
-        "tenant_id",
-        (F.col("parent_id").isNotNull() & F.col("_p").isNull()).alias("missing_parent"),
-        (F.col("_tenant") != F.col("tenant_id")).alias("other_tenant"),
-        (F.col("parent_id") == F.col("id")).alias("cycle"),
-        F.col("_next").alias("_at"),
-    )
-    hops = organizations.select(F.col("id").alias("_p"), F.col("parent_id").alias("_next"))
-    for _ in range(depth - 1):
-        walk = walk.join(hops, F.col("_at") == F.col("_p"), "left").select(
-            "id", "parent_id", "tenant_id", "missing_parent", "other_tenant",
-            (F.coalesce("cycle", F.lit(False)) | F.coalesce(F.col("_at") == F.col("id"), F.lit(False))).alias("cycle"),
-            # a closed walk has nothing more to find
-            F.when(F.col("_at") != F.col("id"), F.col("_next")).alias("_at"),
-        )
-    flags = {name: F.coalesce(name, F.lit(False)) for name in ("missing_parent", "other_tenant", "cycle")}
-    return walk.select("id", "parent_id", "tenant_id", *[c.alias(n) for n, c in flags.items()]).where(
-        F.col("missing_parent") | F.col("other_tenant") | F.col("cycle")
-    )
+    parents = organizations.select(F.col("id").alias("parent_id"), F.col("tenant_id").alias("_tenant"), F.lit(True).alias("_there"))
+    cycles = cycle_members(organizations).withColumn("_cycle", F.lit(True))
+    walk = organizations.join(parents, "parent_id", "left").join(cycles, "id", "left")
+    flags = {
+        "missing_parent": F.col("parent_id").isNotNull() & F.col("_there").isNull(),
+        "other_tenant": F.coalesce(F.col("_tenant") != F.col("tenant_id"), F.lit(False)),
+        "cycle": F.coalesce("_cycle", F.lit(False)),
+    }
+    found = walk.select("id", "parent_id", "tenant_id", *[c.alias(n) for n, c in flags.items()])
+    return found.where(F.col("missing_parent") | F.col("other_tenant") | F.col("cycle"))
 
 
 def resolve_authority(

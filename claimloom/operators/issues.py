@@ -66,10 +66,26 @@ def extreme_percentage(claims: DataFrame, limit: int = EXTREME_PERCENTAGE) -> Da
     )
 
 
+def _post() -> Column:
+    """What names a post: its id, or its source row where the id is missing."""
+    return F.coalesce(F.col("post_id"), F.concat(F.lit("row-"), F.col("source_row").cast("string")))
+
+
+def missing_post_id(updates: DataFrame) -> DataFrame:
+    """Posts that the keyed insert refuses, because they have no id."""
+    rows = updates.where(F.col("post_id").isNull())
+    return _issue(
+        rows, F.concat(F.lit("missing-post-id:"), _post()), "missing_post_id", "error", "claim_update",
+        "The update has no post id and was not stored.",
+        {"item_id": F.col("item_id"), "source_row": F.col("source_row")},
+        "Export the update again with its id.",
+    )
+
+
 def unmatched_update(updates: DataFrame) -> DataFrame:
     rows = updates.where(~F.col("matched"))
     return _issue(
-        rows, F.concat(F.lit("unmatched-update:"), "post_id"), "unmatched_update_item_id", "warning", "claim_update",
+        rows, F.concat(F.lit("unmatched-update:"), _post()), "unmatched_update_item_id", "warning", "claim_update",
         "The update refers to an item outside the imported claims.",
         {"post_id": F.col("post_id"), "item_id": F.col("item_id"), "source_row": F.col("source_row")},
         "Find the item in another archive or keep the update apart.",
@@ -79,7 +95,7 @@ def unmatched_update(updates: DataFrame) -> DataFrame:
 def blank_update(updates: DataFrame) -> DataFrame:
     rows = updates.where(F.col("blank_body"))
     return _issue(
-        rows, F.concat(F.lit("blank-update:"), "post_id"), "blank_update_body", "info", "claim_update",
+        rows, F.concat(F.lit("blank-update:"), _post()), "blank_update_body", "info", "claim_update",
         "The update has no text.", {"post_id": F.col("post_id")}, "Keep it as provenance.",
     )
 
@@ -139,6 +155,7 @@ def all_issues(
     frames = [
         missing_component(claims),
         extreme_percentage(claims),
+        missing_post_id(updates),
         unmatched_update(updates),
         blank_update(updates),
         duplicate_update_body(updates),

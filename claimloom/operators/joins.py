@@ -72,10 +72,16 @@ def claim_list(claims: DataFrame, organizations: DataFrame, source_rows: DataFra
 
 
 def reply_threads(posts: DataFrame) -> DataFrame:
-    """Each post with its parent inside the same item; ``orphan_reply`` when the parent is missing."""
-    parents = posts.select(
-        "item_id", F.col("post_id").alias("parent_post_id"), F.col("author").alias("parent_author")
-    ).withColumn("_found", F.lit(True))
+    """Each post with its parent inside the same item; ``orphan_reply`` when the parent is missing.
+
+    A parent post that repeats counts once, with the author that comes first by name.
+    """
+    parents = (
+        posts.select("item_id", F.col("post_id").alias("parent_post_id"), "author")
+        .dropna("any", subset=["item_id", "parent_post_id"])
+        .groupBy("item_id", "parent_post_id")
+        .agg(F.min("author").alias("parent_author"), F.lit(True).alias("_found"))
+    )
     joined = posts.join(parents, ["item_id", "parent_post_id"], "left")
     return joined.withColumn(
         "thread_role",

@@ -23,27 +23,46 @@ def one_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], kee
     return chosen.select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in df.columns])
 
 
+def with_key(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows whose key is complete; only these can be written by key."""
+    return df.dropna("any", subset=list(keys))
+
+
+def without_key(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows that a keyed write refuses, because a part of their key is missing."""
+    missing = F.lit(False)
+    for key in keys:
+        missing = missing | F.col(key).isNull()
+    return df.where(missing)
+
+
 def upsert(
     target: DataFrame,
     source: DataFrame,
     keys: Sequence[str],
     replace: Sequence[str],
     order: Sequence[Column] = (),
+    keep_if_missing: Sequence[str] = (),
 ) -> DataFrame:
     """Whole target after the merge.
 
     A known key takes only the ``replace`` columns from the source; a new key is
     inserted. With ``order`` the batch's last row per key wins, without it the
-    batch must already be unique. The target's rows are streamed past the batch,
-    and the anti join reads only the target's keys.
+    batch must already be unique. Of the ``replace`` columns those in
+    ``keep_if_missing`` stay as stored where the source has no value. Rows with
+    a missing key are refused (``without_key`` names them). The target's rows
+    are streamed past the batch, and the anti join reads only the target's keys.
     """
     keys = list(keys)
+    source = with_key(source, keys)
     batch = one_per_key(source, keys, order) if order else source
     batch = batch.select(*target.columns)
     incoming = batch.select(*keys, F.struct(*replace).alias("_new"))
     known = target.join(incoming, keys, "left").select(
         *[
-            F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c)
+            F.when(
+                F.col(f"_new.{c}").isNotNull() if c in keep_if_missing else F.col("_new").isNotNull(), F.col(f"_new.{c}")
+            ).otherwise(F.col(c)).alias(c)
             if c in replace
             else F.col(c)
             for c in target.columns
@@ -55,8 +74,9 @@ def upsert(
 def insert_if_absent(
     target: DataFrame, source: DataFrame, keys: Sequence[str], order: Sequence[Column] = ()
 ) -> DataFrame:
-    """Only the rows to append: first row of each key the target lacks."""
+    """Only the rows to append: first row of each key the target lacks; rows with a missing key are refused."""
     keys = list(keys)
+    source = with_key(source, keys)
     batch = one_per_key(source, keys, order, keep="first") if order else source
     return batch.select(*target.columns).join(target.select(*keys), keys, "left_anti").select(*target.columns)
 

@@ -194,14 +194,16 @@ def days_since_last_update(claims: DataFrame, updates: DataFrame, as_of: str | d
 def ageing_buckets(claims: DataFrame, as_of: str | date, upper_bound: int | None = None) -> DataFrame:
     """Active files by age; all buckets are present, with their share of the largest.
 
-    The last bucket ends at ``upper_bound`` days when one is given (default: the
-    data model's own bound). A file opened after ``as_of`` has age zero.
+    The last bucket is open; it ends at ``upper_bound`` days when one is given. A file opened after ``as_of`` has age zero.
     """
     edges = [list(edge) for edge in AGE_BUCKETS]
     if upper_bound is not None:
         edges[-1][2] = upper_bound
     age = days_since(F.col("opened_at"), F.lit(as_of).cast("date"))
-    counts = [F.count_if(is_active() & age.between(low, high)).alias(label) for label, low, high in edges]
+    counts = [
+        F.count_if(is_active() & (age >= low) & (F.lit(True) if high is None else age <= high)).alias(label)
+        for label, low, high in edges
+    ]
     totals = claims.agg(*counts)
     largest = F.greatest(F.lit(1), *[F.col(f"`{label}`") for label, _, _ in edges])
     rows = [

@@ -48,9 +48,9 @@ def _attention(current: DataFrame, updates: DataFrame, as_of: Column) -> DataFra
             F.count_if(days_since(F.col("_last"), as_of) > STALLED_SILENCE_DAYS).alias("silent"),
         )
     )
-    _, low, high = AGE_BUCKETS[-1]
+    low = AGE_BUCKETS[-1][1]
     age = days_since(F.col("opened_at"), as_of)
-    old = current.agg(F.count_if(is_active() & age.between(low, high)).alias("old"))
+    old = current.agg(F.count_if(is_active() & (age >= low)).alias("old"))
     return _keyed(silent).join(_keyed(old), KEY)
 
 

@@ -184,7 +184,9 @@ def derived_rows(claims: DataFrame, job: ImportJob) -> DataFrame:
 
 
 def update_rows(updates: DataFrame, claims: DataFrame, job: ImportJob) -> DataFrame:
-    linked = lookup_claim(updates, claims.select("item_id", "claim_id"))
+    # item ids are unique inside one source system only
+    own = claims.where(F.col("source_system") == job.source_system)
+    linked = lookup_claim(updates, own.select("item_id", "claim_id"))
     return linked.select(
         F.lit(job.source_system).alias("source_system"),
         "post_id",
@@ -213,8 +215,10 @@ def promote(tables: Tables, parsed: ParsedImport, job: ImportJob, layout: SheetL
     by_row = [F.col("source_row")]
     out: Tables = {}
 
-    def merged(name: str, source: DataFrame, replace: list[str], ordered: bool = True) -> None:
-        out[name] = upsert(tables[name], source, keys[name], replace, by_row if ordered else ())
+    def merged(
+        name: str, source: DataFrame, replace: list[str], ordered: bool = True, keep_if_missing: tuple[str, ...] = ()
+    ) -> None:
+        out[name] = upsert(tables[name], source, keys[name], replace, by_row if ordered else (), keep_if_missing)
 
     def appended(name: str, source: DataFrame, ordered: bool = True) -> None:
         fresh = insert_if_absent(tables[name], source, keys[name], by_row if ordered else ())
@@ -290,8 +294,10 @@ def promote(tables: Tables, parsed: ParsedImport, job: ImportJob, layout: SheetL
     )
     merged("staged_claim_rows", staged, ["normalized_values"])
     claims = claim_rows(resolved, job)
-    fixed = {"claim_id", "source_system", "item_id", "service_type", "property_type"}
-    merged("claims", claims, [c for c in tables["claims"].columns if c not in fixed])
+    # a known claim keeps its state, and its links where the new cell is blank
+    fixed = {"claim_id", "source_system", "item_id", "service_type", "property_type", "lifecycle_state"}
+    replaced = [c for c in tables["claims"].columns if c not in fixed]
+    merged("claims", claims, replaced, keep_if_missing=("carrier_id", "assigned_staff_id"))
     merged(
         "claim_financial_facts",
         fact_rows(parsed.claims, job, layout),

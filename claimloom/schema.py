@@ -19,7 +19,7 @@ TERMINAL_RAW_STATUSES = ("Complete", "Closed")
 # --- fixed values: thresholds ----------------------------------------------
 GRADE_CUTS = ((90, "A"), (75, "B"), (50, "C"))
 STRICT_GRADE_CUTS = ((95, "A"), (80, "B"), (50, "C"))
-AGE_BUCKETS = (("0–30", 0, 30), ("31–60", 31, 60), ("61–90", 61, 90), ("90+", 91, 9999))
+AGE_BUCKETS = (("0–30", 0, 30), ("31–60", 31, 60), ("61–90", 61, 90), ("90+", 91, None))
 EXTREME_PERCENTAGE = 4510
 CYCLE_DETERIORATION_FACTOR = 1.08
 CARRIER_CONCENTRATION_PERCENT = 35

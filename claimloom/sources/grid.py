@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimloom.functions.text import NOT_BLANK, clean_text, norm_text
-from claimloom.operators.distributed import hold_if_small, running_number
+from claimloom.operators.distributed import running_number
+from claimloom.session import ensure_checkpoint_dir
 from claimloom.schema import GRID
 
 SHEET = ["file_name", "sheet"]
@@ -121,9 +122,10 @@ def repeated_headers(headers: DataFrame, group: Sequence[str] = SHEET) -> DataFr
     )
 
 
-def held_headers(headers: DataFrame, max_cells: int = 20_000) -> DataFrame:
-    """Header names computed once when there are few of them."""
-    return hold_if_small(headers, max_cells)
+def held_headers(headers: DataFrame) -> DataFrame:
+    """Header names written once to the checkpoint folder, so that no later step reads the sheets for them."""
+    ensure_checkpoint_dir(headers.sparkSession)
+    return headers.checkpoint()
 
 
 def header_maps(headers: DataFrame, group: Sequence[str] = SHEET) -> DataFrame:
@@ -149,7 +151,6 @@ def drop_blank_rows(rows: DataFrame) -> DataFrame:
 def named_rows(rows: DataFrame, headers: DataFrame) -> DataFrame:
     """Cells as a map from internal header name to cell, one map per row."""
     maps = header_maps(headers).select(*SHEET, F.col("header_map.internal").alias("_names"))
-    maps = hold_if_small(maps)
     padded = F.transform("_names", lambda _, i: F.get(F.col("cells"), i))
     fitted = F.when(F.size("cells") == F.size("_names"), F.col("cells")).otherwise(padded)
     return rows.join(maps, SHEET).withColumn("row", F.map_from_arrays("_names", fitted)).drop("_names")

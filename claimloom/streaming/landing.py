@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from claimloom.operators.merge import insert_if_absent, one_per_key
+from claimloom.operators.merge import insert_if_absent, one_per_key, with_key, without_key
 from claimloom.schema import GRID
 
 
@@ -35,18 +35,20 @@ def keyed_append(keys: Sequence[str], order: Sequence[Column], table: str) -> Ca
     """Batch writer: first row per key of the batch, unless the table has the key.
 
     Each batch owns the folder of its number and overwrites only that, so a
-    batch that is run again after a failure adds nothing twice.
+    batch that is run again after a failure adds nothing twice. Rows with a
+    missing key go to the folder ``<table>_refused``, in the same way.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         stored = _stored(spark, table)
         if stored is None:
-            fresh = one_per_key(batch, keys, order, keep="first")
+            fresh = one_per_key(with_key(batch, keys), keys, order, keep="first")
         else:
             earlier = stored.where(F.col("batch") != number).drop("batch")
             fresh = insert_if_absent(earlier, batch, keys, order)
         fresh.write.mode("overwrite").parquet(f"{table}/batch={number}")
+        without_key(batch, keys).write.mode("overwrite").parquet(f"{table}_refused/batch={number}")
 
     return write
 

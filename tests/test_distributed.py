@@ -3,13 +3,13 @@
 import random
 import statistics
 
+import pytest
 from pyspark.sql import functions as F
 
 from claimloom.operators.distributed import (
     carry_last,
     exact_median,
     global_position,
-    hold_if_small,
     running_number,
     top_per_group,
 )
@@ -71,13 +71,21 @@ def test_global_position_counts_every_row_once(spark):
     assert got == expected
 
 
-def test_hold_if_small_leaves_a_large_frame_alone(spark):
-    df = spark.range(50)
-    assert hold_if_small(df, 10) is df
-    assert sorted(r.id for r in hold_if_small(df, 50).collect()) == list(range(50))
-
-
 def test_top_per_group(spark):
     df = spark.createDataFrame(sample(5), "g string, o long, v long")
     got = top_per_group(df, ["g"], [F.asc("o")], 3).groupBy("g").count().collect()
     assert {r["count"] for r in got} == {3}
+
+
+def test_cycles_of_any_length_and_long_lineage(spark):
+    from claimloom.operators.governance import parent_violations, trace
+
+    rows = [(i, (i + 1) % 12, "t") for i in range(12)] + [(100 + i, 100 + i + 1 if i < 20 else None, "t") for i in range(21)]
+    rows += [(200, 3, "t"), (201, 999, "t"), (202, 100, "u")]
+    found = {r.id: (r.missing_parent, r.other_tenant, r.cycle) for r in parent_violations(spark.createDataFrame(rows, "id long, parent_id long, tenant_id string")).collect()}
+    assert found == {**{i: (False, False, True) for i in range(12)}, 201: (True, False, False), 202: (False, True, False)}
+    edges = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(20, 5)], "parent long, child long")
+    start = spark.createDataFrame([(0,)], "node long")
+    assert {r.node: r.steps for r in trace(start, edges).collect()} == {i: i for i in range(21)}
+    with pytest.raises(ValueError, match="goes on"):
+        trace(start, edges, most_steps=4)

@@ -292,3 +292,32 @@ def test_batches(spark):
 
 def test_money_columns_are_configurable(spark):
     assert SheetLayout(money=(MoneyColumn("m", "H", 1),)).money[0].metric == "m"
+
+
+def test_repeated_parent_posts_do_not_multiply_replies(spark):
+    posts = spark.createDataFrame(
+        [("i", "p", None, "b"), ("i", "p", None, "a"), ("i", "q", "p", "c"), (None, "r", "p", "d")],
+        "item_id string, post_id string, parent_post_id string, author string",
+    )
+    rows = sorted((r.post_id, r.thread_role, r.parent_author) for r in joins.reply_threads(posts).collect() if r.post_id > "p")
+    assert rows == [("q", "reply", "a"), ("r", "orphan_reply", None)]
+
+
+def test_keyed_writes_refuse_missing_keys(spark):
+    from claimloom.operators import merge
+
+    stored = spark.createDataFrame([("s", "1", "x")], "system string, post string, body string")
+    batch = spark.createDataFrame([("s", None, "a"), ("s", None, "b"), ("s", "2", "c")], stored.schema)
+    fresh = merge.insert_if_absent(stored, batch, ["system", "post"], [F.col("body")])
+    assert [tuple(r) for r in fresh.collect()] == [("s", "2", "c")]
+    assert merge.insert_if_absent(stored.unionByName(fresh), batch, ["system", "post"], [F.col("body")]).count() == 0
+    assert merge.without_key(batch, ["system", "post"]).count() == 2
+
+
+def test_blank_links_stay_as_stored(spark):
+    from claimloom.operators import merge
+
+    stored = spark.createDataFrame([(1, "carrier", "old")], "id int, link string, status string")
+    batch = spark.createDataFrame([(1, None, None), (2, None, "new")], stored.schema)
+    rows = merge.upsert(stored, batch, ["id"], ["link", "status"], keep_if_missing=["link"]).collect()
+    assert sorted(map(tuple, rows)) == [(1, "carrier", None), (2, None, "new")]

@@ -370,7 +370,7 @@ def _edges(spark: SparkSession, sf: str) -> DataFrame:
 def lineage_back(spark: SparkSession, sf: str) -> DataFrame:
     """Everything the 1998 Q2 metric rests on."""
     start = spark.range(1).select(F.lit("metric:1998 Q2").alias("node"))
-    return governance.trace(start, _edges(spark, sf), 2, backward=True)
+    return governance.trace(start, _edges(spark, sf), backward=True)
 
 
 def lineage_forward(spark: SparkSession, sf: str) -> DataFrame:
@@ -379,18 +379,18 @@ def lineage_forward(spark: SparkSession, sf: str) -> DataFrame:
     start = lines.select(
         F.concat_ws("-", F.lit("line:"), "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").alias("node")
     )
-    return governance.trace(start, _edges(spark, sf), 2)
+    return governance.trace(start, _edges(spark, sf))
 
 
 def parent_violations(spark: SparkSession, sf: str) -> DataFrame:
-    """Customers as organizations under the customer of half their number; a few loops."""
+    """Customers as organizations under the customer of half their number; a few loops, one of twelve."""
     key = F.col("c_custkey")
     organizations = table(spark, sf, "customer").select(
         key.alias("id"),
-        F.when(key == 0, F.lit(5)).when(F.col("c_acctbal") < 0, -key - 1).otherwise(F.floor(key / 2)).cast("bigint").alias("parent_id"),
+        F.when(key == 0, F.lit(5)).when(key.between(20, 31), F.when(key == 31, 20).otherwise(key + 1)).when(F.col("c_acctbal") < 0, -key - 1).otherwise(F.floor(key / 2)).cast("bigint").alias("parent_id"),
         F.col("c_mktsegment").alias("tenant_id"),
     )
-    return governance.parent_violations(organizations, depth=4).select("id", "missing_parent", "other_tenant", "cycle")
+    return governance.parent_violations(organizations).select("id", "missing_parent", "other_tenant", "cycle")
 
 
 def source_authority(spark: SparkSession, sf: str) -> DataFrame:
@@ -596,12 +596,13 @@ QUERIES = {
     ),
     "parent_violations": (
         parent_violations,
-        """WITH o AS (SELECT c_custkey AS id, CASE WHEN c_custkey = 0 THEN 5 WHEN c_acctbal < 0 THEN -c_custkey - 1
-        ELSE c_custkey // 2 END AS parent_id, c_mktsegment AS tenant_id FROM customer),
+        """WITH RECURSIVE o AS (SELECT c_custkey AS id, CASE WHEN c_custkey = 0 THEN 5
+        WHEN c_custkey BETWEEN 20 AND 31 THEN CASE WHEN c_custkey = 31 THEN 20 ELSE c_custkey + 1 END
+        WHEN c_acctbal < 0 THEN -c_custkey - 1 ELSE c_custkey // 2 END AS parent_id, c_mktsegment AS tenant_id FROM customer),
+        up AS (SELECT id AS origin, parent_id AS node FROM o UNION SELECT up.origin, o.parent_id FROM up JOIN o ON o.id = up.node),
+        loops AS (SELECT DISTINCT origin FROM up WHERE origin = node),
         w AS (SELECT a.id, p1.id IS NULL AS missing_parent, coalesce(p1.tenant_id <> a.tenant_id, FALSE) AS other_tenant,
-        coalesce(a.parent_id = a.id, FALSE) OR coalesce(p1.parent_id = a.id, FALSE) OR coalesce(p2.parent_id = a.id, FALSE)
-        OR coalesce(p3.parent_id = a.id, FALSE) AS cycle FROM o a LEFT JOIN o p1 ON p1.id = a.parent_id
-        LEFT JOIN o p2 ON p2.id = p1.parent_id LEFT JOIN o p3 ON p3.id = p2.parent_id)
+        a.id IN (SELECT origin FROM loops) AS cycle FROM o a LEFT JOIN o p1 ON p1.id = a.parent_id)
         SELECT * FROM w WHERE missing_parent OR other_tenant OR cycle""",
     ),
     "source_authority": (

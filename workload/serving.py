@@ -157,6 +157,45 @@ def keyed_insert(spark: SparkSession, sf: str) -> DataFrame:
     return merge.insert_if_absent(target, source, ["key"], order)
 
 
+def refused_posts(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as posts, every seventh without an id: stored, refused, and added by a second run, per event type."""
+    posts = table(spark, sf, "events").select(
+        F.col("event_type").alias("system"),
+        F.when(F.col("event_id") % 7 != 0, F.floor(F.col("event_id") / 2)).alias("post_id"),
+        "event_id",
+    )
+    keys, order = ["system", "post_id"], [F.col("event_id")]
+    stored = merge.insert_if_absent(posts.limit(0), posts, keys, order)
+    again = merge.insert_if_absent(stored, posts, keys, order)
+    parts = [
+        stored.select("system", F.lit("stored").alias("outcome")),
+        merge.without_key(posts, keys).select("system", F.lit("refused").alias("outcome")),
+        again.select("system", F.lit("added again").alias("outcome")),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("system", "outcome").agg(F.count("*").alias("posts"))
+
+
+def second_import(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers as stored claims of two systems that share item ids; orders arrive with changes and blank carriers.
+
+    A known claim takes the new status, keeps its carrier where the new one is
+    blank, and keeps its state; the last row of a repeated order counts.
+    """
+    system = F.when(F.col("c_custkey") % 2 == 0, "board").otherwise("mail")
+    target = table(spark, sf, "customer").select(
+        system.alias("system"), F.floor(F.col("c_custkey") / 2).alias("item_id"), F.col("c_mktsegment").alias("carrier"),
+        F.lit("stored").alias("status"), F.lit("terminal").alias("state"),
+    )
+    source = table(spark, sf, "orders").select(
+        F.lit("board").alias("system"), F.floor(F.col("o_custkey") / 2).alias("item_id"),
+        F.when(F.col("o_orderstatus") != "F", F.col("o_orderpriority")).alias("carrier"),
+        F.col("o_orderstatus").alias("status"), F.lit("open").alias("state"), "o_orderkey",
+    )
+    return merge.upsert(
+        target, source, ["system", "item_id"], ["carrier", "status"], [F.col("o_orderkey")], keep_if_missing=["carrier"]
+    )
+
+
 def append_guard(spark: SparkSession, sf: str) -> DataFrame:
     """Documents whose text another version of the table altered or lost."""
     before = table(spark, sf, "documents").select("doc_id", "text", "lang")
@@ -497,6 +536,24 @@ QUERIES = {
         """SELECT CAST(l_orderkey AS VARCHAR) AS key, CAST(min(l_linenumber) AS BIGINT) AS value FROM lineitem
         WHERE l_orderkey NOT IN (SELECT doc_id FROM labels) GROUP BY 1""",
     ),
+    "refused_posts": (
+        refused_posts,
+        """WITH p AS (SELECT event_type AS system, CASE WHEN event_id % 7 <> 0 THEN event_id // 2 END AS post_id FROM events)
+        SELECT system, 'stored' AS outcome, count(DISTINCT post_id) AS posts FROM p WHERE post_id IS NOT NULL GROUP BY 1
+        UNION ALL SELECT system, 'refused', count(*) FROM p WHERE post_id IS NULL GROUP BY 1""",
+    ),
+    "second_import": (
+        second_import,
+        """WITH t AS (SELECT CASE WHEN c_custkey % 2 = 0 THEN 'board' ELSE 'mail' END AS system, c_custkey // 2 AS item_id,
+        c_mktsegment AS carrier FROM customer), s AS (SELECT o_custkey // 2 AS item_id,
+        arg_max(struct_pack(c := CASE WHEN o_orderstatus <> 'F' THEN o_orderpriority END, st := o_orderstatus), o_orderkey) AS r
+        FROM orders GROUP BY 1)
+        SELECT coalesce(t.system, 'board') AS system, coalesce(t.item_id, s.item_id) AS item_id,
+        CASE WHEN s.item_id IS NULL THEN t.carrier ELSE coalesce(s.r.c, t.carrier) END AS carrier,
+        CASE WHEN s.item_id IS NULL THEN 'stored' ELSE s.r.st END AS status,
+        CASE WHEN t.item_id IS NULL THEN 'open' ELSE 'terminal' END AS state
+        FROM t FULL JOIN s ON t.system = 'board' AND t.item_id = s.item_id""",
+    ),
     "append_guard": (
         append_guard,
         "SELECT doc_id, lang = 'fr' AS lost FROM documents WHERE lang = 'fr' OR contains(text, 'the ')",
