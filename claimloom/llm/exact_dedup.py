@@ -39,7 +39,7 @@ def duplicate_groups(
     ``hashed`` may be any hash: where one value covers several texts, the
     members are matched by the text itself.
     """
-    h, body, group, found = (fresh(docs, name) for name in ("_hash", "_body", "_group", "_found"))
+    h, body, group, found, sha = (fresh(docs, name) for name in ("_hash", "_body", "_group", "_found", "_sha256"))
     norm = normalised(F.col(text))
     order = F.struct(
         (-F.length(F.coalesce(F.col(text), F.lit("")))).alias("a"), F.col(doc_id).isNull().alias("b"), F.col(doc_id).alias("c")
@@ -60,11 +60,12 @@ def duplicate_groups(
             keep.alias("keep_id"),
             size.alias("group_size"),
             F.col(doc_id).eqNullSafe(keep).alias("kept"),
-            F.sha2(norm.cast("binary"), 256).alias("text_sha256"),
+            F.col(sha).alias("text_sha256"),
         )
         return rows.select(*[F.col(c) for c in docs.columns], fields.alias(group))
 
-    keyed = docs.withColumn(h, hashed(norm))
+    # both digests are taken before the join, so a caller who wants no text moves none
+    keyed = docs.withColumn(h, hashed(norm)).withColumn(sha, F.sha2(norm.cast("binary"), 256))
     single = per_hash.where("classes = 1").select(h, F.struct("o", "n").alias(found))
     out = decided(keyed.join(single, h), F.col(f"{found}.o"), F.col(f"{found}.n"))
     collided = per_hash.where("classes > 1").select(h)
