@@ -8,7 +8,6 @@ minimum, and verified by their differing bits.
 
 from __future__ import annotations
 
-import random
 import re
 from collections.abc import Iterator, Sequence
 from itertools import combinations
@@ -26,19 +25,17 @@ _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 SEED = 42
 SLICE = 1 << 16  # shingles whose bits are counted at a time
+SAMPLE = 16  # one text in so many is read for common shingles
+SAMPLE_ROWS = 4  # texts of the sample a common shingle occurs in
+COMMON = 500_000  # common shingles known to every task at most
 POSTING = 2048  # fingerprints of a posting list compared in one task at most, twice over
 
 
-def fingerprint(text: str | None, width: int, words64: int = 1) -> bytes:
-    """``words64`` * 8 bytes, the most significant bit first; all zero for a text without words.
-
-    A-Z are lowered. A bit is set if more than half of the shingles have it,
-    repeats included. The first 64 bits come from XXH64 with seed 42 of the
-    shingle; each further 64 bits mix that hash with another odd constant.
-    """
+def shingle_hashes(text: str | None, width: int) -> np.ndarray:
+    """XXH64 with seed 42 of each run of ``width`` words, A-Z lowered; of all words if there are fewer, of none without words."""
     words = _WORD.findall(text.encode("utf-8", "surrogatepass").translate(_LOWER)) if text else []
     if not words:
-        return bytes(8 * words64)
+        return np.zeros(0, dtype=np.uint64)
     joined = b" ".join(words)
     lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
     ends = np.cumsum(lengths + 1) - 1
@@ -48,15 +45,28 @@ def fingerprint(text: str | None, width: int, words64: int = 1) -> bytes:
         starts, ends = starts[: len(words) - width + 1], ends[width - 1 :]
     else:
         starts, ends = [0], ends[-1:]
-    n = len(starts)
     digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, ends)), dtype=np.uint64, count=len(starts))
+
+
+def print_of(hashes: np.ndarray, words64: int = 1) -> bytes:
+    """``words64`` * 8 bytes, the most significant bit first; all zero without hashes.
+
+    A bit is set if more than half of the hashes have it. The first 64 bits
+    come from the hash; each further 64 bits mix it with another odd constant.
+    """
     votes = np.zeros(64 * words64, dtype=np.int64)
-    for at in range(0, n, SLICE):
-        h = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[at : at + SLICE], ends[at : at + SLICE])], dtype=np.uint64)
+    for at in range(0, len(hashes), SLICE):
+        h = hashes[at : at + SLICE]
         for k in range(words64):
             bits = np.unpackbits(_remixed(h, k).astype(">u8").view(np.uint8)).reshape(-1, 64)
             votes[64 * k : 64 * k + 64] += bits.sum(axis=0, dtype=np.int64)
-    return np.packbits(votes * 2 > n).tobytes()
+    return np.packbits(votes * 2 > len(hashes)).tobytes()
+
+
+def fingerprint(text: str | None, width: int, words64: int = 1) -> bytes:
+    """The print of a text's shingles, repeats included; all zero for a text without words."""
+    return print_of(shingle_hashes(text, width), words64)
 
 
 def _remixed(h: np.ndarray, k: int) -> np.ndarray:
@@ -96,11 +106,6 @@ def covering_sets(positions: int, shared: int) -> list[tuple[int, ...]]:
     return chosen
 
 
-def sampled_sets(positions: int, count: int, seed: int = 1) -> list[tuple[int, ...]]:
-    """``count`` different triples, spread over the positions."""
-    return sorted(random.Random(seed).sample(list(combinations(range(positions), 3)), count))
-
-
 def _posting_keys(prints: str, sets: Sequence[Sequence[int]]) -> Column:
     entries = []
     for number, chosen in enumerate(sets):
@@ -143,13 +148,21 @@ def linked(
     """Edges (u, v) between ids of ``prints`` that connect all fingerprints within ``max_bits``.
 
     ``prints`` is a stored frame of (id, print), one row per fingerprint of
-    ``size`` bytes. The index holds ids alone; fingerprints join the lists that
+    ``size`` bytes.
+    """
+    keys = prints.select("id", F.explode(_posting_keys("print", sets)).alias("key"))
+    return linked_lists(keys, prints, size, max_bits, min_shared)
+
+
+def linked_lists(keys: DataFrame, prints: DataFrame, size: int, max_bits: int, min_shared: int = 0) -> DataFrame:
+    """Edges (u, v) that connect all ids within ``max_bits`` that share a key of ``keys``, (id, key).
+
+    The index holds ids alone; fingerprints join the lists that
     have two members or more. Each list is reduced to a spanning forest of its
     links, so a list of n similar fingerprints gives at most n - 1 edges and no
     connection is lost. Lists longer than ``POSTING`` are cut into blocks, and
     pairs of blocks are compared by different tasks.
     """
-    keys = prints.select("id", F.explode(_posting_keys("print", sets)).alias("key"))
     lengths = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     live = keys.join(lengths, "key").withColumn("cut", F.ceil(F.col("n") / POSTING).cast("int"))
     block = F.pmod(F.xxhash64("id"), F.col("cut")).cast("int")
@@ -221,27 +234,97 @@ def near_classes(docs: DataFrame, width: int = 4, max_bits: int = 4) -> DataFram
     return found.select("doc_id", F.lower(F.hex("print")).alias("fingerprint"), "component_id")
 
 
+def common_shingles(docs: DataFrame, width: int, text: str = "text") -> np.ndarray:
+    """Sorted hashes of shingles that often occur, by a sample of the texts.
+
+    They only put the shingles of a text in order. Any order finds the same
+    pairs; one with common shingles last keeps the lists of the index short.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.concatenate([np.unique(shingle_hashes(t.as_py(), width)) for t in batch.column(0)])
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], ["shingle"])
+
+    sample = docs.select(text).where(F.pmod(F.xxhash64(text), F.lit(SAMPLE)) == 0)
+    counted = sample.mapInArrow(run, "shingle bigint").groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") >= SAMPLE_ROWS)
+    often = counted.orderBy(F.desc("n"), "shingle").limit(COMMON).select("shingle").toArrow().column(0).to_numpy()
+    return np.sort(often.astype(np.int64).view(np.uint64))
+
+
+def prefix_keys(shingles: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles of a set, sorted and distinct, in the order all sets share: rare before common, then by hash.
+
+    Sets of Jaccard similarity ``similarity`` or more have at least that share
+    of each set in common, so both hold a shared one among their first ones:
+    no pair is lost.
+    """
+    n = len(shingles)
+    if not n:
+        return shingles
+    often = np.zeros(n, dtype=bool)
+    if len(common):
+        often = common[np.minimum(np.searchsorted(common, shingles), len(common) - 1)] == shingles
+    ordered = np.concatenate((shingles[~often], shingles[often]))
+    return ordered[: n - int(np.ceil(similarity * n - 1e-9)) + 1]
+
+
+def indexed_sets(docs: DataFrame, width: int, words64: int, similarity: float, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Stored (id, doc_id, content, digest, print, keys) of every row of ``docs``; ``id`` numbers the rows.
+
+    ``digest`` tells sets of shingles apart, ``content`` is a hash of the text.
+    The print is that of the distinct shingles, so repeats have no weight.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, width, text))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = shared.value
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t.as_py(), width)) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0), batch.column(1),
+                    pa.array([xxhash.xxh128_digest(s.tobytes()) for s in sets], pa.binary()),
+                    pa.array([print_of(s, words64) for s in sets], pa.binary()),
+                    pa.array([prefix_keys(s, common, similarity).view(np.int64) for s in sets], pa.list_(pa.int64())),
+                ],
+                ["doc_id", "content", "digest", "print", "keys"],
+            )
+
+    kind = docs.schema[doc_id].dataType.simpleString()
+    found = docs.select(doc_id, F.xxhash64(text).alias("content"), text).mapInArrow(
+        run, f"doc_id {kind}, content bigint, digest binary, print binary, keys array<bigint>"
+    )
+    return stored(found.withColumn("id", F.monotonically_increasing_id()), "shingle-sets")
+
+
 def one_of_each(
-    docs: DataFrame, width: int = 5, similarity: float = 0.8, words64: int = 16, lookups: int = 120, margin: float = 0.02, doc_id: str = "doc_id"
+    docs: DataFrame, width: int = 5, similarity: float = 0.8, words64: int = 16, margin: float = 0.02, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """``docs`` without near duplicates: of each component the document with the smallest id stays.
 
-    The share of differing bits estimates the angle between two shingle sets, and
+    Candidates are all pairs that share one of their first shingles
+    (``prefix_keys``), which every pair at ``similarity`` does. The share of
+    differing bits estimates the angle between two shingle sets, and
     so their Jaccard similarity; pairs estimated at ``similarity`` less ``margin``
-    or more are linked. At this distance no byte is sure to be shared, so the index looks up
-    ``lookups`` triples of positions in the first 32 bytes, and a longer
-    fingerprint decides: at 1024 bits the estimate is within 0.03 of the
-    similarity two times out of three. Rows that share an
+    or more are linked. Rows that share an
     id are one document. A row without id stays. Texts without words are equal.
     """
     size = 8 * words64
     least = similarity - margin
     cosine = 2 * least / (1 + least)
     max_bits = int(np.floor(np.arccos(cosine) / np.pi * 8 * size))
-    prints = prints_of(docs, width, words64, doc_id)
-    groups = print_components(prints, size, max_bits, 3, sampled_sets(min(size, 32), lookups))
-    dropped = prints.join(groups, "print").where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_id"))
-    first = prints.join(groups, "print").where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_id"))
+    sets = indexed_sets(docs, width, words64, similarity, doc_id, text)
+    classes = stored(sets.groupBy("digest").agg(F.min("id").alias("id"), F.min("doc_id").alias("first")), "set-classes")
+    distinct = sets.join(classes.select("id"), "id", "left_semi")
+    links = linked_lists(distinct.select("id", F.explode("keys").alias("key")), distinct.select("id", "print"), size, max_bits)
+    roots = components(links)
+    labelled = classes.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    least_ids = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
+    groups = labelled.join(least_ids, "root").select("digest", "component_id")
+    named = sets.select("doc_id", "digest").join(groups, "digest")
+    dropped = named.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_id"))
+    first = named.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_id"))
     # an id that stays in one component stays whole
     gone = dropped.join(first, "_id", "left_anti").distinct().withColumnRenamed("_id", fresh(docs, "_gone"))
     return docs.join(gone, F.col(doc_id) == F.col(gone.columns[0]), "left_anti")
