@@ -25,6 +25,7 @@ _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 SEED = 42
 SLICE = 1 << 16  # shingles whose bits are counted at a time
+COMPARED, COMPARED_SHINGLES = 256, 1 << 20  # members, and shingles, of a block of sets compared in one task
 SAMPLE = 16  # one text in so many is read for common shingles
 SAMPLE_ROWS = 4  # texts of the sample a common shingle occurs in
 COMMON = 500_000  # common shingles known to every task at most
@@ -270,7 +271,7 @@ def prefix_keys(shingles: np.ndarray, common: np.ndarray, similarity: float) ->
 
 
 def indexed_sets(docs: DataFrame, width: int, words64: int, similarity: float, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Stored (id, doc_id, content, digest, print, keys) of every row of ``docs``; ``id`` numbers the rows.
+    """Stored (id, doc_id, content, digest, size, print, keys) of every row of ``docs``; ``id`` numbers the rows.
 
     ``digest`` tells sets of shingles apart, ``content`` is a hash of the text.
     The print is that of the distinct shingles, so repeats have no weight.
@@ -285,40 +286,115 @@ def indexed_sets(docs: DataFrame, width: int, words64: int, similarity: float, d
                 [
                     batch.column(0), batch.column(1),
                     pa.array([xxhash.xxh128_digest(s.tobytes()) for s in sets], pa.binary()),
+                    pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([print_of(s, words64) for s in sets], pa.binary()),
                     pa.array([prefix_keys(s, common, similarity).view(np.int64) for s in sets], pa.list_(pa.int64())),
                 ],
-                ["doc_id", "content", "digest", "print", "keys"],
+                ["doc_id", "content", "digest", "size", "print", "keys"],
             )
 
     kind = docs.schema[doc_id].dataType.simpleString()
     found = docs.select(doc_id, F.xxhash64(text).alias("content"), text).mapInArrow(
-        run, f"doc_id {kind}, content bigint, digest binary, print binary, keys array<bigint>"
+        run, f"doc_id {kind}, content bigint, digest binary, size bigint, print binary, keys array<bigint>"
     )
     return stored(found.withColumn("id", F.monotonically_increasing_id()), "shingle-sets")
 
 
+def _exact_forest(sets: list[np.ndarray], blocks: np.ndarray, own: bool, similarity: float) -> list[tuple[int, int]]:
+    """Pairs of sets of Jaccard ``similarity`` or more, only those that join something not yet joined; ``own`` as in ``_forest``."""
+    n = len(sets)
+    sizes = np.array([len(s) for s in sets])
+    ends = np.cumsum(sizes)
+    names, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    holders = np.repeat(np.arange(n), sizes)[np.argsort(codes, kind="stable")]
+    starts = np.concatenate(([0], np.cumsum(np.bincount(codes, minlength=len(names)))))
+    group = np.arange(n)
+    out = []
+    for i in range(n - 1):
+        rest = i + 1 + np.flatnonzero(group[i + 1 :] != group[i])
+        if not own:
+            rest = rest[blocks[rest] != blocks[i]]
+        rest = rest[np.minimum(sizes[rest], sizes[i]) >= similarity * np.maximum(sizes[rest], sizes[i]) - 1e-9]
+        if not rest.size:
+            continue
+        inside = codes[ends[i] - sizes[i] : ends[i]]
+        held = starts[inside + 1] - starts[inside]
+        places = np.arange(held.sum()) + np.repeat(starts[inside] - np.cumsum(held) + held, held)
+        shared = np.bincount(holders[places], minlength=n)[rest]
+        for j in rest[shared >= similarity * (sizes[i] + sizes[rest] - shared) - 1e-9].tolist():
+            if group[j] != group[i]:
+                group[group == group[j]] = group[i]
+                out.append((i, j))
+    return out
+
+
+def verified(members: DataFrame, docs: DataFrame, width: int, similarity: float, text: str = "text") -> DataFrame:
+    """Edges (u, v) that connect all ids of one root whose shingle sets have Jaccard ``similarity`` or more.
+
+    ``members`` is a stored frame of (id, root, content, digest, size). Texts are
+    found by ``content`` and told apart by ``digest``. A root's members are cut into blocks
+    of bounded length, and pairs of blocks are compared by different tasks.
+    """
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                sets = [np.unique(shingle_hashes(t.as_py(), width)).tobytes() for t in batch.column(0)[at : at + 256]]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(map(xxhash.xxh128_digest, sets), pa.binary()), pa.array(sets, pa.binary())], ["digest", "shingles"]
+                )
+
+    wanted = members.select(F.col("content").alias("_content")).distinct()
+    texts = docs.select(text).join(wanted, F.xxhash64(text) == F.col("_content"), "left_semi")
+    sets = texts.mapInArrow(read, "digest binary, shingles binary").groupBy("digest").agg(F.first("shingles").alias("shingles"))
+    pieces = F.greatest(F.ceil(F.count("*") / COMPARED), F.ceil(F.sum("size") / COMPARED_SHINGLES)).cast("int")
+    cuts = members.groupBy("root").agg(pieces.alias("cut"))
+    placed = members.join(cuts, "root").withColumn("block", F.pmod(F.xxhash64("id"), F.col("cut")).cast("int"))
+    dealt = placed.join(sets, "digest").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cut") - 1)))
+    lists = dealt.groupBy("root", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")).agg(
+        F.collect_list(F.struct("id", "block", "shingles")).alias("members")
+    )
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left: list[int] = []
+            right: list[int] = []
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1).to_pylist()[0]
+                found = row["members"]
+                held = [np.frombuffer(m["shingles"], dtype=np.uint64) for m in found]
+                blocks = np.array([m["block"] for m in found])
+                pairs = _exact_forest(held, blocks, row["low"] == row["high"], similarity)
+                left += [found[i]["id"] for i, _ in pairs]
+                right += [found[j]["id"] for _, j in pairs]
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["u", "v"])
+
+    return lists.select("low", "high", "members").mapInArrow(compare, "u bigint, v bigint").distinct()
+
+
 def one_of_each(
-    docs: DataFrame, width: int = 5, similarity: float = 0.8, words64: int = 16, margin: float = 0.02, doc_id: str = "doc_id", text: str = "text"
+    docs: DataFrame, width: int = 5, similarity: float = 0.8, words64: int = 16, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """``docs`` without near duplicates: of each component the document with the smallest id stays.
 
-    Candidates are all pairs that share one of their first shingles
-    (``prefix_keys``), which every pair at ``similarity`` does. The share of
-    differing bits estimates the angle between two shingle sets, and
-    so their Jaccard similarity; pairs estimated at ``similarity`` less ``margin``
-    or more are linked. Rows that share an
+    Two documents are linked if their sets of distinct shingles have Jaccard
+    ``similarity`` or more. Every such pair shares one of its first shingles
+    (``prefix_keys``) and differs in fewer than a quarter of the fingerprint's
+    bits: at 0.8 and 1,024 bits a quarter is five standard deviations or more
+    above what is to be expected, even of sets of four and five shingles. Pairs
+    within that join groups, and inside each the sets themselves are compared. Rows that share an
     id are one document. A row without id stays. Texts without words are equal.
     """
     size = 8 * words64
-    least = similarity - margin
-    cosine = 2 * least / (1 + least)
-    max_bits = int(np.floor(np.arccos(cosine) / np.pi * 8 * size))
+    cosine = 2 * similarity / (1 + similarity)
+    # further apart than a quarter where lower similarities are asked for
+    max_bits = 2 * size + max(0, int(np.arccos(cosine) / np.pi * 8 * size) - int(0.15 * 8 * size))
     sets = indexed_sets(docs, width, words64, similarity, doc_id, text)
     classes = stored(sets.groupBy("digest").agg(F.min("id").alias("id"), F.min("doc_id").alias("first")), "set-classes")
     distinct = sets.join(classes.select("id"), "id", "left_semi")
-    links = linked_lists(distinct.select("id", F.explode("keys").alias("key")), distinct.select("id", "print"), size, max_bits)
-    roots = components(links)
+    loose = components(linked_lists(distinct.select("id", F.explode("keys").alias("key")), distinct.select("id", "print"), size, max_bits))
+    members = loose.withColumnRenamed("node", "id").join(sets.select("id", "content", "digest", "size"), "id")
+    roots = components(verified(stored(members, "loose-groups"), docs, width, similarity, text))
     labelled = classes.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     least_ids = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
     groups = labelled.join(least_ids, "root").select("digest", "component_id")

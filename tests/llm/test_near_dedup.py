@@ -1,5 +1,6 @@
 """Near copies at and around a similarity of 0.8, against brute force."""
 
+import itertools
 import random
 
 import numpy as np
@@ -34,3 +35,28 @@ def test_every_pair_at_the_similarity_shares_a_key():
             near += 1
             assert len(shared), texts
     assert near > 100
+
+
+def test_near_dedup_equals_exact_components(spark, monkeypatch):
+    rng = random.Random(8)
+    texts = []
+    for n in range(120):
+        texts += text_pair(rng, 0.70 + n % 26 / 100, rng.choice([5, 9, 60, 300]))[:2]
+    # one line over and over, and different rests: equal by votes that count repeats, far apart as sets
+    line = " ".join(f"again{k}" for k in range(12)) + " "
+    texts += [line * 40 + " ".join(f"rest{n}x{k}" for k in range(60)) for n in range(6)]
+    # a family whose neighbours are near and whose ends are not, longer than a block
+    words = [f"chain{k}" for k in range(200)]
+    texts += [" ".join(words[k : k + 100]) for k in range(0, 100, 5)]
+    texts += [texts[0].upper(), "", None, "four words are short", "Four words are short"]
+    rows = list(enumerate(texts))
+    rng.shuffle(rows)
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    root = list(range(len(texts)))
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9:
+            x, y = sorted((root[a], root[b]))
+            root = [x if r == y else r for r in root]
+    monkeypatch.setattr(simhash, "COMPARED", 7)
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(root))
