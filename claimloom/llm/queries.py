@@ -6,13 +6,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm import exact_dedup, language, lm, mixture, pieces, quality, simhash, token_files, toxicity, warc
+from claimloom.llm import exact_dedup, language, lm, mixture, packing, pieces, quality, simhash, token_files, toxicity, warc
 from claimloom.llm.store import crc32_of, shared_folder, table
 
 WEIGHTS = (5, 2, 1)
 MOST = 3.0
 MIX_SEED = 20
 END_ID = 2
+PACK_END_ID = 1
+PACK_LIMITS = packing.Limits(tokens=2048, segments=64, loss_tokens=2047)
 
 
 def op1_mixture(spark: SparkSession, sf: str) -> DataFrame:
@@ -196,6 +198,15 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail
 FROM failed
 """
 
+
+def op11_packing(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    found = packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"), PACK_END_ID, PACK_LIMITS)
+    return found.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "loss_tokens"
+    )
+
+
 QUERIES = {
     "op1_mixture": (op1_mixture, OP1_SQL),
     "op2_token_files": (op2_token_files, None),
@@ -207,4 +218,5 @@ QUERIES = {
     "op8_toxicity": (op8_toxicity, None),
     "op9_pieces": (op9_pieces, None),
     "op10_quality": (op10_quality, OP10_SQL),
+    "op11_packing": (op11_packing, None),
 }
