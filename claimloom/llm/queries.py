@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm import exact_dedup, language, lm, mixture, packing, pieces, quality, simhash, token_files, toxicity, warc
+from claimloom.llm import centroids, exact_dedup, language, lm, mixture, packing, pieces, quality, simhash, token_files, toxicity, trie, warc
 from claimloom.llm.store import crc32_of, shared_folder, table
 
 WEIGHTS = (5, 2, 1)
@@ -14,6 +14,11 @@ MOST = 3.0
 MIX_SEED = 20
 END_ID = 2
 PACK_END_ID = 1
+CLUSTERS = 16
+CLUSTER_ROUNDS = 3
+CLUSTER_SEED = 1
+TRIE_FAMILY = 5
+TRIE_CYCLE = 9
 PACK_LIMITS = packing.Limits(tokens=2048, segments=64, loss_tokens=2047)
 
 
@@ -207,6 +212,96 @@ def op11_packing(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+
+def op12_centroids(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    found, final = centroids.clustered(vectors, "embedding", CLUSTERS, CLUSTER_ROUNDS, CLUSTER_SEED)
+    return centroids.with_inertia(found, final)
+
+
+def _op12_sql() -> str:
+    """Every round assigns by the least distance * 16 + number and floors the means."""
+    parts = [
+        f"""kept AS MATERIALIZED (
+  SELECT vec_id, embedding, row_number() OVER () AS row_no,
+         list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+), centroids0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY mark, embedding) - 1 AS c, v
+  FROM (SELECT *, sha256('{CLUSTER_SEED}:' || coalesce(CAST(vec_id AS VARCHAR), '')) AS mark FROM kept)
+  ORDER BY mark, embedding LIMIT {CLUSTERS}
+)"""
+    ]
+    for r in range(CLUSTER_ROUNDS + 1):
+        parts.append(f"""assigned{r} AS MATERIALIZED (
+  SELECT row_no, any_value(vec_id) AS vec_id, any_value(k.v) AS v,
+         min(list_sum(list_transform(list_zip(k.v, m.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) * {CLUSTERS} + c) AS best
+  FROM kept k, centroids{r} m GROUP BY row_no
+)""")
+        if r < CLUSTER_ROUNDS:
+            parts.append(f"""means{r} AS (
+  SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS v
+  FROM (SELECT best % {CLUSTERS} AS c, i, sum(v[i]) AS s, count(*) AS n
+        FROM assigned{r}, (SELECT unnest(range(1, 65)) AS i) GROUP BY ALL) GROUP BY c
+), centroids{r + 1} AS MATERIALIZED (
+  SELECT c, coalesce(list_transform(means{r}.v, lambda x: CAST(x AS BIGINT)), centroids{r}.v) AS v
+  FROM centroids{r} LEFT JOIN means{r} USING (c)
+)""")
+    return "WITH " + ", ".join(parts) + f"""
+SELECT vec_id, CAST(best % {CLUSTERS} AS INTEGER) AS cluster, CAST(best // {CLUSTERS} AS BIGINT) AS distance,
+       CAST(sum(best // {CLUSTERS}) OVER (PARTITION BY best % {CLUSTERS}) AS BIGINT) AS cluster_inertia,
+       CAST(sum(best // {CLUSTERS}) OVER () AS BIGINT) AS inertia, sha256(array_to_string(m.v, ',')) AS centroid_sha256
+FROM assigned{CLUSTER_ROUNDS} JOIN centroids{CLUSTER_ROUNDS} m ON best % {CLUSTERS} = c
+"""
+
+
+
+def op13_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    return trie.nodes(table(spark, sf, "conversations"), TRIE_FAMILY, TRIE_CYCLE)
+
+
+OP13_SQL = rf"""
+WITH turns AS (
+  SELECT conv_id, id, bytes, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, id) AS i
+  FROM (SELECT conv_id, turn, octet_length(encode(coalesce(text, ''))) AS bytes,
+               md5(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, '')) AS id
+        FROM conversations WHERE conv_id IS NOT NULL)
+), convs AS (
+  SELECT conv_id, conv_id - conv_id % {TRIE_FAMILY} AS base,
+         xor(4294967295, list_reduce(
+           list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda d: CAST(ascii(d) AS BIGINT))),
+           lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))
+         )) % {TRIE_CYCLE} AS h
+  FROM (SELECT DISTINCT conv_id FROM turns)
+), rebuilt AS (
+  SELECT c.conv_id, 0 AS part, i, id, bytes FROM convs c JOIN turns t ON t.conv_id = c.base AND t.i <= c.h
+  UNION ALL
+  SELECT c.conv_id, 1, i, id, bytes FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND t.i > c.h
+), members AS MATERIALIZED (
+  SELECT conv_id, row_number() OVER step AS depth, string_agg(id, '') OVER step AS path, bytes FROM rebuilt
+  WINDOW step AS (PARTITION BY conv_id ORDER BY part, i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+  UNION ALL
+  SELECT conv_id, 0, '', 0 FROM convs
+), nodes AS MATERIALIZED (
+  SELECT path, any_value(depth) AS depth, any_value(bytes) AS bytes, min(conv_id) AS conv_id, count(*) AS n_convs FROM members GROUP BY path
+), children AS (
+  SELECT substr(path, 1, len(path) - 32) AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1
+), own AS MATERIALIZED (
+  SELECT nodes.*, coalesce(n_children, 0) AS n_children, (n_convs - 1) * bytes AS saved FROM nodes LEFT JOIN children USING (path)
+), subtrees AS (
+  SELECT m.path, sum(saved) AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves
+  FROM own JOIN members m ON m.conv_id = own.conv_id AND m.depth <= own.depth GROUP BY m.path
+), ends AS (
+  SELECT path, sha256(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)) AS ends_sha256
+  FROM (SELECT *, max(depth) OVER (PARTITION BY conv_id) AS turns FROM members) WHERE depth = turns GROUP BY path
+)
+SELECT own.conv_id, CAST(own.depth AS BIGINT) AS depth, above.conv_id AS parent_conv_id, own.n_convs, own.n_children, n_leaves,
+       CAST(saved_tokens AS BIGINT) AS saved_tokens, coalesce(ends_sha256, sha256('')) AS ends_sha256
+FROM own JOIN subtrees USING (path) LEFT JOIN ends USING (path)
+LEFT JOIN own above ON own.depth > 0 AND above.path = substr(own.path, 1, len(own.path) - 32)
+"""
+
 QUERIES = {
     "op1_mixture": (op1_mixture, OP1_SQL),
     "op2_token_files": (op2_token_files, None),
@@ -219,4 +314,6 @@ QUERIES = {
     "op9_pieces": (op9_pieces, None),
     "op10_quality": (op10_quality, OP10_SQL),
     "op11_packing": (op11_packing, None),
+    "op12_centroids": (op12_centroids, _op12_sql()),
+    "op13_prefix_trie": (op13_prefix_trie, OP13_SQL),
 }
