@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from itertools import repeat
 
 import numpy as np
 
+MOST_PIECES = 600_000  # pieces whose ids a worker remembers
 
 class Codes(dict):
     """stretch -> number, given out as stretches turn up; ``new`` collects those."""
@@ -28,6 +30,42 @@ def laid_out(starts: np.ndarray, values: np.ndarray, codes: np.ndarray) -> tuple
     return values[places], np.concatenate((np.zeros(1, dtype=np.int64), total))
 
 
+class Remembered:
+    """Ids of pieces of text by ``learn``; beyond ``most`` pieces the less used half goes."""
+
+    def __init__(self, learn: Callable[[list[str]], tuple[list[int], list[int]]], most: int = MOST_PIECES) -> None:
+        self.learn, self.most = learn, most
+        self.codes: dict[str, int] = {}
+        self.starts = np.zeros(1, dtype=np.int64)
+        self.ids = np.zeros(0, dtype=np.uint32)
+        self.uses = np.zeros(0, dtype=np.int64)
+
+    def known(self, pieces: Sequence[str], uses: np.ndarray) -> np.ndarray:
+        """The code of each of some distinct pieces, which turn up ``uses`` times."""
+        found = np.fromiter(map(self.codes.get, pieces, repeat(-1)), dtype=np.int64, count=len(pieces))
+        unknown = np.flatnonzero(found < 0)
+        if unknown.size:
+            new = [pieces[k] for k in unknown.tolist()]
+            found[unknown] = np.arange(len(self.codes), len(self.codes) + len(new))
+            ids, sizes = self.learn(new)
+            self.codes.update(zip(new, range(len(self.codes), len(self.codes) + len(new))))
+            self.starts = np.concatenate((self.starts, self.starts[-1] + np.cumsum(np.array(sizes, dtype=np.int64))))
+            self.ids = np.concatenate((self.ids, np.array(ids, dtype=np.uint32)))
+            self.uses = np.concatenate((self.uses, np.zeros(len(new), dtype=np.int64)))
+        self.uses[found] += uses
+        return found
+
+    def make_room(self) -> None:
+        """Codes given out before are void after this."""
+        if len(self.codes) <= self.most:
+            return
+        stay = np.sort(np.argsort(-self.uses, kind="stable")[: self.most // 2])
+        names = list(self.codes)
+        self.ids, edges = laid_out(self.starts, self.ids, stay)
+        self.starts, self.uses = edges, self.uses[stay] // 2
+        self.codes = {names[k]: n for n, k in enumerate(stay.tolist())}
+
+
 class Memo:
     """Ids and score of stretches by ``learn``, remembered up to ``most`` of them."""
 

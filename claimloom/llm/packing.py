@@ -17,10 +17,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from claimloom.llm.store import by_bytes
 from claimloom.llm.words import word_encoder
 
 PART_BYTES = 4 << 20  # of text encoded at a time, exceeded only by a single longer text
@@ -209,7 +209,7 @@ def packed(docs: DataFrame, vocabulary: str, end_id: int, limits: Limits = Limit
         id_type = None
         for batch in batches:
             id_type = batch.schema.field(0).type
-            for part in by_bytes(batch, [1, *([2] if prompt else [])]):
+            for part in by_bytes(batch, [1, *([2] if prompt else [])], PART_BYTES):
                 ids, sizes = encoder.encode(part.column(1))
                 before, ahead = encoder.encode(part.column(2)) if prompt else (ids[:0], np.zeros_like(sizes))
                 ends, heads = np.cumsum(sizes), np.cumsum(ahead)
@@ -241,14 +241,3 @@ def _some(sequences: Iterator[list[Piece]], most: int) -> Iterator[list[list[Pie
             group = []
     if group:
         yield group
-
-
-def by_bytes(batch: pa.RecordBatch, texts: list[int], most: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with so many bytes of text at most, or a single row."""
-    sizes = sum(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in texts)
-    total = np.cumsum(sizes)
-    at = 0
-    while at < batch.num_rows:
-        upto = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, side="right")))
-        yield batch.slice(at, upto - at)
-        at = upto

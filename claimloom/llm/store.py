@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,3 +50,14 @@ def crc32_of(doc_id: str = "doc_id") -> Column:
 def shards(spark: SparkSession, total: int, each: int) -> int:
     """How many pieces of about ``each`` a total makes, at least one."""
     return max(1, -(-int(total or 0) // each))
+
+
+def by_bytes(batch: pa.RecordBatch, texts: list[int], most: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with so many bytes of text at most, or a single row."""
+    sizes = sum(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in texts)
+    total = np.cumsum(sizes)
+    at = 0
+    while at < batch.num_rows:
+        upto = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, side="right")))
+        yield batch.slice(at, upto - at)
+        at = upto

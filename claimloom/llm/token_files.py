@@ -22,43 +22,34 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from claimloom.llm.store import shared_folder, shards, stored
+from claimloom.llm.memo import Remembered, laid_out
+from claimloom.llm.store import by_bytes, shared_folder, shards, stored
+from claimloom.llm.worker import held
 
 BLOCK_IDS = 1 << 18  # ids per block, exceeded only by a single longer document
 FILE_BLOCKS = 16  # blocks per file
 SHARD_BYTES = 16 << 20
-MEMO = 250_000  # pieces of text whose ids a worker remembers at a time
+PART_BYTES = 8 << 20  # of text encoded at a time, exceeded only by a single longer text
 
 MAGIC = b"TIDS"
 # magic, payload bytes, first id's position, documents, ids
 _HEADER = "<4sQQQQ"
 
-_SPECIAL = "<|"
+# texts that are encoded whole: with the cutting mark, the marks of special tokens, or line feeds that may be one token
+_APART = r"\x00|<\||\n\n"
 
 
 # --- tokenizing ----------------------------------------------------------------
 
 
-class _Codes(dict):
-    """piece -> number, given out as pieces turn up; ``new`` collects those."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.new: list[str] = []
-
-    def __missing__(self, piece: str) -> int:
-        code = self[piece] = len(self)
-        self.new.append(piece)
-        return code
-
-
 class Encoder:
-    """Ids of texts; equal pieces of text are encoded once, many together.
+    """Ids of texts; equal pieces of text are encoded once and remembered from task to task.
 
     The vocabulary's own pre-tokenizer begins a new token before a blank and
     around a line feed that stand alone between other characters, so the ids of
-    a text are the ids of the pieces between them in a row. A text with other
-    white space, or with the marks of special tokens, is encoded whole.
+    a text are the ids of the pieces between them in a row. Arrow cuts the texts, and
+    the pieces into letters and marks; only distinct parts meet Python. A text with other white space, or
+    with the marks of special tokens, is encoded whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -66,87 +57,72 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.alphabet = byte_alphabet()
-        self.forget()
-
-    def forget(self) -> None:
-        self.codes = _Codes()
-        self.starts = np.zeros(1, dtype=np.int64)
-        self.ids = np.zeros(0, dtype=np.uint32)
-        self.whole = np.zeros(0, dtype=bool)
-
-    @staticmethod
-    def pieces(text: str) -> list[str]:
-        return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+        self.parts = Remembered(self._learn)
 
     def _ids(self, token: str) -> list[int]:
         """Ids of one pre-token, which is plain text."""
         spelled = token.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.alphabet)
         return [t.id for t in self.tokenizer.model.tokenize(spelled)]
 
-    def _learn(self) -> None:
-        """Ids of the new pieces: letters and marks are split here, all else by the tokenizer."""
-        new, self.codes.new = self.codes.new, []
+    def _learn(self, new: list[str]) -> tuple[list[int], list[int]]:
+        """Ids of parts: letters or marks alone are one pre-token, all else goes to the tokenizer; ``_ODD`` where the text counts as a whole."""
         ids: list[int] = []
         sizes: list[int] = []
-        odd = np.zeros(len(new), dtype=bool)
-        simple, own_ids = _SIMPLE.fullmatch, self._ids
-        for k, piece in enumerate(new):
+        one_token, own_ids = _ONE_TOKEN.fullmatch, self._ids
+        for part in new:
             before = len(ids)
-            plain = simple(piece)
-            if plain is not None:
-                letters, marks = plain.groups()
-                ids += own_ids(letters)
-                if marks:
-                    ids += own_ids(marks)
-            elif piece != "\n" and (not piece.strip() or _INNER.search(piece) is not None):
-                odd[k] = True
+            if one_token(part):
+                ids += own_ids(part)
+            elif not part:
+                pass
+            elif part != "\n" and (not part.strip() or _INNER.search(part) is not None):
+                ids.append(_ODD)
             else:
-                ids += self.tokenizer.encode(piece, add_special_tokens=False).ids
+                ids += self.tokenizer.encode(part, add_special_tokens=False).ids
             sizes.append(len(ids) - before)
-        self.whole = np.concatenate((self.whole, odd))
-        self.starts = np.concatenate((self.starts, self.starts[-1] + np.cumsum(np.array(sizes, dtype=np.int64))))
-        self.ids = np.concatenate((self.ids, np.array(ids, dtype=np.uint32)))
+        return ids, sizes
+
+    def _codes(self, parts: pa.Array) -> np.ndarray:
+        coded = parts.dictionary_encode()
+        places = coded.indices.to_numpy(zero_copy_only=False)
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        return self.parts.known(distinct, np.bincount(places, minlength=len(distinct)))[places]
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and how many each text has; a missing text has none."""
-        if len(self.codes) > MEMO:
-            self.forget()
-        flat: list[str] = []
-        edges = [0]
-        apart = []
-        for k, text in enumerate(texts):
-            if text:
-                if "\0" in text or _SPECIAL in text:
-                    apart.append(k)
-                else:
-                    flat += self.pieces(text)
-            edges.append(len(flat))
-        codes = np.fromiter(map(self.codes.__getitem__, flat), dtype=np.int64, count=len(flat))
-        if self.codes.new:
-            self._learn()
-        cuts = np.array(edges)
-        odd = np.flatnonzero(self.whole[codes])
-        if odd.size:
-            apart = sorted({*apart, *(np.searchsorted(cuts, odd, side="right") - 1).tolist()})
-        lengths = self.starts[codes + 1] - self.starts[codes]
-        total = np.cumsum(lengths)
-        places = np.arange(total[-1] if total.size else 0) + np.repeat(self.starts[codes] - (total - lengths), lengths)
-        ends = np.concatenate(([0], total))[cuts]
-        ids, counts = self.ids[places], np.diff(ends)
-        if not apart:
+        self.parts.make_room()
+        whole = pc.fill_null(pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string()), "")
+        marked = pc.match_substring_regex(whole, _APART)
+        cut = pc.replace_substring(pc.replace_substring(pc.if_else(marked, "", whole), " ", "\0 "), "\n", "\0\n\0")
+        pieces = pc.split_pattern(cut, "\0")
+        coded = pieces.flatten().dictionary_encode()
+        split = pc.extract_regex(coded.dictionary, _SIMPLE)
+        first = pc.coalesce(pc.struct_field(split, 0), coded.dictionary)
+        marks = pc.fill_null(pc.struct_field(split, 1), "")
+        codes = np.stack([self._codes(first), self._codes(marks)], axis=1).ravel()
+        piece_ids, piece_edges = laid_out(self.parts.starts, self.parts.ids, codes)
+        ids, total = laid_out(piece_edges[::2], piece_ids, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64))
+        edges = pieces.offsets.to_numpy()
+        ends = total[edges - edges[0]]
+        counts = np.diff(ends)
+        odd = np.searchsorted(ends, np.flatnonzero(ids == _ODD), side="right") - 1
+        apart = np.union1d(odd, np.flatnonzero(marked.to_numpy(zero_copy_only=False)))
+        if not apart.size:
             return ids, counts
         parts, at = [], 0
-        for k in apart:
-            own = np.array(self.tokenizer.encode(texts[k], add_special_tokens=False).ids, dtype=np.uint32)
+        for k in apart.tolist():
+            own = np.array(self.tokenizer.encode(whole[k].as_py(), add_special_tokens=False).ids, dtype=np.uint32)
             parts += [ids[at : ends[k]], own]
             at, counts[k] = ends[k + 1], len(own)
         return np.concatenate([*parts, ids[at:]]), counts
 
 
+_ODD = (1 << 32) - 1
 # white space after the first character, or at its place if it is no blank
 _INNER = re.compile(r"(?<=.)\s|^[^\S ]", re.DOTALL)
 # Latin letters after a blank or none, and then marks that make one pre-token
-_SIMPLE = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?|]*)")
+_SIMPLE = r"^(?P<letters> ?[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[.,;:!?|]*)$"
+_ONE_TOKEN = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+|[.,;:!?|]+")
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -187,18 +163,15 @@ def token_blocks(docs: DataFrame, vocabulary: str, end_id: int, shard_bytes: int
             return out
 
         for batch in batches:
-            sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
-            at = 0
-            while at < len(sizes):
-                upto, held = at, 0
-                while upto < len(sizes) and (held == 0 or held + sizes[upto] <= 2 * BLOCK_IDS):
-                    held += sizes[upto] + 1
-                    upto += 1
-                part = batch.slice(at, upto - at)
-                ids, counts = encoder.encode(part.column(1).to_pylist())
-                ids = np.insert(ids, np.cumsum(counts), end_id)
-                yield emit(part.column(0).to_pylist(), counts + 1, ids)
-                at = upto
+            for part in by_bytes(batch, [1], PART_BYTES):
+                ids, counts = encoder.encode(part.column(1))
+                ids, counts, names = np.insert(ids, np.cumsum(counts), end_id), counts + 1, part.column(0).to_pylist()
+                ends = np.cumsum(counts)
+                at = done = 0
+                while at < len(names):
+                    upto = max(at + 1, int(np.searchsorted(ends, done + BLOCK_IDS, side="right")))
+                    yield emit(names[at:upto], counts[at:upto], ids[done : ends[upto - 1]])
+                    at, done = upto, int(ends[upto - 1])
 
     return stored(
         ordered.mapInArrow(run, "shard int, block int, before bigint, doc_ids array<bigint>, counts array<bigint>, ids binary, wide boolean"),
@@ -210,13 +183,10 @@ _BLOCK_SCHEMA = pa.schema([
     ("shard", pa.int32()), ("block", pa.int32()), ("before", pa.int64()), ("doc_ids", pa.list_(pa.int64())),
     ("counts", pa.list_(pa.int64())), ("ids", pa.binary()), ("wide", pa.bool_()),
 ])
-_ENCODERS: dict[str, Encoder] = {}
 
 
 def _encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    return held("pieces", path, lambda: Encoder(path))
 
 
 # --- the code ------------------------------------------------------------------

@@ -8,52 +8,15 @@ task and lets go of the rarely used ones when it holds too many.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from claimloom.llm.memo import laid_out
+from claimloom.llm.memo import Remembered, laid_out
 from claimloom.llm.token_files import byte_alphabet
 from claimloom.llm.worker import held
 
-MOST_WORDS = 600_000  # words whose ids a worker remembers
-
-
-class Remembered:
-    """Ids of pieces of text by ``learn``; beyond ``most`` pieces the less used half goes."""
-
-    def __init__(self, learn: Callable[[list[str]], tuple[list[int], list[int]]], most: int = MOST_WORDS) -> None:
-        self.learn, self.most = learn, most
-        self.codes: dict[str, int] = {}
-        self.starts = np.zeros(1, dtype=np.int64)
-        self.ids = np.zeros(0, dtype=np.uint32)
-        self.uses = np.zeros(0, dtype=np.int64)
-
-    def known(self, pieces: Sequence[str], uses: np.ndarray) -> np.ndarray:
-        """The code of each of some distinct pieces, which turn up ``uses`` times."""
-        new = [piece for piece in pieces if piece not in self.codes]
-        if new:
-            ids, sizes = self.learn(new)
-            self.codes.update(zip(new, range(len(self.codes), len(self.codes) + len(new))))
-            self.starts = np.concatenate((self.starts, self.starts[-1] + np.cumsum(np.array(sizes, dtype=np.int64))))
-            self.ids = np.concatenate((self.ids, np.array(ids, dtype=np.uint32)))
-            self.uses = np.concatenate((self.uses, np.zeros(len(new), dtype=np.int64)))
-        found = np.fromiter(map(self.codes.__getitem__, pieces), dtype=np.int64, count=len(pieces))
-        self.uses[found] += uses
-        return found
-
-    def make_room(self) -> None:
-        """Codes given out before are void after this."""
-        if len(self.codes) <= self.most:
-            return
-        stay = np.sort(np.argsort(-self.uses, kind="stable")[: self.most // 2])
-        names = list(self.codes)
-        self.ids, edges = laid_out(self.starts, self.ids, stay)
-        self.starts, self.uses = edges, self.uses[stay] // 2
-        self.codes = {names[k]: n for n, k in enumerate(stay.tolist())}
-
 
 # letters whose lower case and composed form are plain, then marks that make one token with their like
 _PLAIN = r"^(?P<letters>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[.,;:!?]*)$"
@@ -91,7 +54,7 @@ class WordEncoder:
     def _codes(self, parts: pa.Array) -> np.ndarray:
         coded = parts.dictionary_encode()
         places = coded.indices.to_numpy(zero_copy_only=False)
-        distinct = coded.dictionary.to_pylist()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         return self.parts.known(distinct, np.bincount(places, minlength=len(distinct)))[places]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
