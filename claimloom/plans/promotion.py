@@ -1,13 +1,16 @@
 """Promotion of a parsed import into keyed tables.
 
 ``promote`` maps (tables, parsed import) to the next state of every table and
-writes nothing. Running it twice with the same artifact and version gives the
+writes nothing; ``PromotedStore`` merges the same batches into bucket tables and
+publishes them together. Running it twice with the same artifact and version gives the
 same tables, because every id follows from a natural key and every step is an
 upsert or a keyed insert.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +18,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from claimloom.functions.text import alias_key, natural_key, row_fingerprint, run_fingerprint
-from claimloom.operators.gate import start_job
 from claimloom.operators.issues import all_issues
 from claimloom.operators.joins import lookup_claim
 from claimloom.operators.merge import insert_if_absent, upsert
@@ -28,6 +30,8 @@ from claimloom.schema import (
     TERMINAL_RAW_STATUSES,
     SheetLayout,
 )
+from claimloom.sources.buckets import BUCKETS, BucketTable, Merge
+from claimloom.sources.commits import CommitLog
 from claimloom.sources.grid import repeated_headers
 
 Tables = dict[str, DataFrame]
@@ -208,25 +212,30 @@ def update_rows(updates: DataFrame, claims: DataFrame, job: ImportJob) -> DataFr
     )
 
 
-def promote(tables: Tables, parsed: ParsedImport, job: ImportJob, layout: SheetLayout) -> Tables:
-    """Next state of all tables after this import."""
-    spark = parsed.claims.sparkSession
-    keys = {name: list(key) for name, key in TABLE_KEYS.items()}
-    by_row = [F.col("source_row")]
-    out: Tables = {}
+@dataclass(frozen=True)
+class Batch:
+    """Rows of one import for one table: an upsert of ``replace`` columns, or an insert where that is None."""
 
-    def merged(
-        name: str, source: DataFrame, replace: list[str], ordered: bool = True, keep_if_missing: tuple[str, ...] = ()
-    ) -> None:
-        out[name] = upsert(tables[name], source, keys[name], replace, by_row if ordered else (), keep_if_missing)
+    table: str
+    rows: DataFrame
+    replace: tuple[str, ...] | None
+    order: tuple[Column, ...] = ()
+    keep_if_missing: tuple[str, ...] = ()
 
-    def appended(name: str, source: DataFrame, ordered: bool = True) -> None:
-        fresh = insert_if_absent(tables[name], source, keys[name], by_row if ordered else ())
-        out[name] = tables[name].unionByName(fresh)
+
+def batches(parsed: ParsedImport, job: ImportJob, layout: SheetLayout, claims_now: Callable[[], DataFrame]) -> Iterator[Batch]:
+    """What an import brings to each table, in the order in which tables are written.
+
+    ``claims_now`` gives the claims after their batch was taken, which updates
+    are linked to.
+    """
+    spark = parsed.claims.sparkSession
+    by_row = (F.col("source_row"),)
 
     n_rows = parsed.source_rows.agg(F.count("*")).scalar()
     n_updates = parsed.updates.agg(F.count("*")).scalar()
-    out["import_jobs"] = start_job(tables["import_jobs"], job_row(spark, job, n_rows, n_updates))
+    # a known job runs again: it is open once more under its old id
+    yield Batch("import_jobs", job_row(spark, job, n_rows, n_updates), ("status", "started_at", "completed_at"))
 
     files = spark.range(1).select(
         job.file_id.alias("source_file_id"),
@@ -236,7 +245,7 @@ def promote(tables: Tables, parsed: ParsedImport, job: ImportJob, layout: SheetL
         F.create_map(F.lit("period"), F.lit(job.period)).alias("metadata"),
         job.job_id.alias("import_job_id"),
     )
-    merged("source_files", files, ["metadata"], ordered=False)
+    yield Batch("source_files", files, ("metadata",))
 
     index = F.when(F.col("sheet") == layout.archive_sheet, F.lit(0)).otherwise(F.lit(1)).cast("bigint")
     sheets = parsed.header_maps.select(
@@ -252,7 +261,7 @@ def promote(tables: Tables, parsed: ParsedImport, job: ImportJob, layout: SheetL
         "header_map",
         job.job_id.alias("import_job_id"),
     )
-    merged("source_worksheets", sheets, ["header_map"], ordered=False)
+    yield Batch("source_worksheets", sheets, ("header_map",))
 
     worksheet = natural_key(job.file_id, index)
     rows = parsed.source_rows.select(
@@ -265,7 +274,7 @@ def promote(tables: Tables, parsed: ParsedImport, job: ImportJob, layout: SheetL
         row_fingerprint(F.col("row")).alias("row_fingerprint"),
         job.job_id.alias("import_job_id"),
     )
-    appended("source_rows", rows, ordered=False)
+    yield Batch("source_rows", rows, None)
 
     def with_source_row(df: DataFrame) -> DataFrame:
         # the id follows from file, sheet and row number, so it needs no lookup
@@ -274,11 +283,11 @@ def promote(tables: Tables, parsed: ParsedImport, job: ImportJob, layout: SheetL
     organizations = organization_rows(parsed.claims, "contractor").unionByName(
         organization_rows(parsed.claims, "carrier")
     )
-    merged("organizations", organizations, ["display_name"])
-    appended("organization_aliases", alias_rows(organizations, "organization_id", job))
+    yield Batch("organizations", organizations, ("display_name",), by_row)
+    yield Batch("organization_aliases", alias_rows(organizations, "organization_id", job), None, by_row)
     people = person_rows(parsed.claims)
-    merged("people", people, ["display_name"])
-    appended("person_aliases", alias_rows(people, "person_id", job))
+    yield Batch("people", people, ("display_name",), by_row)
+    yield Batch("person_aliases", alias_rows(people, "person_id", job), None, by_row)
 
     resolved = with_source_row(parsed.claims)
     staged = resolved.select(
@@ -292,22 +301,15 @@ def promote(tables: Tables, parsed: ParsedImport, job: ImportJob, layout: SheetL
         F.lit("promoted").alias("promotion_status"),
         "source_row",
     )
-    merged("staged_claim_rows", staged, ["normalized_values"])
-    claims = claim_rows(resolved, job)
+    yield Batch("staged_claim_rows", staged, ("normalized_values",), by_row)
     # a known claim keeps its state, and its links where the new cell is blank
     fixed = {"claim_id", "source_system", "item_id", "service_type", "property_type", "lifecycle_state"}
-    replaced = [c for c in tables["claims"].columns if c not in fixed]
-    merged("claims", claims, replaced, keep_if_missing=("carrier_id", "assigned_staff_id"))
-    merged(
-        "claim_financial_facts",
-        fact_rows(parsed.claims, job, layout),
-        ["raw_value", "parsed_numeric_value", "source_availability_status"],
-    )
-    merged(
-        "claim_derived_metrics",
-        derived_rows(parsed.claims, job),
-        ["calculated_value", "reconciliation_status", "difference"],
-    )
+    replaced = tuple(f.name for f in StructType.fromDDL(TABLES["claims"]) if f.name not in fixed)
+    yield Batch("claims", claim_rows(resolved, job), replaced, by_row, ("carrier_id", "assigned_staff_id"))
+    facts = fact_rows(parsed.claims, job, layout)
+    yield Batch("claim_financial_facts", facts, ("raw_value", "parsed_numeric_value", "source_availability_status"), by_row)
+    derived = derived_rows(parsed.claims, job)
+    yield Batch("claim_derived_metrics", derived, ("calculated_value", "reconciliation_status", "difference"), by_row)
 
     def subitems(df: DataFrame, method: str, *extra: str) -> DataFrame:
         return with_source_row(df).select(
@@ -321,13 +323,10 @@ def promote(tables: Tables, parsed: ParsedImport, job: ImportJob, layout: SheetL
             F.col("row").alias("raw_values"),
         )
 
-    appended("staged_subitem_headers", subitems(parsed.subitem_headers, "preceding_claim_position"), ordered=False)
-    appended(
-        "staged_subitem_details",
-        subitems(parsed.subitem_details, "preceding_claim_and_header_position", "header_row"),
-        ordered=False,
-    )
-    appended("claim_updates", update_rows(parsed.updates, out["claims"], job))
+    yield Batch("staged_subitem_headers", subitems(parsed.subitem_headers, "preceding_claim_position"), None)
+    details = subitems(parsed.subitem_details, "preceding_claim_and_header_position", "header_row")
+    yield Batch("staged_subitem_details", details, None)
+    yield Batch("claim_updates", update_rows(parsed.updates, claims_now(), job), None, by_row)
 
     marked = resolved.withColumn("claim_id", natural_key(F.lit(job.source_system), "item_id")).withColumn(
         "import_job_id", job.job_id
@@ -339,6 +338,90 @@ def promote(tables: Tables, parsed: ParsedImport, job: ImportJob, layout: SheetL
         parsed.subitem_details,
         job.period,
     ).withColumn("import_job_id", F.coalesce("import_job_id", job.job_id))
-    fresh = insert_if_absent(tables["dq_issues"], issues, keys["dq_issues"], [F.col("issue_type")])
-    out["dq_issues"] = tables["dq_issues"].unionByName(fresh)
+    yield Batch("dq_issues", issues, None, (F.col("issue_type"),))
+
+
+def promote(tables: Tables, parsed: ParsedImport, job: ImportJob, layout: SheetLayout) -> Tables:
+    """Next state of all tables after this import; writes nothing."""
+    out: Tables = {}
+    for batch in batches(parsed, job, layout, lambda: out["claims"]):
+        target, keys = tables[batch.table], list(TABLE_KEYS[batch.table])
+        if batch.replace is None:
+            out[batch.table] = target.unionByName(insert_if_absent(target, batch.rows, keys, batch.order))
+        else:
+            out[batch.table] = upsert(target, batch.rows, keys, batch.replace, batch.order, batch.keep_if_missing)
     return out
+
+
+class PromotedStore:
+    """The promoted tables as bucket tables below one folder, and the log of what is published.
+
+    Each import merges its batches into the tables, which rewrites only the
+    buckets that change, and then publishes the version of every table in one
+    commit. Readers see all tables of one commit. Of two imports that began from
+    the same commit, one is refused.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS) -> None:
+        self.spark = spark
+        self.root = root
+        self.log = CommitLog(spark, f"{root}/published")
+        self.tables = {
+            name: BucketTable(spark, f"{root}/{name}", ddl, TABLE_KEYS[name], 1 if name in SMALL_TABLES else buckets)
+            for name, ddl in TABLES.items()
+        }
+
+    def differing(self, one: int, other: int) -> dict[str, list[int]]:
+        """Buckets of every table whose rows differ between two commits, by their digests."""
+        a, b = self.published(one), self.published(other)
+        return {name: t.differing(a[name], b[name]) for name, t in self.tables.items()}
+
+    def published(self, commit: int | None = None) -> dict[str, int]:
+        """The version of every table in a commit, the latest one if none is named."""
+        found = self.log.read(self.log.latest() if commit is None else commit)
+        return {name: found.get("versions", {}).get(name, 0) for name in self.tables}
+
+    def read(self, commit: int | None = None) -> Tables:
+        return {name: self.tables[name].read(version) for name, version in self.published(commit).items()}
+
+    def promote(self, parsed: ParsedImport, job: ImportJob, layout: SheetLayout, commit: int | None = None) -> dict[str, Merge]:
+        """Merges an import into all tables of the latest commit, or of ``commit``, and publishes them together.
+
+        An import that fails on the way leaves the published tables as they were.
+        One that changes nothing publishes nothing. ``parsed`` is read by every
+        table; ``staged`` writes a large import first.
+        """
+        began = self.log.latest() if commit is None else commit
+        versions = self.published(began)
+
+        def merge(batch: Batch) -> Merge:
+            return self.tables[batch.table].merge(
+                batch.rows, batch.replace, batch.order, batch.keep_if_missing, versions[batch.table], exclusive=False
+            )
+
+        # the tables of one import don't wait for each other, but for the claims that updates are linked to
+        with ThreadPoolExecutor(MERGES_AT_ONCE) as pool:
+            running: dict[str, Future[Merge]] = {}
+            for batch in batches(parsed, job, layout, lambda: self.tables["claims"].read(running["claims"].result().version)):
+                running[batch.table] = pool.submit(merge, batch)
+            done = {name: future.result() for name, future in running.items()}
+        if any(m.rewritten for m in done.values()):
+            self.log.publish(began, {"versions": {name: m.version for name, m in done.items()}, "artifact": job.artifact_sha256})
+        return done
+
+
+MERGES_AT_ONCE = 4
+# one row per import, file or sheet
+SMALL_TABLES = ("import_jobs", "source_files", "source_worksheets")
+
+
+def staged(parsed: ParsedImport, folder: str) -> ParsedImport:
+    """The frames of an import, written once, so that sixteen tables don't parse the export again."""
+
+    def write(name: str, frame: DataFrame) -> DataFrame:
+        frame.write.parquet(f"{folder}/{name}")
+        return frame.sparkSession.read.schema(frame.schema).parquet(f"{folder}/{name}")
+
+    with ThreadPoolExecutor(MERGES_AT_ONCE) as pool:
+        frames = {name: pool.submit(write, name, frame) for name, frame in vars(parsed).items()}
+        return ParsedImport(**{name: future.result() for name, future in frames.items()})

@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from workload import ingest, kpi, lifecycle, profiling, serving
+from workload import ingest, kpi, lifecycle, profiling, serving, storage
 
-ALL = {**kpi.QUERIES, **ingest.QUERIES, **profiling.QUERIES, **serving.QUERIES, **lifecycle.QUERIES}
+ALL = {**kpi.QUERIES, **ingest.QUERIES, **profiling.QUERIES, **serving.QUERIES, **lifecycle.QUERIES, **storage.QUERIES}

@@ -107,17 +107,6 @@ def promoted_issues(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("deterministic_key", "issue_type", "severity", "source_entity", "import_job_id")
 
 
-def rerun_changes(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows that a second run of the same import adds or removes: none."""
-    first = promoted(spark, sf)
-    second = promote(first, parsed(spark, sf), JOB, LAYOUT)
-    changed = None
-    for name in ("organizations", "people", "claims"):
-        part = merge.row_differences(first[name], second[name]).select(F.lit(name).alias("table"), "surplus")
-        changed = part if changed is None else changed.unionByName(part)
-    return changed
-
-
 # --- keyed writes on plain tables ----------------------------------------------------
 
 
@@ -516,10 +505,6 @@ QUERIES = {
         promoted_issues,
         f"{ISSUES_SQL} SELECT deterministic_key, issue_type, severity, source_entity, {_JOB_ID} AS import_job_id FROM issues",
     ),
-    "rerun_changes": (
-        rerun_changes,
-        """SELECT CAST(o_orderkey AS VARCHAR) AS "table", o_orderkey AS surplus FROM orders WHERE FALSE""",
-    ),
     "keyed_upsert": (
         keyed_upsert,
         """WITH t AS (SELECT 'party ' || c_custkey AS normalized_name, 'Party ' || c_custkey AS display_name,
