@@ -147,7 +147,10 @@ def op8_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     model = toxicity.fit(docs.where(crc32_of() % 3 != 1), table(spark, sf, "labels"))
     found = toxicity.scored(docs, model)
     result = found.columns[-1]
-    return found.select("doc_id", (crc32_of() % 3 == 1).alias("held_out"), f"{result}.score", f"{result}.predicted")
+    return found.select(
+        "doc_id", (crc32_of() % 3 == 1).alias("held_out"), f"{result}.score", f"{result}.predicted",
+        F.col(f"{result}.evidence.doc_id").alias("evidence"),
+    )
 
 
 def op9_pieces(spark: SparkSession, sf: str) -> DataFrame:

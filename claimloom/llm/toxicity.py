@@ -29,7 +29,7 @@ TERMS = 20_000  # terms kept at most, by strength
 STRENGTH = 15.0  # least log-likelihood ratio of a term
 LIFT = 12.0  # how many times more often a term must occur under one label than under the other
 LEAST_ROWS = 5  # labelled rows a term must occur in
-FAMILIES = 8  # different kinds of toxic rows, told apart by a shingle, that a toxic term must occur in
+FAMILIES = 8  # kinds of toxic rows, told apart by a shingle, that a toxic term must occur in; at most a quarter of all kinds
 NEIGHBOURS = 9
 BLOCK = 64
 DOUBT = 0.1  # similarity that an imagined neighbour of the base rate adds to every vote
@@ -85,7 +85,10 @@ def family_bit(words: list[str]) -> int:
 
 
 def term_counts(rows: DataFrame) -> DataFrame:
-    """(term, toxic, clean, families): labelled rows of each kind that hold the term, added up in tasks first."""
+    """(term, toxic, clean, families): labelled rows of each kind that hold the term, added up in tasks first.
+
+    The empty term, which no text holds, stands for the families of all toxic rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: tuple[Counter, Counter] = (Counter(), Counter())
@@ -107,6 +110,8 @@ def term_counts(rows: DataFrame) -> DataFrame:
                 sums[toxic].update(found)
                 if toxic:
                     bit = family_bit(words)
+                    sums[1][_ALL] += 0
+                    bits[_ALL] = bits.get(_ALL, 0) | bit
                     for term in found:
                         bits[term] = bits.get(term, 0) | bit
                 if len(sums[0]) + len(sums[1]) > MEMO:
@@ -117,6 +122,9 @@ def term_counts(rows: DataFrame) -> DataFrame:
     return counted.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.bit_or("families").alias("families"))
 
 
+_ALL = ""
+
+
 def chosen_terms(counts: DataFrame, toxic: int, clean: int) -> list[tuple[str, int]]:
     """(term, rows) of the strongest terms, at most ``TERMS`` of them."""
     a, b = F.col("toxic").cast("double"), F.col("clean").cast("double")
@@ -128,10 +136,13 @@ def chosen_terms(counts: DataFrame, toxic: int, clean: int) -> list[tuple[str, i
     held, rest = a + b, F.lit(n1 + n0) - a - b
     strength = 2 * (part(a, n1, held) + part(b, n0, held) + part(F.lit(n1) - a, n1, rest) + part(F.lit(n0) - b, n0, rest))
     lift = ((a + 0.5) / (n1 + 1)) / ((b + 0.5) / (n0 + 1))
-    telling = (F.bit_count("families") >= FAMILIES) & (lift >= LIFT) | (lift <= 1 / LIFT)
-    strong = counts.where(held >= LEAST_ROWS).where(telling)
-    strong = strong.select("term", held.cast("long").alias("rows"), strength.alias("strength")).where(F.col("strength") >= STRENGTH)
-    return [(r.term, r.rows) for r in strong.orderBy(F.desc("strength"), "term").limit(TERMS).collect()]
+    strong = (held >= LEAST_ROWS) & ((lift >= LIFT) | (lift <= 1 / LIFT)) & (strength >= STRENGTH)
+    columns = ["term", held.cast("long").alias("rows"), strength.alias("strength"), F.bit_count("families").alias("families")]
+    found = stored(counts.where(strong | (F.col("term") == _ALL)).select(*columns, (lift >= LIFT).alias("is_toxic")), "terms")
+    kinds = found.where(F.col("term") == _ALL).select("families").first()
+    least = max(1, min(FAMILIES, (kinds[0] if kinds else 0) // 4))
+    telling = (F.col("term") != _ALL) & (~F.col("is_toxic") | (F.col("families") >= least))
+    return [(r.term, r.rows) for r in found.where(telling).orderBy(F.desc("strength"), "term").limit(TERMS).collect()]
 
 
 class _Vectors(dict):
@@ -309,7 +320,7 @@ def scored(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7, eviden
 
     def judge(value: str | None, known: _Vectors, model: ToxicityModel) -> dict:
         found, cosine = nearest(model, *vector(value, known, model.idf))
-        score = calibrated(model, vote(model, found, cosine))
+        score = calibrated(model, vote(model, found, cosine)) if len(found) else model.base
         near = [
             {"doc_id": int(model.ids[e]), "label": int(model.labels[e]), "cosine": float(c)}
             for e, c in zip(found[:evidence].tolist(), cosine[:evidence].tolist())
