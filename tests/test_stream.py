@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from claimloom.schema import GRID
-from claimloom.streaming.landing import keyed_append, landing_stream, run_available
+from claimloom.streaming.landing import keyed_append, landing_stream, run_available, run_refused, run_stateful
 
 
 def posts(rows):
@@ -39,3 +39,24 @@ def test_a_repeated_batch_adds_nothing(spark, tmp_path):
     write(batch, 0)
     write(unpack(spark.createDataFrame(posts([(3, "b", "z"), (4, "c", "w")]), GRID)), 1)
     assert sorted((r.post_id, r.body) for r in spark.read.parquet(table).collect()) == [("a", "x"), ("b", "y"), ("c", "w")]
+
+
+def test_state_store_settles_posts_like_one_batch(spark, tmp_path):
+    landing, table, state = (str(tmp_path / n) for n in ("landing", "table", "state"))
+    columns = {"post_id": F.get("cells", F.lit(0)), "body": F.get("cells", F.lit(1)), "physical_row": F.col("physical_row")}
+
+    def deliver(rows):
+        spark.createDataFrame(posts(rows), GRID).coalesce(1).write.mode("append").parquet(landing)
+        run_stateful(spark, landing, GRID, columns, ["post_id"], ["physical_row"], table, state).awaitTermination()
+
+    deliver([(4, "a", "second"), (3, "a", "first"), (5, "b", "x"), (6, None, "no key")])
+    deliver([(1, "a", "late, with a smaller row"), (7, "c", "new"), (8, "c", "again")])
+    deliver([(9, "b", "late"), (10, "a", "late")])
+    deliver([(11, "d", "last")])
+    stored = {(r.post_id, r.body, r.batch) for r in spark.read.parquet(table).collect()}
+    assert stored == {("a", "first", 0), ("b", "x", 0), ("c", "new", 1), ("d", "last", 3)}
+    # the stored table is never read: what was stored may be gone, and known keys stay known
+    run_stateful(spark, landing, GRID, columns, ["post_id"], ["physical_row"], table, state).awaitTermination()
+    assert spark.read.parquet(table).count() == 4
+    run_refused(spark, landing, GRID, columns, ["post_id"], f"{table}_refused", f"{state}_refused").awaitTermination()
+    assert [r.body for r in spark.read.parquet(f"{table}_refused").collect()] == ["no key"]

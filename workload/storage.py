@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from claimloom.plans.ingest import ParsedImport, parse_import
 from claimloom.plans.promotion import ImportJob, PromotedStore, empty_tables, promote, staged
 from claimloom.session import work_folder
 from claimloom.sources.buckets import BucketTable
+from claimloom.streaming.landing import run_refused, run_stateful
 from workload import ingest, serving, views
 from workload.serving import JOB, SYSTEM
 from workload.views import LAYOUT, Changed, table
@@ -73,6 +75,53 @@ merged AS (
 )"""
 
 
+# --- a landing folder, drained in three runs --------------------------------------------
+
+LANDED = StructType([StructField("row", LongType()), StructField("post", StringType()), StructField("kind", StringType()), StructField("value", DoubleType())])
+
+
+def _post_columns() -> dict[str, Column]:
+    return {"post_id": F.col("post").cast("bigint"), "kind": F.col("kind"), "value": F.col("value"), "row": F.col("row")}
+
+
+def _delivery(events: DataFrame, run: int) -> DataFrame:
+    """The events of one run: a third of all, some twice in the run, some of the run before once more, and some without an id."""
+    own = events.where(F.col("event_id") % 3 == run)
+    late = events.where((F.col("event_id") % 3 == run - 1) & (F.col("event_id") % 10 == 0))
+    post = F.when(F.col("event_id") % 11 != 0, F.col("event_id").cast("string"))
+    parts = [
+        own.select((F.col("event_id") * 4).alias("row"), post.alias("post"), F.col("event_type").alias("kind"), "value"),
+        own.where("event_id % 7 = 0").select(
+            (F.col("event_id") * 4 + 1).alias("row"), post.alias("post"), F.lit("repeated").alias("kind"), (F.col("value") + 1).alias("value")
+        ),
+        late.select((F.col("event_id") * 4 - 1).alias("row"), post.alias("post"), F.lit("late").alias("kind"), (F.col("value") + 2).alias("value")),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def landing_posts(spark: SparkSession, sf: str) -> DataFrame:
+    """First rows of all posts after three runs over a growing landing folder, and the refused ones by kind."""
+    folder = work_folder(spark, "landing")
+    events = table(spark, sf, "events").select("event_id", "event_type", "value")
+    for run in range(3):
+        _delivery(events, run).write.mode("append").parquet(f"{folder}/in")
+        run_stateful(
+            spark, f"{folder}/in", LANDED, _post_columns(), ["post_id"], ["row"], f"{folder}/posts", f"{folder}/state"
+        ).awaitTermination()
+        run_refused(spark, f"{folder}/in", LANDED, _post_columns(), ["post_id"], f"{folder}/refused", f"{folder}/refused-state").awaitTermination()
+    stored = spark.read.parquet(f"{folder}/posts").select("post_id", "kind", "value", F.col("batch").cast("bigint").alias("run"))
+    refused = spark.read.parquet(f"{folder}/refused").groupBy("kind").agg(F.count("*").alias("run"))
+    return stored.unionByName(refused.select(F.lit(None).cast("bigint").alias("post_id"), "kind", F.lit(None).cast("double").alias("value"), "run"))
+
+
+LANDING_SQL = """WITH refused AS (
+  SELECT event_type AS kind FROM events WHERE event_id % 11 = 0
+  UNION ALL SELECT 'repeated' FROM events WHERE event_id % 11 = 0 AND event_id % 7 = 0
+  UNION ALL SELECT 'late' FROM events WHERE event_id % 11 = 0 AND event_id % 10 = 0 AND event_id % 3 < 2
+)
+SELECT event_id AS post_id, event_type AS kind, value, event_id % 3 AS run FROM events WHERE event_id % 11 <> 0
+UNION ALL SELECT NULL, kind, NULL, count(*) FROM refused GROUP BY kind"""
+
 # --- a second, different import -------------------------------------------------------
 
 LATER_ARTIFACT = "cb8379ac2098aa165029e3938a51da0bcecfc008fd6795f401178647f96c5b34"
@@ -220,4 +269,5 @@ coalesce(b.carrier_id, a.carrier_id) AS carrier_id, coalesce(b.assigned_staff_id
 FROM ({_TWIN['promoted_claims']}) a FULL JOIN ({later_sql(_TWIN['promoted_claims'])}) b ON a.claim_id = b.claim_id""",
     ),
     "rerun_changes": (rerun_changes, RERUN_SQL),
+    "landing_posts": (landing_posts, LANDING_SQL),
 }
