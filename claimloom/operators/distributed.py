@@ -9,11 +9,14 @@ share of the table.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
-from claimloom.session import ensure_checkpoint_dir
+from claimloom.session import ensure_checkpoint_dir, kept
 
 BLOCK_ROWS = 65_536
 
@@ -88,57 +91,101 @@ def running_number(
     return numbered.select(*[F.col(c) for c in df.columns], (F.col("_offset") + F.col("_nth")).alias(out))
 
 
+BRACKET_VALUES = 50_000  # distinct values of one group that one task ranks
+_CUTS = 64
+_ACCURACY = 10_000
+
+
 def exact_median(
     df: DataFrame,
     group: Sequence[str],
     value: str,
     out: str,
-    bin_width: float | Column,
+    bin_width: float | None = None,
     count_out: str = "value_count",
     weight: str | None = None,
+    most: int = BRACKET_VALUES,
 ) -> DataFrame:
-    """Exact median per group as a double, mean of the middle two.
-
-    ``weight`` names a column that says how often a row counts.
+    """Exact median per group as a double, mean of the middle two; groups without a value have no row.
 
-    Equal values are counted together before the shuffle. A histogram of
-    ``bin_width`` (a number, or a column that is constant per group) then names
-    the bin of each middle position, and only the distinct values of those bins
-    are ranked.
+    ``weight`` names a column that says how often a row counts. Equal values are
+    counted together first and kept. Where a group has more than ``most`` distinct
+    values, a bracket around its middle is narrowed until it holds no more: a
+    quantile sketch cuts the bracket, the parts are counted exactly, and the part
+    with the middle positions stays. So no task ranks more than ``most`` values
+    of a group, whatever their spread. ``bin_width`` has no effect any more.
     """
     group = list(group)
-    width = bin_width if isinstance(bin_width, Column) else F.lit(bin_width)
     present = F.col(value).isNotNull()
     times = F.sum(F.when(present, F.col(weight))) if weight else F.count(value)
     # the count leaves missing values out; a filter on the value itself would be
     # pushed below the grouping and work the value out again for every row
-    freq = df.groupBy(*group, value).agg(times.alias("_n")).where(F.col("_n") > 0)
-    # tied to the count, so that the join on the bin stays above the grouping as well
-    binned = freq.withColumn("_bin", F.when(F.col("_n") > 0, F.floor(F.col(value) / width)))
-    bins = binned.groupBy(*group, "_bin").agg(F.sum("_n").alias("_bin_n"))
-    running = Window.partitionBy(*group).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*group)
-    placed = bins.select(
-        *group,
-        "_bin",
-        (F.sum("_bin_n").over(running) - F.col("_bin_n")).alias("_before"),
-        F.sum("_bin_n").over(running).alias("_through"),
-        F.sum("_bin_n").over(whole).alias("_total"),
-    )
-    low = F.floor((F.col("_total") + 1) / 2)
-    high = F.floor(F.col("_total") / 2) + 1
-    middle = placed.where((F.col("_through") >= low) & (F.col("_before") < high))
-    keys = [*group, "_bin"]
-    candidates = binned.join(middle, keys, "inner")
-    within = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = candidates.withColumn("_last", F.col("_before") + F.sum("_n").over(within))
-    hits = ranked.where((F.col("_last") >= low) & (F.col("_last") - F.col("_n") < high))
+    freq = kept(df.groupBy(*group, value).agg(times.alias("_n")).where(F.col("_n") > 0), "values")
+    brackets = middle_brackets(freq, group, value, most)
+    inside = _inside(freq, brackets, group, value)
+    within = Window.partitionBy(*group).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = inside.withColumn("_last", F.col("_below") + F.sum("_n").over(within))
+    hits = ranked.where((F.col("_last") >= _low()) & (F.col("_last") - F.col("_n") < _high()))
     return hits.groupBy(*group).agg(
         ((F.min(value).cast("double") + F.max(value).cast("double")) / F.lit(2.0)).alias(out),
         F.first("_total").alias(count_out),
     )
 
 
+def _low() -> Column:
+    return F.floor((F.col("_total") + 1) / 2)
+
+
+def _high() -> Column:
+    return F.floor(F.col("_total") / 2) + 1
+
+
+def _inside(freq: DataFrame, brackets: DataFrame, group: list[str], value: str) -> DataFrame:
+    """The values of each group's bracket; there is one bracket per group."""
+    if not group:
+        freq, brackets = freq.withColumn("_all", F.lit(0)), brackets.withColumn("_all", F.lit(0))
+    joined = freq.join(brackets, group or ["_all"])
+    return joined.where((F.col(value) >= F.col("_from")) & (F.col(value) <= F.col("_to")))
+
+
+def middle_brackets(freq: DataFrame, group: list[str], value: str, most: int) -> DataFrame:
+    """(group, _from, _to, _below, _total, _values): bounds around the middle positions with at most ``most`` distinct values.
+
+    ``freq`` has each value of a group once, with its count ``_n``. ``_below``
+    counts the smaller values. Only the largest number of values left reaches
+    the driver.
+    """
+    brackets = kept(
+        freq.groupBy(*group).agg(
+            F.min(value).alias("_from"), F.max(value).alias("_to"), F.lit(0).cast("bigint").alias("_below"),
+            F.sum("_n").alias("_total"), F.count("*").alias("_values"),
+        ),
+        "brackets",
+    )
+    while (brackets.agg(F.max("_values")).first()[0] or 0) > most:
+        wide = brackets.where(F.col("_values") > most)
+        inside = _inside(freq, wide, group, value)
+        places = [k / _CUTS for k in range(1, _CUTS)]
+        cuts = kept(inside.groupBy(*group).agg(F.percentile_approx(value, places, _ACCURACY).alias("_cuts")), "cuts")
+        if not group:
+            inside, cuts = inside.withColumn("_all", F.lit(0)), cuts.withColumn("_all", F.lit(0))
+        parted = inside.join(cuts, group or ["_all"]).withColumn("_part", F.size(F.filter("_cuts", lambda c: c < F.col(value))))
+        parts = parted.groupBy(*group, "_part").agg(
+            F.min(value).alias("_from"), F.max(value).alias("_to"), F.first("_below").alias("_below"),
+            F.first("_total").alias("_total"), F.count("*").alias("_values"), F.sum("_n").alias("_part_n"),
+        )
+        # at most one row per cut and group
+        earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        placed = parts.withColumn("_below", F.col("_below") + F.coalesce(F.sum("_part_n").over(earlier), F.lit(0)))
+        middle = placed.where((F.col("_below") + F.col("_part_n") >= _low()) & (F.col("_below") < _high()))
+        narrowed = middle.groupBy(*group).agg(
+            F.min("_from").alias("_from"), F.max("_to").alias("_to"), F.min("_below").alias("_below"),
+            F.first("_total").alias("_total"), F.sum("_values").alias("_values"),
+        )
+        brackets = kept(brackets.where(F.col("_values") <= most).unionByName(narrowed), "brackets")
+    return brackets
+
+
 def global_position(df: DataFrame, order: Sequence[Column], out: str = "position") -> DataFrame:
     """Number the rows 1..n in a total order, with the sort spread over all tasks.
 
@@ -159,6 +206,128 @@ def global_position(df: DataFrame, order: Sequence[Column], out: str = "position
     return numbered.select(*[F.col(c) for c in df.columns], (F.col("_offset") + in_part + 1).alias(out))
 
 
+# --- order index -------------------------------------------------------------------
+
+RANGE_ROWS = 50_000  # rows of an order range, about
+_SAMPLE_PER_RANGE = 50
+_MOST_RANGES = 4096
+
+
+@dataclass(frozen=True)
+class OrderKey:
+    """One part of a total order."""
+
+    value: Column
+    descending: bool = False
+    nulls_last: bool = False
+
+    def sort(self) -> Column:
+        if self.descending:
+            return self.value.desc_nulls_last() if self.nulls_last else self.value.desc_nulls_first()
+        return self.value.asc_nulls_last() if self.nulls_last else self.value.asc_nulls_first()
+
+    def after(self, mark: Column, value: Column) -> tuple[Column, Column]:
+        """Whether a row stands after a bound in this part, and whether they are level; ``mark`` says that the bound is missing."""
+        missing = self.value.isNull()
+        level = missing & mark | F.coalesce(self.value == value, F.lit(False))
+        behind = F.coalesce(self.value < value if self.descending else self.value > value, F.lit(False))
+        apart = missing & ~mark if self.nulls_last else ~missing & mark
+        return behind | apart, level
+
+
+@dataclass(frozen=True)
+class OrderIndex:
+    """Bounds that cut an order into ranges, and the exact number of rows in each."""
+
+    order: tuple[OrderKey, ...]
+    bounds: tuple[tuple, ...]
+    sizes: tuple[int, ...]
+    types: tuple[DataType, ...]
+
+    @property
+    def total(self) -> int:
+        return sum(self.sizes)
+
+    def range_of(self) -> Column:
+        """Number of a row's range: how many bounds it stands after."""
+        if not self.bounds:
+            return F.lit(0)
+        marks = F.array(*[
+            F.struct(*[
+                part
+                for k, (v, t) in enumerate(zip(bound, self.types))
+                for part in (F.lit(v is None).alias(f"m{k}"), F.lit(v).cast(t).alias(f"v{k}"))
+            ])
+            for bound in self.bounds
+        ])
+
+        def passed(bound: Column) -> Column:
+            found, level = F.lit(False), F.lit(True)
+            for k, key in enumerate(self.order):
+                after, equal = key.after(bound[f"m{k}"], bound[f"v{k}"])
+                found, level = found | level & after, level & equal
+            return found
+
+        return F.size(F.filter(marks, passed))
+
+    def ranges(self, first: int, last: int) -> tuple[int, int, int]:
+        """The ranges that hold the positions ``first`` to ``last``, counted from 0, and the rows before them."""
+        ends = list(accumulate(self.sizes))
+        low = next((k for k, end in enumerate(ends) if end > first), len(ends) - 1)
+        high = next((k for k, end in enumerate(ends) if end > last), len(ends) - 1)
+        return low, high, ends[low] - self.sizes[low]
+
+
+def order_index(rows: DataFrame, order: Sequence[OrderKey], range_rows: int = RANGE_ROWS) -> OrderIndex:
+    """Cuts ``order`` into ranges of about ``range_rows`` rows.
+
+    Bounds come from a sample of bounded size by the hash of the keys; equal keys
+    stay in one range. The sizes are counted over all rows. Only bounds and sizes
+    reach the driver, at most ``_MOST_RANGES`` of them.
+    """
+    order = tuple(order)
+    keys = rows.select(*[key.value.alias(f"k{n}") for n, key in enumerate(order)])
+    types = tuple(f.dataType for f in keys.schema)
+    total = rows.count()
+    ranges = min(_MOST_RANGES, -(-total // range_rows))
+    if ranges <= 1:
+        return OrderIndex(order, (), (total,), types)
+    step = max(1, total // (ranges * _SAMPLE_PER_RANGE))
+    sample = keys.where(F.pmod(F.xxhash64(*keys.columns, F.lit(7)), F.lit(step)) == 0)
+    sorting = [OrderKey(F.col(f"k{n}"), key.descending, key.nulls_last).sort() for n, key in enumerate(order)]
+    # the sample has a bounded number of rows
+    tiles = sample.withColumn("tile", F.ntile(ranges).over(Window.orderBy(*sorting)))
+    ends = tiles.withColumn("nth", F.row_number().over(Window.partitionBy("tile").orderBy(*[_flipped(k, n).sort() for n, k in enumerate(order)])))
+    found = ends.where((F.col("nth") == 1) & (F.col("tile") < ranges)).orderBy("tile").select(*keys.columns).collect()
+    bounds = tuple(dict.fromkeys(tuple(r) for r in found))
+    cut = OrderIndex(order, bounds, (), types)
+    sizes = {r[0]: r[1] for r in rows.groupBy(cut.range_of().alias("r")).count().collect()}
+    return OrderIndex(order, bounds, tuple(sizes.get(k, 0) for k in range(len(bounds) + 1)), types)
+
+
+def _flipped(key: OrderKey, n: int) -> OrderKey:
+    return OrderKey(F.col(f"k{n}"), not key.descending, not key.nulls_last)
+
+
+def ordered_slice(rows: DataFrame, index: OrderIndex, first: int, count: int) -> DataFrame:
+    """``count`` rows from position ``first`` (from 0) on, with their ``position`` from 1; sorts the ranges of these rows only."""
+    low, high, before = index.ranges(first, first + count - 1)
+    part = rows.where(index.range_of().between(low, high)) if index.bounds else rows
+    sorting = [key.sort() for key in index.order]
+    taken = part.orderBy(*sorting).offset(first - before).limit(count)
+    # no more than ``count`` rows
+    return taken.withColumn("position", F.lit(first).cast("bigint") + F.row_number().over(Window.orderBy(*sorting)))
+
+
+def indexed_position(rows: DataFrame, index: OrderIndex, out: str = "position") -> DataFrame:
+    """Numbers all rows 1..n; each range is sorted by itself, and nothing is written."""
+    starts = [0, *accumulate(index.sizes)][:-1]
+    offsets = F.array(*[F.lit(s).cast("bigint") for s in starts])
+    placed = rows.withColumn("_range", index.range_of())
+    nth = F.row_number().over(Window.partitionBy("_range").orderBy(*[key.sort() for key in index.order]))
+    return placed.withColumn(out, F.get(offsets, F.col("_range")) + nth).drop("_range")
+
+
 def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], limit: int) -> DataFrame:
     """First ``limit`` rows of each group.
 

@@ -4,43 +4,41 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.operators.distributed import global_position
+from claimloom.operators.distributed import RANGE_ROWS, OrderKey, order_index, ordered_slice
 
 
-def text_order(column: str, descending: bool = False, tie: Sequence[str] = ("id",)) -> list[Column]:
+def text_order(column: str, descending: bool = False, tie: Sequence[str] = ("id",)) -> list[OrderKey]:
     """Locale-aware text order of any column: NULL as empty, ties in key order."""
     text = F.collate(F.coalesce(F.col(column).cast("string"), F.lit("")), "UNICODE")
-    return [text.desc() if descending else text.asc(), *[F.asc(c) for c in tie]]
+    return [OrderKey(text, descending), *[OrderKey(F.col(c)) for c in tie]]
 
 
-def typed_order(column: str, descending: bool = False, tie: Sequence[str] = ("id",)) -> list[Column]:
+def typed_order(column: str, descending: bool = False, tie: Sequence[str] = ("id",)) -> list[OrderKey]:
     """Order by the column's own type, NULL last."""
-    value = F.col(column)
-    first = value.desc_nulls_last() if descending else value.asc_nulls_last()
-    return [first, *[F.asc(c) for c in tie]]
+    return [OrderKey(F.col(column), descending, nulls_last=True), *[OrderKey(F.col(c)) for c in tie]]
 
 
-def sort_rows(rows: DataFrame, order: Sequence[Column]) -> DataFrame:
-    return rows.orderBy(*order)
+def sort_rows(rows: DataFrame, order: Sequence[OrderKey]) -> DataFrame:
+    return rows.orderBy(*[key.sort() for key in order])
 
 
-def page_slice(rows: DataFrame, order: Sequence[Column], page: int, size: int) -> DataFrame:
+def page_slice(rows: DataFrame, order: Sequence[OrderKey], page: int, size: int, range_rows: int = RANGE_ROWS) -> DataFrame:
     """One page of the ordered rows; a page past the end gives the last one.
 
-    Rows are numbered by the spread sort, so a deep page costs no more than the
-    first and no page passes through the driver.
+    An index of the order says which ranges hold the page; only their rows are
+    sorted, so a deep page costs no more than the first, and no page passes
+    through the driver.
     """
-    placed = global_position(rows, order)
-    pages = F.greatest(F.lit(1), F.ceil(placed.agg(F.count("*")).scalar() / F.lit(size)))
-    current = F.least(F.lit(page), pages)
-    position = F.col("position")
+    index = order_index(rows, order, range_rows)
+    pages = max(1, -(-index.total // size))
+    current = min(page, pages)
     return (
-        placed.where((position > (current - 1) * size) & (position <= current * size))
-        .withColumn("page", current.cast("bigint"))
-        .withColumn("pages", pages.cast("bigint"))
+        ordered_slice(rows, index, (current - 1) * size, size)
+        .withColumn("page", F.lit(current).cast("bigint"))
+        .withColumn("pages", F.lit(pages).cast("bigint"))
     )
 
 

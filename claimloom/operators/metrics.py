@@ -15,8 +15,6 @@ from claimloom.operators.distributed import BLOCK_ROWS, carry_last, exact_median
 from claimloom.operators.filters import is_active, is_closed, is_usable, usable_amount
 from claimloom.schema import AGE_BUCKETS
 
-MONEY_BIN = 10_000
-DAYS_BIN = 366
 SCOPE = "_scope"
 
 
@@ -94,9 +92,8 @@ def _with_medians(claims: DataFrame, totals: DataFrame, group: list[str]) -> Dat
         F.struct(F.lit("gain").alias("measure"), gain.cast("decimal(38,10)").alias("value")),
         F.struct(F.lit("cycle").alias("measure"), cycle.cast("decimal(38,10)").alias("value")),
     )
-    width = F.when(F.col("measure") == "gain", F.lit(MONEY_BIN)).otherwise(F.lit(DAYS_BIN))
     tall = claims.select(*keys, F.inline(measures))
-    medians = exact_median(tall, [*keys, "measure"], "value", "median", width)
+    medians = exact_median(tall, [*keys, "measure"], "value", "median")
     wide = medians.groupBy(*keys).agg(
         F.max(F.when(F.col("measure") == "gain", F.col("median"))).alias("gain_median"),
         F.max(F.when(F.col("measure") == "cycle", F.col("median"))).alias("cycle_median"),

@@ -23,11 +23,11 @@ from claimloom.schema import (
     SENSITIVE_TERMS,
     SYSTEM_UPDATE_TOKENS,
 )
+from claimloom.session import kept
 from claimloom.sources.grid import SHEET, has_content
 
 COLUMN = [*SHEET, "position"]
 KINDS = ("boolean", "date", "number", "date_string", "numeric_text", "text")
-MONEY_BIN = 10_000.0
 
 
 def share_percent(part: Column, whole: Column) -> Column:
@@ -203,8 +203,14 @@ def money_stats(cells: DataFrame, claim_rows: DataFrame, headers: DataFrame) ->
     counts = value_counts(cells).join(headers.select(*COLUMN, F.col("internal").alias("header")), COLUMN)
     filled = F.col("value") != ""
     number = F.when(filled & (F.col("cell_type") != "boolean"), accounting_number(F.col("value")))
-    valued = counts.select("*", number.alias("number"))
+    # the texts are gone once their numbers are known; this is what both the stats and the medians read
+    valued = kept(
+        counts.select(*COLUMN, "header", number.alias("number"), filled.alias("filled"), "cell_type", "n")
+        .groupBy(*COLUMN, "header", "number", "filled", "cell_type").agg(F.sum("n").alias("n")),
+        "amounts",
+    )
     n = F.col("n")
+    filled = F.col("filled")
 
     def rows_where(condition: Column) -> Column:
         return F.coalesce(F.sum(F.when(condition, n)), F.lit(0))
@@ -220,7 +226,7 @@ def money_stats(cells: DataFrame, claim_rows: DataFrame, headers: DataFrame) ->
         rows_where(F.col("cell_type").isin("number", "boolean")).alias("_numbers"),
     )
     amounts = valued.select(*COLUMN, "number", "n")
-    medians = exact_median(amounts, COLUMN, "number", "median", MONEY_BIN, weight="n").drop("value_count")
+    medians = exact_median(amounts, COLUMN, "number", "median", weight="n").drop("value_count")
     totals = claim_rows.groupBy(*SHEET).agg(F.count("*").alias("_rows"))
     form = (
         F.when((F.col("_texts") > 0) & (F.col("_numbers") > 0), "mixed")

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from claimloom.functions.envelope import coverage_percent, grade
 from claimloom.functions.numbers import percent_of
-from claimloom.operators.distributed import global_position
+from claimloom.operators.distributed import OrderKey, indexed_position, order_index
 from claimloom.operators.filters import ClaimFilter, filter_claims, is_closed, usable_amount
 from claimloom.operators.metrics import mean_of, metric_totals
+from claimloom.session import kept
 
 
 def _dimension_order(dimension: DataFrame) -> str:
@@ -76,11 +77,13 @@ def contractor_totals(claims: DataFrame, contractors: DataFrame) -> DataFrame:
 def contractor_ranking(claims: DataFrame, contractors: DataFrame) -> DataFrame:
     """Contractors by recovered value, with position and share of the largest value.
 
-    There may be many contractors, so the position comes from a spread sort.
+    There may be many contractors, so the totals are kept once and numbered by
+    ranges of their order.
     """
     tie = _dimension_order(contractors)
-    totals = contractor_totals(claims, contractors)
-    placed = global_position(totals, [F.desc("recovered"), F.asc("contractor_id" if tie == "id" else tie)])
+    totals = kept(contractor_totals(claims, contractors), "totals")
+    order = [OrderKey(F.col("recovered"), descending=True), OrderKey(F.col("contractor_id" if tie == "id" else tie))]
+    placed = indexed_position(totals, order_index(totals, order))
     best = placed.agg(F.greatest(F.max("recovered").cast("double"), F.lit(1.0))).scalar()
     return placed.withColumn("percent_of_largest", F.col("recovered").cast("double") / best * 100.0)
 

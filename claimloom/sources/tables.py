@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.operators.distributed import global_position
+from claimloom.operators.distributed import RANGE_ROWS, OrderIndex, OrderKey, global_position, indexed_position, order_index, ordered_slice
 from claimloom.schema import BATCH_SIZES
 
 
@@ -67,14 +67,28 @@ def batch_count(counts: DataFrame, sizes: Mapping[str, int] = BATCH_SIZES) -> Da
     return counts.agg((F.coalesce(F.sum(needed), F.lit(0)) + 1).alias("batch_count"))
 
 
-def batch_plan(rows: DataFrame, order: Sequence[Column], phase: str, sizes: Mapping[str, int] = BATCH_SIZES) -> DataFrame:
-    """Batch number of every row, counted in a total order."""
-    placed = global_position(rows, order, out="ordinal")
+def batch_plan(
+    rows: DataFrame, order: Sequence[Column | OrderKey], phase: str, sizes: Mapping[str, int] = BATCH_SIZES, range_rows: int = RANGE_ROWS
+) -> DataFrame:
+    """Batch number of every row, counted in a total order.
+
+    An order of ``OrderKey`` is numbered by its ranges, without a sort of the
+    whole table; one of plain columns by a spread sort that is kept.
+    """
+    if all(isinstance(key, OrderKey) for key in order):
+        placed = indexed_position(rows, order_index(rows, order, range_rows), "ordinal")
+    else:
+        placed = global_position(rows, order, out="ordinal")
     return placed.withColumn("phase", F.lit(phase)).withColumn(
         "batch", F.ceil(F.col("ordinal") / F.lit(sizes[phase])).cast("bigint")
     )
 
 
+def read_batch(rows: DataFrame, index: OrderIndex, batch: int, size: int) -> DataFrame:
+    """The rows of one batch, counted from 1, with their position; sorts the ranges of this batch only."""
+    return ordered_slice(rows, index, (batch - 1) * size, size)
+
+
 def batch_summary(planned: DataFrame) -> DataFrame:
     """Offset and size of each batch."""
     return planned.groupBy("phase", "batch").agg(

@@ -6,10 +6,16 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
+from claimloom.operators import explorer
 from claimloom.operators.distributed import (
+    OrderKey,
     carry_last,
     exact_median,
     global_position,
+    indexed_position,
+    middle_brackets,
+    order_index,
+    ordered_slice,
     running_number,
     top_per_group,
 )
@@ -89,3 +95,60 @@ def test_cycles_of_any_length_and_long_lineage(spark):
     assert {r.node: r.steps for r in trace(start, edges).collect()} == {i: i for i in range(21)}
     with pytest.raises(ValueError, match="goes on"):
         trace(start, edges, most_steps=4)
+
+
+@pytest.mark.parametrize("most", [3, 40, 100_000])
+def test_median_by_narrowing(spark, most):
+    rng = random.Random(8)
+    data = [("wide", rng.uniform(0, 1)) for _ in range(400)] + [("far", 10.0 ** rng.randint(-30, 30)) for _ in range(301)]
+    data += [("even", float(n)) for n in range(200)] + [("same", 2.0)] * 50 + [("none", None)]
+    df = spark.createDataFrame(data, "g string, v double")
+    got = {r.g: (r.m, r.value_count) for r in exact_median(df, ["g"], "v", "m", most=most).collect()}
+    for g in ("wide", "far", "even", "same"):
+        present = [v for k, v in data if k == g]
+        assert got[g] == (statistics.median(present), len(present)), g
+    assert "none" not in got
+    whole = exact_median(df, [], "v", "m", most=most).first()
+    assert whole.m == statistics.median([v for _, v in data if v is not None])
+
+
+def test_a_million_values_in_one_bin_are_narrowed(spark):
+    freq = spark.range(1_000_000).select(F.lit("g").alias("g"), (F.col("id") / 1e6).alias("v"), F.lit(1).cast("long").alias("_n"))
+    left = middle_brackets(freq, ["g"], "v", 20_000).first()
+    # what one task ranks, against 10^6 in a bin of fixed width
+    assert left["_values"] <= 20_000
+    assert freq.where((F.col("v") >= left["_from"]) & (F.col("v") <= left["_to"])).count() == left["_values"]
+    assert left["_below"] < 500_000 <= left["_below"] + left["_values"]
+
+
+def test_order_index_pages_and_positions(spark):
+    rng = random.Random(9)
+    data = [(i, rng.choice([None, "ä", "a", "b", "Z", ""]), rng.choice([None, rng.randint(1, 9)])) for i in range(2000)]
+    df = spark.createDataFrame(data, "id long, t string, v long").repartition(5)
+    for order, key in (
+        ([OrderKey(F.col("v"), True, True), OrderKey(F.col("id"))], lambda r: (r[2] is None, -(r[2] or 0), r[0])),
+        ([OrderKey(F.col("v")), OrderKey(F.col("id"), True)], lambda r: (r[2] is not None, r[2] or 0, -r[0])),
+    ):
+        index = order_index(df, order, 150)
+        assert index.total == 2000 and len(index.sizes) > 5 and max(index.sizes) < 600
+        expected = [r[0] for r in sorted(data, key=key)]
+        assert [r.id for r in indexed_position(df, index).orderBy("position").collect()] == expected
+        for first, count in ((0, 10), (155, 300), (1990, 10), (1995, 50)):
+            rows = ordered_slice(df, index, first, count).orderBy("position").collect()
+            assert [r.id for r in rows] == expected[first : first + count]
+            assert [r.position for r in rows] == list(range(first + 1, first + 1 + len(rows)))
+    # only the rows of the page's ranges are sorted
+    low, high, _ = index.ranges(155, 454)
+    assert df.where(index.range_of().between(low, high)).count() == sum(index.sizes[low : high + 1]) < 1200
+    assert order_index(df.where("false"), order, 150).total == 0
+
+
+def test_pages_in_text_order(spark):
+    data = [(i, t) for i, t in enumerate(["b", "Ä", "a", None, "Z", "ä", "B", ""] * 40)]
+    df = spark.createDataFrame(data, "id long, t string")
+    whole = [r.id for r in explorer.sort_rows(df, explorer.text_order("t")).collect()]
+    for page in (1, 3, 10, 99):
+        rows = explorer.page_slice(df, explorer.text_order("t"), page, 32, range_rows=25).orderBy("position").collect()
+        assert [r.id for r in rows] == whole[32 * (min(page, 10) - 1) :][:32]
+        assert {(r.page, r.pages) for r in rows} == {(min(page, 10), 10)}
+    assert explorer.page_slice(df.where("false"), explorer.text_order("t"), 2, 5).collect() == []

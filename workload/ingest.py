@@ -17,6 +17,7 @@ from claimloom.functions.text import (
     sensitivity_class,
 )
 from claimloom.operators import gate, issues, joins
+from claimloom.operators.distributed import OrderKey
 from claimloom.operators.reconcile import money_facts, reconcile_audit
 from claimloom.operators.rows import row_structure, with_parents, with_row_class
 from claimloom.plans.ingest import ParsedImport, parse_import
@@ -473,7 +474,7 @@ def batch_count(spark: SparkSession, sf: str) -> DataFrame:
 
 def batch_plan(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "orders").select("o_orderkey")
-    return sources.batch_summary(sources.batch_plan(rows, [F.asc("o_orderkey")], "claims"))
+    return sources.batch_summary(sources.batch_plan(rows, [OrderKey(F.col("o_orderkey"))], "claims", range_rows=BLOCK))
 
 
 _REDACT = """r AS (SELECT 'Adjuster Email' AS header, c_name AS value FROM customer
