@@ -8,17 +8,20 @@ share of the table.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
 from claimloom.session import ensure_checkpoint_dir, kept
 
 BLOCK_ROWS = 65_536
+# levels of summaries over the blocks of a group, each over blocks of 2^16
+SUMMARY_LEVELS = 1
+_UPPER_BITS = 16
 
 
 def _block(order: str, rows: int) -> Column:
@@ -26,6 +29,34 @@ def _block(order: str, rows: int) -> Column:
     return F.expr(f"`{order}` div {int(rows)}")
 
 
+def _before_blocks(
+    blocks: DataFrame, group: list[str], before: Mapping[str, Callable[[WindowSpec], Column]],
+    whole: Mapping[str, Callable[[str], Column]], join: Callable[[Column, Column], Column], backward: bool, levels: int = SUMMARY_LEVELS,
+) -> DataFrame:
+    """(group, _block, names): what all earlier blocks of a group hand to each block.
+
+    Blocks are summed up to blocks of 2^16 blocks, ``levels`` times, so
+    order numbers far apart make many blocks but no large window: a window at a
+    level sees that many rows at most, and the last one the blocks of the top.
+    ``before`` gives a name's value over the earlier rows of a window, ``whole``
+    that of a whole block, and ``join`` puts the value inside a block and that
+    before it together.
+    """
+    direction = F.desc if backward else F.asc
+    if levels == 0:
+        window = Window.partitionBy(*group).orderBy(direction("_block")).rowsBetween(Window.unboundedPreceding, -1)
+        return blocks.select(*group, "_block", *[over(window).alias(name) for name, over in before.items()])
+    placed = blocks.withColumn("_upper", F.shiftright("_block", _UPPER_BITS))
+    window = Window.partitionBy(*group, "_upper").orderBy(direction("_block")).rowsBetween(Window.unboundedPreceding, -1)
+    inside = placed.select(*group, "_block", "_upper", *[over(window).alias(f"_in_{name}") for name, over in before.items()])
+    upper = placed.groupBy(*group, F.col("_upper").alias("_block")).agg(*[of("_block").alias(name) for name, of in whole.items()])
+    above = _before_blocks(upper, group, before, whole, join, backward, levels - 1)
+    renamed = above.select(*group, F.col("_block").alias("_upper"), *[F.col(name).alias(f"_up_{name}") for name in before])
+    return inside.join(renamed, [*group, "_upper"], "left").select(
+        *group, "_block", *[join(F.col(f"_in_{name}"), F.col(f"_up_{name}")).alias(name) for name in before]
+    )
+
+
 def carry_last(
     df: DataFrame,
     group: Sequence[str],
@@ -38,9 +69,9 @@ def carry_last(
     """Add, per row, the last non-null value at or before it in its group.
 
     ``order`` is an integer column, unique within the group, so a block of
-    ``block_rows`` consecutive numbers holds at most that many rows.
-    ``inclusive=False`` looks only at earlier rows (a lag over non-null
-    values); ``backward=True`` looks from the end (a lead).
+    ``block_rows`` consecutive numbers holds at most that many rows; numbers may
+    be any distance apart. ``inclusive=False`` looks only at earlier rows (a lag
+    over non-null values); ``backward=True`` looks from the end (a lead).
     """
     group = list(group)
     block = _block(order, block_rows).alias("_block")
@@ -58,17 +89,19 @@ def carry_last(
 
     # one row per block: the value a later block inherits from this one
     pick = F.min_by if backward else F.max_by
-    ends = named.groupBy(*group, "_block").agg(
-        *[
-            pick(F.col(f"_v_{name}"), F.when(F.col(f"_v_{name}").isNotNull(), F.col(order))).alias(f"_e_{name}")
-            for name in values
-        ]
-    )
-    across = (
-        Window.partitionBy(*group).orderBy(direction("_block")).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    carried = ends.select(
-        *group, "_block", *[F.last(f"_e_{name}", ignorenulls=True).over(across).alias(f"_c_{name}") for name in values]
+
+    def end_of(name: str) -> Callable[[str], Column]:
+        return lambda at: pick(F.col(name), F.when(F.col(name).isNotNull(), F.col(at)))
+
+    ends = named.groupBy(*group, "_block").agg(*[end_of(f"_v_{name}")(order).alias(f"_c_{name}") for name in values])
+    names = [f"_c_{name}" for name in values]
+    carried = _before_blocks(
+        ends,
+        group,
+        {c: (lambda window, c=c: F.last(c, ignorenulls=True).over(window)) for c in names},
+        {c: end_of(c) for c in names},
+        lambda inner, outer: F.coalesce(inner, outer),
+        backward,
     )
     joined = local.join(carried, [*group, "_block"], "left")
     return joined.select(
@@ -84,11 +117,17 @@ def running_number(
     group = list(group)
     blocked = df.withColumn("_block", _block(order, block_rows))
     inside = Window.partitionBy(*group, "_block").orderBy(order)
-    sizes = blocked.groupBy(*group, "_block").agg(F.count("*").alias("_size"))
-    earlier = Window.partitionBy(*group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*group, "_block", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_offset"))
+    sizes = blocked.groupBy(*group, "_block").agg(F.count("*").alias("_rows_before"))
+    offsets = _before_blocks(
+        sizes,
+        group,
+        {"_rows_before": lambda window: F.coalesce(F.sum("_rows_before").over(window), F.lit(0))},
+        {"_rows_before": lambda at: F.sum("_rows_before")},
+        lambda inner, outer: inner + outer,
+        backward=False,
+    )
     numbered = blocked.withColumn("_nth", F.row_number().over(inside)).join(offsets, [*group, "_block"])
-    return numbered.select(*[F.col(c) for c in df.columns], (F.col("_offset") + F.col("_nth")).alias(out))
+    return numbered.select(*[F.col(c) for c in df.columns], (F.col("_rows_before") + F.col("_nth")).alias(out))
 
 
 BRACKET_VALUES = 50_000  # distinct values of one group that one task ranks

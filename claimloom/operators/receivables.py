@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.functions.dates import days_since, quarter_label
+from claimloom.operators.intervals import join_days, levels_for
 from claimloom.schema import AGE_BUCKETS
+from claimloom.session import kept
 
 # fixed values: the order in which payment references are tried
 MATCH_STEPS = ("invoice_id", "file_id", "metadata_reference", "customer_amount_window", "organization_amount_window")
@@ -69,27 +71,36 @@ def _exact_candidates(payments: DataFrame, invoices: DataFrame, reference: str,
 def _window_candidates(payments: DataFrame, invoices: DataFrame, party: str, window_days: int) -> DataFrame:
     """Candidates of the same party and amount within the date window.
 
-    Both sides are first reduced to distinct (party, amount, day). Each payment
-    day is unrolled to the days of its window and met by equality, so a party
-    with many payments and invoices never pairs them all.
+    Both sides are first reduced to distinct (party, amount, day). The window of
+    each payment day is cut into aligned blocks and meets invoice days by
+    equality, so neither a party with many payments nor a long window multiplies
+    the rows.
     """
-    days = F.sequence(
-        F.date_sub("paid_on", window_days), F.date_add("paid_on", window_days), F.expr("INTERVAL 1 DAY")
-    )
     per_day = invoices.groupBy(party, "amount_minor", "currency", F.col("invoice_date").alias("_day")).agg(
         F.count("*").alias("_n"), F.min("invoice_id").alias("_id")
     )
     keys = [party, "amount_minor", "currency", "paid_on"]
     asked = payments.where(F.col(party).isNotNull()).select(*keys).distinct()
-    found = (
-        asked.withColumn("_day", F.explode(days))
-        .join(per_day, [party, "amount_minor", "currency", "_day"])
-        .groupBy(*keys)
-        .agg(F.sum("_n").alias("candidates"), F.min("_id").alias("candidate_id"))
-    )
+    windows = asked.withColumns({"_from": F.date_sub("paid_on", window_days), "_to": F.date_add("paid_on", window_days)})
+    met = join_days(windows, per_day, keys[:3], "_from", "_to", "_day", levels_for(2 * window_days + 1))
+    found = met.groupBy(*keys).agg(F.sum("_n").alias("candidates"), F.min("_id").alias("candidate_id"))
     return payments.join(found, keys)
 
 
+def _first_step(steps: Sequence[tuple[int, DataFrame]]) -> DataFrame:
+    """(payment_id, _best) of the first step that gives a payment any candidate."""
+    found = None
+    for number, candidates in steps:
+        tagged = candidates.select(
+            "payment_id", F.lit(number).alias("_step"), F.lit(MATCH_STEPS[number - 1]).alias("match_step"), "candidates", "candidate_id"
+        )
+        found = tagged if found is None else found.unionByName(tagged)
+    # at most one row per step and payment
+    return found.groupBy("payment_id").agg(
+        F.min_by(F.struct("_step", "match_step", "candidates", "candidate_id"), "_step").alias("_best")
+    )
+
+
 def match_payments(payments: DataFrame, invoices: DataFrame, window_days: int = 30) -> DataFrame:
     """First step of the hierarchy that gives a payment any candidate.
 
@@ -97,26 +108,22 @@ def match_payments(payments: DataFrame, invoices: DataFrame, window_days: int =
     metadata_invoice_id, customer_id, organization_id, amount_minor, currency,
     paid_on). One candidate is a match for the exact steps and a proposal for
     the two heuristic ones; several candidates are ambiguous and none is taken.
+    Exact references settle first; the windows are searched for the rest alone.
     """
     columns = payments.columns
-    steps = [
-        _exact_candidates(payments, invoices, "reference_invoice_id", "invoice_id"),
-        _exact_candidates(payments, invoices, "reference_file_id", "file_id"),
-        _exact_candidates(payments, invoices, "metadata_invoice_id", "invoice_id"),
-        _window_candidates(payments, invoices, "customer_id", window_days),
-        _window_candidates(payments, invoices, "organization_id", window_days),
-    ]
-    found = None
-    for number, (name, candidates) in enumerate(zip(MATCH_STEPS, steps), 1):
-        tagged = candidates.select(
-            "payment_id", F.lit(number).alias("_step"), F.lit(name).alias("match_step"), "candidates", "candidate_id"
-        )
-        found = tagged if found is None else found.unionByName(tagged)
-    # at most one row per step and payment
-    best = found.groupBy("payment_id").agg(
-        F.min_by(F.struct("_step", "match_step", "candidates", "candidate_id"), "_step").alias("_best")
-    )
-    joined = payments.join(best, "payment_id", "left")
+    exact = _first_step([
+        (1, _exact_candidates(payments, invoices, "reference_invoice_id", "invoice_id")),
+        (2, _exact_candidates(payments, invoices, "reference_file_id", "file_id")),
+        (3, _exact_candidates(payments, invoices, "metadata_invoice_id", "invoice_id")),
+    ])
+    # kept, because both the windows and the result go on from it
+    settled = kept(payments.join(exact, "payment_id", "left"), "payments")
+    rest = settled.where(F.col("_best").isNull()).drop("_best")
+    near = _first_step([
+        (4, _window_candidates(rest, invoices, "customer_id", window_days)),
+        (5, _window_candidates(rest, invoices, "organization_id", window_days)),
+    ]).withColumnRenamed("_best", "_near")
+    joined = settled.join(near, "payment_id", "left").withColumn("_best", F.coalesce("_best", "_near"))
     unique = F.col("_best.candidates") == 1
     heuristic = F.col("_best._step") > 3
     return joined.select(

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from claimloom.operators.intervals import join_days, levels_for
+
 
 def selected_matches(matches: DataFrame, claims: DataFrame) -> DataFrame:
     """Matches of the selected claims."""
@@ -29,18 +31,16 @@ def event_rollup(events: DataFrame, matches: DataFrame) -> DataFrame:
 def match_events(claims: DataFrame, events: DataFrame, window_days: int, prefix_length: int = 2) -> DataFrame:
     """Claims whose state, ZIP prefix and loss date agree with an event.
 
-    The event's area and days are unrolled to equality keys, so the match is an
-    equi-join on (state, prefix, day) instead of a range join. The unrolled
-    catalogue has states × prefixes × (2·window+1) rows per event; Spark
-    broadcasts it only while its size allows.
+    The event's area is unrolled to (state, prefix), and its days are cut into
+    aligned blocks, so the match is an equi-join instead of a range join. The
+    catalogue has states × prefixes × 2 log2(2·window+1) rows per event at most;
+    Spark broadcasts it only while its size allows.
     """
-    days = F.sequence(
-        F.date_sub("occurred_at", window_days), F.date_add("occurred_at", window_days), F.expr("INTERVAL 1 DAY")
-    )
-    keys = (
+    areas = (
         events.select("id", "occurred_at", F.explode(F.array_distinct("states")).alias("state"), "zip_prefixes")
         .select("id", "occurred_at", "state", F.explode(F.array_distinct("zip_prefixes")).alias("_prefix"))
-        .select(F.col("id").alias("weather_event_id"), "occurred_at", "state", "_prefix", F.explode(days).alias("_day"))
+        .withColumnRenamed("id", "weather_event_id")
+        .withColumns({"_from": F.date_sub("occurred_at", window_days), "_to": F.date_add("occurred_at", window_days)})
     )
     located = claims.select(
         F.col("id").alias("claim_id"),
@@ -50,6 +50,7 @@ def match_events(claims: DataFrame, events: DataFrame, window_days: int, prefix_
     )
     gap = F.abs(F.date_diff("_day", "occurred_at"))
     closeness = (F.lit(1) - gap.cast("decimal(10,0)") / F.lit(window_days + 1)).cast("decimal(7,4)")
-    return located.join(keys, ["state", "_prefix", "_day"]).select(
+    met = join_days(areas, located, ["state", "_prefix"], "_from", "_to", "_day", levels_for(2 * window_days + 1))
+    return met.select(
         "claim_id", "weather_event_id", gap.cast("bigint").alias("gap_days"), closeness.alias("confidence")
     )
