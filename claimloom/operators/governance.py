@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.session import ensure_checkpoint_dir
+from claimloom.session import ensure_checkpoint_dir, kept
 
 
 @dataclass(frozen=True)
@@ -60,25 +60,27 @@ def exclusion_counts(rows: DataFrame, reasons: Mapping[str, Column]) -> DataFram
 def trace(start: DataFrame, edges: DataFrame, most_steps: int | None = None, backward: bool = False) -> DataFrame:
     """All nodes reachable from ``start``, with the fewest steps to each.
 
-    ``edges`` has (parent, child), ``start`` has (node). Each step goes on from
-    the nodes that the step before added, so paths never multiply and loops end;
-    it is over when a step adds none. A lineage higher than ``most_steps`` is an
-    error, never cut.
+    ``edges`` has (parent, child), ``start`` has (node). Round k knows the nodes
+    within 2^k steps and the jumps of exactly 2^k steps, and joins the two; jumps
+    are doubled by joining them with themselves. So a lineage of n steps takes
+    log2(n) rounds, and loops end: it is over when a round adds no node. A
+    lineage higher than ``most_steps`` is an error, never cut.
     """
-    ensure_checkpoint_dir(start.sparkSession)
     near, far = ("child", "parent") if backward else ("parent", "child")
-    step = edges.select(F.col(near).alias("node"), F.col(far).alias("_next")).distinct()
-    frontier = start.select("node").distinct().withColumn("steps", F.lit(0).cast("bigint")).checkpoint()
-    reached, number = frontier, 0
+    jumps = edges.select(F.col(near).alias("node"), F.col(far).alias("_next")).dropna().distinct()
+    reached = kept(start.select("node").distinct().withColumn("steps", F.lit(0).cast("bigint")), "reached")
+    known, length = reached.count(), 1
     while True:
-        number += 1
-        ahead = frontier.join(step, "node").select(F.col("_next").alias("node")).distinct()
-        frontier = ahead.join(reached, "node", "left_anti").withColumn("steps", F.lit(number).cast("bigint")).checkpoint()
-        if frontier.isEmpty():
-            return reached
-        if most_steps is not None and number > most_steps:
+        ahead = reached.join(jumps, "node").select(F.col("_next").alias("node"), (F.col("steps") + length).alias("steps"))
+        reached = kept(reached.unionByName(ahead).groupBy("node").agg(F.min("steps").alias("steps")), "reached")
+        now = reached.agg(F.count("*"), F.max("steps")).first()
+        if most_steps is not None and (now[1] or 0) > most_steps:
             raise ValueError(f"the lineage goes on after {most_steps} steps")
-        reached = reached.unionByName(frontier)
+        if now[0] == known:
+            return reached
+        on = jumps.select(F.col("node").alias("_next"), F.col("_next").alias("_after"))
+        jumps = kept(jumps.join(on, "_next").select("node", F.col("_after").alias("_next")).distinct(), "jumps")
+        known, length = now[0], 2 * length
 
 
 def cycle_members(organizations: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from claimloom.functions.dates import quarter_label
 from claimloom.functions.text import natural_key
 from claimloom.operators.distributed import BLOCK_ROWS, carry_last
+from claimloom.operators.merge import one_per_key, with_key
 
 # fixed values: lifecycle statuses by group, and the allowed steps per service
 STATUS_GROUPS = {
@@ -104,6 +105,33 @@ def assignment_intervals(events: DataFrame, order: str = "position", block_rows:
     return ended.withColumn("is_current", F.col("ended_at").isNull())
 
 
+def spliced_ranges(
+    history: DataFrame, arriving: DataFrame, keys: Sequence[str], start: str, end: str, order: Sequence[Column], block_rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """Rows of an effective-dated history that change when ``arriving`` rows are spliced in, in whatever order they come.
+
+    ``history`` has one row per key and ``start``; each lasts until the next
+    start of its key, the last one is open (``end`` missing). An arriving row
+    closes the range it falls into and lasts until that range ended; one with a
+    known start replaces the values of that range. Of arriving rows with the same
+    key and start the last one in ``order`` counts. Keys that nothing arrives for
+    are not read further than the semi join. Result: new rows, and known rows with
+    another end or other values, to be merged by ``keys`` and ``start``.
+    """
+    keys = list(keys)
+    values = [c for c in history.columns if c != end]
+    new = one_per_key(with_key(arriving, [*keys, start]), [*keys, start], order).select(*values)
+    touched = history.join(new.select(*keys).distinct(), keys, "left_semi")
+    kept_starts = touched.join(new.select(*keys, start), [*keys, start], "left_anti")
+    both = kept_starts.withColumns({"_was": F.col(end), "_new": F.lit(False)}).drop(end).unionByName(
+        new.withColumns({"_was": F.lit(None).cast(history.schema[end].dataType), "_new": F.lit(True)})
+    )
+    ordered = both.withColumn("_at", F.unix_micros(F.col(start).cast("timestamp")))
+    ended = carry_last(ordered, keys, "_at", {end: F.col(start)}, block_rows, inclusive=False, backward=True)
+    changed = F.col("_new") | ~F.col(end).eqNullSafe(F.col("_was"))
+    return ended.where(changed).select(*history.columns)
+
+
 def multiple_current(assignments: DataFrame) -> DataFrame:
     """(file, type) pairs with more than one open assignment."""
     return (

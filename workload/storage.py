@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
+from claimloom.operators.lifecycle import spliced_ranges
 from claimloom.plans.ingest import ParsedImport, parse_import
 from claimloom.plans.promotion import ImportJob, PromotedStore, empty_tables, promote, staged
 from claimloom.session import work_folder
@@ -75,6 +76,44 @@ merged AS (
 )"""
 
 
+# --- an effective-dated history -----------------------------------------------------------
+
+RANGE_TABLE = "user_id bigint, event_type string, assignee string, started_at timestamp_ntz, ended_at timestamp_ntz"
+
+
+def assignment_history(spark: SparkSession, sf: str) -> DataFrame:
+    """Assignments per user and event type after two loads: every fifth event comes late, and some are corrected.
+
+    The second load is spliced into the stored ranges and merged by their start,
+    so only ranges that change are written.
+    """
+    events = table(spark, sf, "events").select(
+        "user_id", "event_type", F.concat(F.lit("P"), (F.col("event_id") % 7).cast("string")).alias("assignee"),
+        F.col("ts").cast("timestamp_ntz").alias("started_at"), "event_id", F.lit(False).alias("corrected"),
+    )
+    late = F.col("event_id") % 5 == 0
+    corrections = events.where("event_id % 35 = 1").withColumns({"assignee": F.lit("corrected"), "corrected": F.lit(True)})
+    keys = ["user_id", "event_type"]
+    stored = BucketTable(spark, work_folder(spark, "assignments"), RANGE_TABLE, [*keys, "started_at"], 16)
+    for arriving in (events.where(~late), events.where(late).unionByName(corrections)):
+        changed = spliced_ranges(
+            stored.read(), arriving, keys, "started_at", "ended_at", [F.col("corrected"), F.col("event_id")], block_rows=ingest.BLOCK
+        )
+        stored.merge(changed, ["assignee", "ended_at"])
+    at = [F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c) for c in ("started_at", "ended_at")]
+    return stored.read().select(*keys, "assignee", *at)
+
+
+HISTORY_SQL = """WITH arrived AS (
+  SELECT user_id, event_type, 'P' || (event_id % 7) AS assignee, ts, event_id, 0 AS corrected, CASE WHEN event_id % 5 = 0 THEN 1 ELSE 0 END AS load
+  FROM events
+  UNION ALL SELECT user_id, event_type, 'corrected', ts, event_id, 1, 1 FROM events WHERE event_id % 35 = 1
+), known AS (
+  SELECT user_id, event_type, ts, arg_max(assignee, (load, corrected, event_id)) AS assignee FROM arrived GROUP BY ALL
+)
+SELECT user_id, event_type, assignee, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS started_at,
+       strftime(lead(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts), '%Y-%m-%d %H:%M:%S.%f') AS ended_at FROM known"""
+
 # --- a landing folder, drained in three runs --------------------------------------------
 
 LANDED = StructType([StructField("row", LongType()), StructField("post", StringType()), StructField("kind", StringType()), StructField("value", DoubleType())])
@@ -270,4 +309,5 @@ FROM ({_TWIN['promoted_claims']}) a FULL JOIN ({later_sql(_TWIN['promoted_claims
     ),
     "rerun_changes": (rerun_changes, RERUN_SQL),
     "landing_posts": (landing_posts, LANDING_SQL),
+    "assignment_history": (assignment_history, HISTORY_SQL),
 }
