@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.llm.store import fresh, stored
+from claimloom.operators.distributed import top_per_group
 
 
 def normalised(text: Column) -> Column:
@@ -77,12 +78,12 @@ def duplicate_groups(
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows that stay, one of each group, with the columns of ``docs``."""
+    """The rows that stay, one of each group, with the columns of ``docs``; of rows that repeat an id, the longest text."""
     group = fresh(docs, "_group")
     marked = duplicate_groups(docs, doc_id=doc_id, text=text).where(F.col(f"{group}.kept"))
     sha = F.col(f"{group}.text_sha256")
     alone = marked.where(F.col(f"{group}.group_size") == 1)
-    # only here can rows repeat both id and text
+    # only here can rows repeat both id and normalised text
     shared = marked.where(F.col(f"{group}.group_size") > 1).withColumn(fresh(marked, "_sha"), sha)
-    once = shared.dropDuplicates([doc_id, shared.columns[-1]])
+    once = top_per_group(shared, [doc_id, shared.columns[-1]], [F.length(text).desc_nulls_last(), F.col(text)], 1)
     return alone.select(*docs.columns).unionByName(once.select(*docs.columns))

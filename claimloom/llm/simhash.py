@@ -115,10 +115,16 @@ def _posting_keys(prints: str, sets: Sequence[Sequence[int]]) -> Column:
     return F.array(*entries)
 
 
+def tally(prints: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """How many bytes each print shares with ``one`` at the same positions."""
+    return (prints == one).sum(axis=1)
+
+
 def _forest(prints: np.ndarray, blocks: np.ndarray, own: bool, min_shared: int, max_bits: int) -> list[tuple[int, int]]:
     """Linked pairs of one posting list, only those that join something not yet joined.
 
-    ``prints`` is (n, bytes). With ``own`` false only pairs of different blocks
+    ``prints`` is (n, bytes). Shared positional bytes are counted for every pair,
+    pairs below ``min_shared`` go, and the bits of the others are compared. With ``own`` false only pairs of different blocks
     are compared, as another task compares the blocks themselves.
     """
     n = len(prints)
@@ -132,11 +138,11 @@ def _forest(prints: np.ndarray, blocks: np.ndarray, own: bool, min_shared: int,
             rest = rest[blocks[rest] != blocks[i]]
         if not rest.size:
             continue
+        if min_shared:
+            # the count filter: the key holds three equal bytes, a link needs more
+            rest = rest[tally(prints[rest], prints[i]) >= min_shared]
         bits = np.bitwise_count(wide[rest] ^ wide[i]).sum(axis=1, dtype=np.int64)
-        hits = rest[bits <= max_bits]
-        if hits.size and min_shared:
-            hits = hits[(prints[hits] == prints[i]).sum(axis=1) >= min_shared]
-        for j in hits.tolist():
+        for j in rest[bits <= max_bits].tolist():
             if group[j] != group[i]:
                 group[group == group[j]] = group[i]
                 out.append((i, j))
