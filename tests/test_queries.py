@@ -17,7 +17,8 @@ def test_every_query_has_a_twin():
 
 
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="supplied tables are not here")
-@pytest.mark.parametrize("name", ["quarter_snapshot", "ageing", "contractor_ranking", "update_gaps", "row_classes", "payment_matches"])
+@pytest.mark.parametrize("name", ["quarter_snapshot", "ageing", "contractor_ranking", "update_gaps", "row_classes", "payment_matches",
+                                  "bucket_merge", "landing_posts", "assignment_history", "claim_page", "batch_plan", "gated_panel", "shape_gate"])
 def test_query_equals_its_twin(spark, name):
     db = duckdb.connect()
     for table in TABLES:

@@ -83,13 +83,29 @@ def sheet_extents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def shape_gate(spark: SparkSession, sf: str) -> DataFrame:
-    """The archive shape is right; the update sheet is expected one row short."""
-    extents = grids.sheet_extents(views.grid(spark, sf))
-    expected = extents.select(
-        "sheet",
-        (F.col("last_row") - F.when(F.col("sheet") == LAYOUT.updates_sheet, 1).otherwise(0)).alias("expected_last_row"),
-        F.col("columns").alias("expected_columns"),
-    )
+    """Expected shape from the tables behind the export; the update sheet is expected one row short."""
+    longest = table(spark, sf, "conversations").agg(F.max("turn")).scalar()
+    stride = F.coalesce(longest, F.lit(0)) + 2
+    last = {
+        "archive": (
+            table(spark, sf, "orders").agg(F.max("o_orderkey")).scalar() * stride + 6,
+            table(spark, sf, "conversations").agg(F.max(F.col("conv_id") * stride + F.col("turn"))).scalar() + 7,
+        ),
+        "updates": (
+            table(spark, sf, "events").agg(F.max("event_id")).scalar() * 2 + 3,
+            table(spark, sf, "documents").agg(F.max("doc_id")).scalar() * 2 + 4,
+        ),
+    }
+    columns = {"archive": len(views.ARCHIVE_HEADERS), "updates": len(views.UPDATE_HEADERS)}
+    sheets = [
+        F.struct(
+            F.lit(sheet).alias("sheet"),
+            (F.greatest(*rows) - (1 if sheet == LAYOUT.updates_sheet else 0)).cast("bigint").alias("expected_last_row"),
+            F.lit(columns[sheet]).cast("bigint").alias("expected_columns"),
+        )
+        for sheet, rows in last.items()
+    ]
+    expected = spark.range(1).select(F.inline(F.array(*sheets)))
     return grids.shape_gate(views.grid(spark, sf), expected)
 
 
@@ -423,18 +439,37 @@ def import_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _expected(spark: SparkSession, sf: str) -> DataFrame:
-    """Expected counts straight from the tables; one of them is wrong on purpose."""
-    orders = table(spark, sf, "orders").agg(
+    """All fifteen expected counts straight from the tables; one of them is wrong on purpose."""
+    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.lit(True).alias("lines")).distinct()
+    priority = F.col("o_orderpriority")
+    # an order in brackets, or without lines or an additional amount, lacks a component
+    complete = (F.col("o_orderstatus") != "P") & (priority != "1-URGENT") & F.coalesce("lines", F.lit(False))
+    orders = table(spark, sf, "orders").join(lines, "o_orderkey", "left").agg(
         F.count("*").alias("claims"),
         F.count_if(F.col("o_orderstatus") == "F").alias("complete"),
         F.count_if(F.col("o_orderstatus") == "P").alias("closed"),
+        F.count_if(~complete).alias("missing_components"),
+        F.count_if(complete & (priority == "3-MEDIUM")).alias("tolerance_matches"),
+        F.count_if(complete & (priority == "4-NOT SPECIFIED")).alias("mismatches"),
+        F.count_if(complete & ~priority.isin("3-MEDIUM", "4-NOT SPECIFIED")).alias("exact_matches"),
     )
     turns = table(spark, sf, "conversations").agg(
         F.count_if(F.col("role") == "user").alias("subitem_headers"),
         (F.count_if(F.col("role") != "user") + 1).alias("subitem_details"),
     )
+    body = F.regexp_replace("text", r"^\s+|\s+$", "")
+    posts = table(spark, sf, "events").select(
+        (F.col("user_id") * 131).alias("o_orderkey"), F.when(F.col("event_type") != "view", F.col("event_type")).alias("body")
+    ).unionByName(table(spark, sf, "documents").select(F.col("doc_id").alias("o_orderkey"), F.when(body != "", body).alias("body")))
+    counts = posts.agg(
+        F.count("*").alias("updates"), F.count("*").alias("unique_post_ids"), F.count_if(F.col("body").isNull()).alias("blank_update_bodies"),
+        (F.count("body") - F.count_distinct("body")).alias("duplicate_body_surplus"),
+    )
+    strangers = posts.join(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", "left_anti").agg(
+        F.count("*").alias("unmatched_update_rows"), F.count_distinct("o_orderkey").alias("unmatched_update_item_ids")
+    )
     rows = None
-    for frame in (orders, turns):
+    for frame in (orders, turns, counts, strangers):
         entries = [F.struct(F.lit(c).alias("measure"), F.col(c).alias("expected")) for c in frame.columns]
         part = frame.select(F.inline(F.array(*entries)))
         rows = part if rows is None else rows.unionByName(part)
@@ -446,17 +481,30 @@ def import_gate(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def gate_verdict(spark: SparkSession, sf: str) -> DataFrame:
-    summary, expected = _summary(spark, sf), _expected(spark, sf)
-    known = summary.join(expected.select("measure"), "measure", "left_semi")
-    return gate.gate_verdict(gate.compare_counts(known, expected))
+    return gate.gate_verdict(gate.compare_counts(_summary(spark, sf), _expected(spark, sf)))
 
 
-_EXPECTED = """expected AS (
+_EXPECTED = r"""expected_orders AS (SELECT *, o_orderstatus <> 'P' AND o_orderpriority <> '1-URGENT'
+  AND o_orderkey IN (SELECT l_orderkey FROM lineitem) AS whole FROM orders),
+expected_posts AS (
+  SELECT user_id * 131 AS item, CASE WHEN event_type <> 'view' THEN event_type END AS body FROM events
+  UNION ALL SELECT doc_id, nullif(regexp_replace(text, '^\s+|\s+$', '', 'g'), '') FROM documents),
+expected AS (
   SELECT 'claims' AS measure, count(*) AS expected FROM orders
   UNION ALL SELECT 'complete', count(*) FROM orders WHERE o_orderstatus = 'F'
   UNION ALL SELECT 'closed', count(*) FROM orders WHERE o_orderstatus = 'P'
+  UNION ALL SELECT 'missing_components', count(*) FROM expected_orders WHERE NOT whole
+  UNION ALL SELECT 'tolerance_matches', count(*) FROM expected_orders WHERE whole AND o_orderpriority = '3-MEDIUM'
+  UNION ALL SELECT 'mismatches', count(*) FROM expected_orders WHERE whole AND o_orderpriority = '4-NOT SPECIFIED'
+  UNION ALL SELECT 'exact_matches', count(*) FROM expected_orders WHERE whole AND o_orderpriority NOT IN ('3-MEDIUM', '4-NOT SPECIFIED')
   UNION ALL SELECT 'subitem_headers', count(*) FROM conversations WHERE role = 'user'
-  UNION ALL SELECT 'subitem_details', count(*) + 1 FROM conversations WHERE role <> 'user')"""
+  UNION ALL SELECT 'subitem_details', count(*) + 1 FROM conversations WHERE role <> 'user'
+  UNION ALL SELECT 'updates', count(*) FROM expected_posts
+  UNION ALL SELECT 'unique_post_ids', count(*) FROM expected_posts
+  UNION ALL SELECT 'blank_update_bodies', count(*) FROM expected_posts WHERE body IS NULL
+  UNION ALL SELECT 'duplicate_body_surplus', count(body) - count(DISTINCT body) FROM expected_posts
+  UNION ALL SELECT 'unmatched_update_rows', count(*) FROM expected_posts WHERE item NOT IN (SELECT o_orderkey FROM orders)
+  UNION ALL SELECT 'unmatched_update_item_ids', count(DISTINCT item) FROM expected_posts WHERE item NOT IN (SELECT o_orderkey FROM orders))"""
 
 
 def batch_count(spark: SparkSession, sf: str) -> DataFrame:
@@ -664,7 +712,7 @@ QUERIES = {
     "gate_verdict": (
         gate_verdict,
         f"""WITH {SUMMARY_CTE}, {_EXPECTED}, j AS (SELECT expected IS NOT DISTINCT FROM actual AS passes
-        FROM expected LEFT JOIN summary USING (measure))
+        FROM expected FULL JOIN summary USING (measure))
         SELECT bool_and(passes) AS accepted, count(*) FILTER (WHERE NOT passes) AS failed_measures FROM j""",
     ),
     "batch_count": (

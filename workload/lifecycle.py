@@ -126,8 +126,13 @@ def derived_quarters(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("service_type") == "estimate_only", F.date_add("opened_at", 95)).otherwise(F.col("opened_at")).alias("submitted"),
         F.col("closed_at").alias("completed"),
         F.date_add("closed_at", 30).alias("due"),
+        F.date_add("closed_at", 7).alias("invoiced"),
+        F.date_add("closed_at", 75).alias("collected"),
     )
-    names = {"submission_quarter": "submitted", "completion_quarter": "completed", "due_quarter": "due"}
+    names = {
+        "submission_quarter": "submitted", "completion_quarter": "completed", "due_quarter": "due", "invoice_quarter": "invoiced",
+        "collection_quarter": "collected",
+    }
     return lifecycle.derived_quarters(files, names).select("id", *names, "quarter_conflict")
 
 
@@ -472,12 +477,13 @@ QUERIES = {
     "derived_quarters": (
         derived_quarters,
         f"""WITH {CLAIMS}, q AS (SELECT id, source_quarter, CASE WHEN service_type = 'estimate_only' THEN opened_at + 95
-        ELSE opened_at END AS s, closed_at AS c, closed_at + 30 AS d FROM claims),
+        ELSE opened_at END AS s, closed_at AS c, closed_at + 30 AS d, closed_at + 7 AS i, closed_at + 75 AS p FROM claims),
         r AS (SELECT id, source_quarter, {_QUARTER.format('s')} AS submission_quarter, {_QUARTER.format('c')} AS completion_quarter,
-        {_QUARTER.format('d')} AS due_quarter FROM q)
-        SELECT id, submission_quarter, completion_quarter, due_quarter,
+        {_QUARTER.format('d')} AS due_quarter, {_QUARTER.format('i')} AS invoice_quarter, {_QUARTER.format('p')} AS collection_quarter FROM q)
+        SELECT id, submission_quarter, completion_quarter, due_quarter, invoice_quarter, collection_quarter,
         NOT (source_quarter = submission_quarter OR coalesce(source_quarter = completion_quarter, FALSE)
-        OR coalesce(source_quarter = due_quarter, FALSE)) AS quarter_conflict FROM r""",
+        OR coalesce(source_quarter = due_quarter, FALSE) OR coalesce(source_quarter = invoice_quarter, FALSE)
+        OR coalesce(source_quarter = collection_quarter, FALSE)) AS quarter_conflict FROM r""",
     ),
     "invoice_balances": (
         invoice_balances,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimloom.functions.text import alias_key, natural_key
@@ -17,6 +17,10 @@ from workload.views import ARCHIVE, LAYOUT, POSTS, sql_amount, sql_clean, table,
 SYSTEM = "board_export"
 JOB = ImportJob(SYSTEM, "all", "export", ARTIFACT, VERSION, "rules-1", "2024-07-01 00:00:00")
 _PLANS: dict[tuple[str, str], Tables] = {}
+MEASURES = (
+    "claims", "complete", "closed", "subitem_headers", "subitem_details", "updates", "unmatched_update_rows", "unmatched_update_item_ids",
+    "unique_post_ids", "blank_update_bodies", "duplicate_body_surplus", "exact_matches", "tolerance_matches", "mismatches", "missing_components",
+)
 
 
 def promoted(spark: SparkSession, sf: str) -> Tables:
@@ -254,8 +258,7 @@ def job_finish(spark: SparkSession, sf: str) -> DataFrame:
     closed = gate.finalize_job(tables["import_jobs"], counts, tables["dq_issues"], F.lit("2024-07-01 01:00:00").cast("timestamp"))
     return closed.select(
         "import_job_id", "status", "warning_count", "error_count", "run_fingerprint",
-        F.element_at("accepted_counts", "claims").alias("claims"),
-        F.element_at("accepted_counts", "updates").alias("updates"),
+        *[F.element_at("accepted_counts", m).alias(m) for m in MEASURES],
     )
 
 
@@ -289,14 +292,48 @@ def live_summary(spark: SparkSession, sf: str) -> DataFrame:
     return publish.live_summary(t["claims"], t["claim_financial_facts"], t["claim_derived_metrics"])
 
 
+_DAYS = ("assigned_date", "closed_date", "status_change_date")
+_NUMBERS = ("parsed_numeric_value", "calculated_value", "source_comparison_value", "difference")
+
+
+def _view(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """All columns of one published view, in types that compare across engines."""
+    view = publish.published(promoted(spark, sf))[name]
+
+    def shown(column: str) -> Column:
+        if column in _DAYS:
+            return text(F.col(column)).alias(column)
+        if column in _NUMBERS:
+            return F.col(column).cast("double").alias(column)
+        if column == "parsed_timestamp":
+            return F.date_format(column, "yyyy-MM-dd HH:mm:ss").alias(column)
+        return F.col(column)
+
+    return view.select(*[shown(c) for c in view.columns])
+
+
 def published_updates(spark: SparkSession, sf: str) -> DataFrame:
-    view = publish.published(promoted(spark, sf))["claim_updates"]
-    return view.select("post_id", "claim_id", "update_body", "blank_body", "duplicate_body", "author_name", "source_row")
+    return _view(spark, sf, "claim_updates")
 
 
 def published_claims(spark: SparkSession, sf: str) -> DataFrame:
-    view = publish.published(promoted(spark, sf))["claims"]
-    return view.select("claim_id", "item_id", "display_name", "raw_status", "lifecycle_state", "service_type")
+    return _view(spark, sf, "claims")
+
+
+def published_organizations(spark: SparkSession, sf: str) -> DataFrame:
+    return _view(spark, sf, "organizations")
+
+
+def published_facts(spark: SparkSession, sf: str) -> DataFrame:
+    return _view(spark, sf, "claim_financial_facts")
+
+
+def published_derived(spark: SparkSession, sf: str) -> DataFrame:
+    return _view(spark, sf, "claim_derived_metrics")
+
+
+def published_source_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return _view(spark, sf, "source_rows")
 
 
 def claim_list(spark: SparkSession, sf: str) -> DataFrame:
@@ -575,8 +612,9 @@ QUERIES = {
         f"""{ISSUES_SQL} SELECT {_JOB_ID} AS import_job_id,
         CASE WHEN {_WARNINGS} > 0 THEN 'completed_with_warnings' ELSE 'completed' END AS status, {_WARNINGS} AS warning_count,
         CAST(0 AS BIGINT) AS error_count, sha256('{ARTIFACT}:{VERSION}:' || ((SELECT count(*) FROM archive) + (SELECT count(*) FROM posts))
-        || ':' || (SELECT count(*) FROM posts)) AS run_fingerprint, (SELECT count(*) FROM orders) AS claims,
-        (SELECT count(*) FROM posts) AS updates""",
+        || ':' || (SELECT count(*) FROM posts)) AS run_fingerprint, {', '.join(
+            f"(SELECT actual FROM (WITH {SUMMARY_CTE} SELECT * FROM summary) WHERE measure = '{m}') AS {m}" for m in MEASURES
+        )}""",
     ),
     "validation_view": (
         validation_view,
@@ -606,14 +644,10 @@ QUERIES = {
     "published_updates": (
         published_updates,
         f"""WITH {POSTS}, {_UPDATES_FLAGGED} SELECT post_id, {_CLAIM_ID} AS claim_id, clean_body AS update_body,
-        clean_body IS NULL AS blank_body, repeated AS duplicate_body, author AS author_name, physical_row AS source_row
-        FROM flagged WHERE matched""",
-    ),
-    "published_claims": (
-        published_claims,
-        f"""WITH {ARCHIVE} SELECT {_CLAIM_ID} AS claim_id, item_id, name AS display_name, {sql_clean('status')} AS raw_status,
-        CASE WHEN {sql_clean('status')} IN ('Complete', 'Closed') THEN 'terminal_source_status' END AS lifecycle_state,
-        CAST(NULL AS VARCHAR) AS service_type FROM {_ROWS}""",
+        clean_body IS NULL AS blank_body, repeated AS duplicate_body, {sql_clean('created')} AS source_timestamp_raw,
+        strftime(ts, '%Y-%m-%d %H:%M:%S') AS parsed_timestamp,
+        CASE WHEN ts IS NOT NULL OR {sql_clean('created')} IS NULL THEN 'unknown_timezone' ELSE 'unparseable' END AS timezone_status,
+        author AS author_name, 'updates' AS source_sheet, physical_row AS source_row FROM flagged WHERE matched""",
     ),
     "claim_list": (
         claim_list,
@@ -640,3 +674,15 @@ QUERIES = {
         FROM post_bodies WHERE item_id = '1310' AND matched""",
     ),
 }
+
+# the published views show some columns of tables whose whole rows have twins above
+QUERIES |= {
+    query: (run, f"SELECT {', '.join(publish.PUBLISHED_COLUMNS[name])} FROM ({QUERIES[twin][1]})")
+    for query, run, name, twin in (
+        ("published_claims", published_claims, "claims", "promoted_claims"),
+        ("published_organizations", published_organizations, "organizations", "organizations"),
+        ("published_facts", published_facts, "claim_financial_facts", "promoted_facts"),
+        ("published_derived", published_derived, "claim_derived_metrics", "promoted_derived"),
+        ("published_source_rows", published_source_rows, "source_rows", "promoted_source_rows"),
+    )
+}
