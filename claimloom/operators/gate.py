@@ -28,8 +28,8 @@ def _tall(row: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 def import_summary(claims: DataFrame, headers: DataFrame, details: DataFrame, updates: DataFrame) -> DataFrame:
     """Fifteen counts of a parsed import as (measure, actual) rows.
 
-    The id count of unmatched updates leaves missing ids out. Bodies are counted
-    per fingerprint before the surplus is summed.
+    The id count of unmatched updates leaves missing ids out. Each frame is read
+    once.
     """
     claim_counts = claims.agg(
         F.count("*").alias("claims"),
@@ -37,25 +37,22 @@ def import_summary(claims: DataFrame, headers: DataFrame, details: DataFrame, up
         F.count_if(F.col("raw_status") == "Closed").alias("closed"),
         *[F.count_if(F.col("reconciliation_status") == s).alias(n) for n, s in RECONCILIATION_COUNTS.items()],
     )
+    unmatched = ~F.col("matched")
+    # all counts of the updates in one pass, the distinct ones over their own keys
     update_counts = updates.agg(
         F.count("*").alias("updates"),
-        F.count_if(~F.col("matched")).alias("unmatched_update_rows"),
+        F.count_if(unmatched).alias("unmatched_update_rows"),
         F.count_if(F.col("blank_body")).alias("blank_update_bodies"),
+        F.count_distinct(F.when(unmatched, F.col("item_id"))).alias("unmatched_update_item_ids"),
+        F.count_distinct("post_id").alias("unique_post_ids"),
         # rows with a body minus distinct bodies: what is left over per fingerprint
-        F.count("body_fingerprint").alias("_bodies"),
+        (F.count("body_fingerprint") - F.count_distinct("body_fingerprint")).alias("duplicate_body_surplus"),
     )
-    ids = updates.where(~F.col("matched") & F.col("item_id").isNotNull()).select("item_id").distinct()
-    posts = updates.where(F.col("post_id").isNotNull()).select("post_id").distinct()
-    bodies = updates.where(F.col("body_fingerprint").isNotNull()).select("body_fingerprint").distinct()
-    surplus = update_counts.select((F.col("_bodies") - bodies.agg(F.count("*")).scalar()).alias("duplicate_body_surplus"))
     frames = [
         _tall(claim_counts),
         _tall(headers.agg(F.count("*").alias("subitem_headers"))),
         _tall(details.agg(F.count("*").alias("subitem_details"))),
-        _tall(update_counts.drop("_bodies")),
-        _tall(ids.agg(F.count("*").alias("unmatched_update_item_ids"))),
-        _tall(posts.agg(F.count("*").alias("unique_post_ids"))),
-        _tall(surplus),
+        _tall(update_counts),
     ]
     result = frames[0]
     for frame in frames[1:]:

@@ -15,7 +15,7 @@ from claimloom.operators.joins import mark_duplicate_bodies, mark_matched
 from claimloom.operators.reconcile import reconcile_strict
 from claimloom.operators.rows import with_parents, with_row_class
 from claimloom.schema import SheetLayout
-from claimloom.sources.grid import data_rows, header_cells, header_maps, named_rows, positional_headers
+from claimloom.sources.grid import data_rows, header_cells, header_maps, held_headers, named_rows, positional_headers
 
 
 @dataclass
@@ -99,11 +99,12 @@ def parse_updates(update_rows: DataFrame, layout: SheetLayout) -> DataFrame:
 def parse_import(grid: DataFrame, layout: SheetLayout, block_rows: int = BLOCK_ROWS) -> ParsedImport:
     """Parse the archive and update sheets of a grid.
 
-    Only the subitem frames need the order of the rows; claims and updates are
-    read row by row.
+    The header names, one row per column, are read and kept at once; everything
+    else stays a plan. Only the subitem frames need the order of the rows; claims
+    and updates are read row by row.
     """
     header_rows = layout.header_rows
-    headers = positional_headers(header_cells(grid, header_rows))
+    headers = held_headers(positional_headers(header_cells(grid, header_rows)))
     named = named_rows(data_rows(grid, header_rows), headers)
     archive = with_row_class(
         named.where(F.col("sheet") == layout.archive_sheet), F.col("row")[layout.item_id], F.col("row")[layout.name]

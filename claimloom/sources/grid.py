@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from claimloom.functions.text import NOT_BLANK, clean_text, norm_text
 from claimloom.operators.distributed import running_number
-from claimloom.session import ensure_checkpoint_dir
+from claimloom.session import kept
 from claimloom.schema import GRID
 
 SHEET = ["file_name", "sheet"]
@@ -123,9 +123,8 @@ def repeated_headers(headers: DataFrame, group: Sequence[str] = SHEET) -> DataFr
 
 
 def held_headers(headers: DataFrame) -> DataFrame:
-    """Header names written once to the checkpoint folder, so that no later step reads the sheets for them."""
-    ensure_checkpoint_dir(headers.sparkSession)
-    return headers.checkpoint()
+    """Header names written once to the shared folder, so that no later step reads the sheets for them."""
+    return kept(headers, "headers")
 
 
 def header_maps(headers: DataFrame, group: Sequence[str] = SHEET) -> DataFrame:
