@@ -27,6 +27,7 @@ from claimloom.session import kept
 from claimloom.sources.grid import SHEET, has_content
 
 COLUMN = [*SHEET, "position"]
+LONG_VALUE = 128
 KINDS = ("boolean", "date", "number", "date_string", "numeric_text", "text")
 
 
@@ -37,12 +38,19 @@ def share_percent(part: Column, whole: Column) -> Column:
 
 
 def value_counts(cells: DataFrame) -> DataFrame:
-    """Rows per column, value and cell type, with the first row each occurs in."""
+    """Rows per column, value and cell type, with the first row each occurs in.
+
+    A value of more than ``LONG_VALUE`` characters, which is neither number nor
+    date, is represented by its digest, so that whole texts are not shuffled.
+    """
     only_blanks = (F.col("value") == "") & (F.coalesce(F.col("raw"), F.lit("")) != "")
-    return cells.groupBy(*COLUMN, "value", "cell_type").agg(
+    digest = F.concat(F.lit("\u0000"), F.sha2(F.col("value").cast("binary"), 256))
+    short = F.when(F.length("value") <= LONG_VALUE, F.col("value")).otherwise(digest)
+    narrow = cells.select(*COLUMN, "physical_row", short.alias("value"), "cell_type", only_blanks.alias("_blank"))
+    return narrow.groupBy(*COLUMN, "value", "cell_type").agg(
         F.count("*").alias("n"),
         F.min("physical_row").alias("first_row"),
-        F.count_if(only_blanks).alias("whitespace_only"),
+        F.count_if("_blank").alias("whitespace_only"),
     )
 
 
