@@ -66,9 +66,14 @@ def body_fingerprint(body: Column) -> Column:
 
 
 def natural_key(*parts: Column | str) -> Column:
-    """Deterministic identifier of a natural key, so that reruns agree."""
-    columns = [F.col(p) if isinstance(p, str) else p for p in parts]
-    return F.sha2(F.concat_ws(":", *[F.coalesce(c.cast("string"), F.lit("")) for c in columns]), 256)
+    """Deterministic identifier of a natural key, so that reruns agree.
+
+    Every part stands behind its length, and a missing one is a dash, so
+    different keys never make one text.
+    """
+    texts = [(F.col(p) if isinstance(p, str) else p).cast("string") for p in parts]
+    marked = [F.when(t.isNull(), "-").otherwise(F.concat(F.length(t).cast("string"), F.lit(":"), t)) for t in texts]
+    return F.sha2(F.concat(*marked), 256)
 
 
 def row_fingerprint(row: Column) -> Column:

@@ -135,3 +135,11 @@ def test_coverage_rounds_half_up_and_zero_denominator(spark):
     rows = spark.sql("select * from values (1, 200), (0, 0), (3, 200), (5, 4) as t(n, d)")
     found = [r[0] for r in rows.select(envelope.coverage_percent(F.col("n"), F.col("d"))).collect()]
     assert found == [1, 0, 2, 125]
+
+
+def test_natural_keys_tell_their_parts_apart(spark):
+    pairs = [("a:b", "c"), ("a", "b:c"), (None, "a"), ("", "a"), ("a", None), ("a", ""), ("1:a", "b"), ("a1:", "b"), ("-", "a")]
+    rows = spark.createDataFrame(pairs, "a string, b string").select(text.natural_key("a", "b").alias("k")).collect()
+    assert len({r.k for r in rows}) == len(pairs)
+    again = spark.createDataFrame([("x", 5)], "a string, b long").select(text.natural_key("a", "b").alias("k")).first().k
+    assert again == hashlib.sha256(b"1:x1:5").hexdigest()

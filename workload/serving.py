@@ -365,16 +365,25 @@ def claim_update_feed(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- SQL twins ---------------------------------------------------------------------------
 
-_JOB_ID = f"sha256('{ARTIFACT}:{VERSION}')"
-_FILE_ID = f"sha256('{SYSTEM}:{ARTIFACT}')"
+def _part(value: str) -> str:
+    """A part of a natural key, behind its length."""
+    return f"length({value}) || ':' || {value}"
+
+
+def _fixed(value: str) -> str:
+    return f"'{len(value)}:{value}'"
+
+
+_JOB_ID = f"sha256({_fixed(ARTIFACT)} || {_fixed(VERSION)})"
+_FILE_ID = f"sha256({_fixed(SYSTEM)} || {_fixed(ARTIFACT)})"
 
 
 def _sheet_id(index: int) -> str:
-    return f"sha256({_FILE_ID} || ':{index}')"
+    return f"sha256('64:' || {_FILE_ID} || {_fixed(str(index))})"
 
 
 def _row_id(row: str, index: int = 0) -> str:
-    return f"sha256({_sheet_id(index)} || ':' || {row})"
+    return f"sha256('64:' || {_sheet_id(index)} || {_part(f'CAST({row} AS VARCHAR)')})"
 
 
 def _alias(column: str) -> str:
@@ -382,10 +391,10 @@ def _alias(column: str) -> str:
 
 
 def _ref(kind: str, column: str) -> str:
-    return f"CASE WHEN {column} IS NOT NULL THEN sha256('{kind}:' || {_alias(column)}) END"
+    return f"CASE WHEN {column} IS NOT NULL THEN sha256({_fixed(kind)} || {_part(_alias(column))}) END"
 
 
-_CLAIM_ID = f"sha256('{SYSTEM}:' || item_id)"
+_CLAIM_ID = f"sha256({_fixed(SYSTEM)} || {_part('item_id')})"
 _ROWS = "(SELECT * FROM archive WHERE item_id IS NOT NULL)"
 _MOMENT = r"^\d{4}-\d{2}-\d{2}(T\d{2}:\d{2}:\d{2})?$"
 
@@ -502,24 +511,24 @@ QUERIES = {
             [n if n else "unnamed_column_21" for n in [*views.ARCHIVE_HEADERS[:16], "CH Update__column_17", *views.ARCHIVE_HEADERS[17:]]]
         )}'), (1, 'updates', 2, '{"|".join([*views.UPDATE_HEADERS[:7], "Content Type__column_8", "unnamed_column_9"])}'))
         v(i, sheet, header_row, names))
-        SELECT sha256({_FILE_ID} || ':' || i) AS worksheet_id, {_FILE_ID} AS source_file_id, 'export' AS file_name, sheet,
+        SELECT sha256('64:' || {_FILE_ID} || {_part('CAST(i AS VARCHAR)')}) AS worksheet_id, {_FILE_ID} AS source_file_id, 'export' AS file_name, sheet,
         CAST(i AS BIGINT) AS worksheet_index, CAST(header_row AS BIGINT) AS header_row, {_JOB_ID} AS import_job_id, names,
         CASE i WHEN 0 THEN (SELECT count(*) FROM archive) ELSE (SELECT count(*) FROM posts) END AS stored_rows FROM w""",
     ),
     "organizations": (
         organizations,
-        f"""WITH {ARCHIVE}, {_ORGS} SELECT sha256(kind || ':' || {_alias('name')}) AS organization_id, kind AS organization_type,
+        f"""WITH {ARCHIVE}, {_ORGS} SELECT sha256({_part('kind')} || {_part(_alias('name'))}) AS organization_id, kind AS organization_type,
         last(name ORDER BY physical_row) AS display_name, {_alias('name')} AS normalized_name FROM orgs GROUP BY kind, {_alias('name')}""",
     ),
     "organization_aliases": (
         organization_aliases,
-        f"""WITH {ARCHIVE}, {_ORGS} SELECT sha256(kind || ':' || {_alias('name')}) AS organization_id, '{SYSTEM}' AS source_system,
+        f"""WITH {ARCHIVE}, {_ORGS} SELECT sha256({_part('kind')} || {_part(_alias('name'))}) AS organization_id, '{SYSTEM}' AS source_system,
         first(name ORDER BY physical_row) AS raw_alias, {_alias('name')} AS normalized_alias, {_JOB_ID} AS import_job_id
         FROM orgs GROUP BY kind, {_alias('name')}""",
     ),
     "people": (
         people,
-        f"""WITH {ARCHIVE} SELECT sha256('claim_handler:' || {_alias('handler')}) AS person_id, 'claim_handler' AS person_type,
+        f"""WITH {ARCHIVE} SELECT sha256({_fixed('claim_handler')} || {_part(_alias('handler'))}) AS person_id, 'claim_handler' AS person_type,
         last(handler ORDER BY physical_row) AS display_name, {_alias('handler')} AS normalized_name,
         first(handler ORDER BY physical_row) AS raw_alias, {_alias('handler')} AS normalized_alias
         FROM archive WHERE handler IS NOT NULL GROUP BY {_alias('handler')}""",
