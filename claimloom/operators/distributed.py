@@ -250,6 +250,7 @@ def global_position(df: DataFrame, order: Sequence[Column], out: str = "position
 RANGE_ROWS = 50_000  # rows of an order range, about
 _SAMPLE_PER_RANGE = 50
 _MOST_RANGES = 4096
+_FAN = 16  # bounds that a row meets at one of three levels; its cube is the most ranges
 
 
 @dataclass(frozen=True)
@@ -291,23 +292,42 @@ class OrderIndex:
         """Number of a row's range: how many bounds it stands after."""
         if not self.bounds:
             return F.lit(0)
-        marks = F.array(*[
-            F.struct(*[
-                part
-                for k, (v, t) in enumerate(zip(bound, self.types))
-                for part in (F.lit(v is None).alias(f"m{k}"), F.lit(v).cast(t).alias(f"v{k}"))
-            ])
-            for bound in self.bounds
+        # the last bound of every block of 256, of 16 and of 1: a row meets a few bounds of each, not all
+        levels = F.array(*[
+            F.struct(F.lit(width).alias("width"), F.array(*[self._mark(b) for b in self.bounds[width - 1 :: width]]).alias("marks"))
+            for width in (_FAN**2, _FAN, 1)
+            if width <= len(self.bounds)
         ])
 
-        def passed(bound: Column) -> Column:
-            found, level = F.lit(False), F.lit(True)
-            for k, key in enumerate(self.order):
-                after, equal = key.after(bound[f"m{k}"], bound[f"v{k}"])
-                found, level = found | level & after, level & equal
-            return found
+        def narrowed(found: Column, level: Column) -> Column:
+            near = F.slice(level["marks"], (found / level["width"]).cast("int") + 1, F.lit(_FAN))
+            return found + F.size(F.filter(near, self._passed)) * level["width"]
 
-        return F.size(F.filter(marks, passed))
+        return F.aggregate(levels, F.lit(0), narrowed)
+
+    def _mark(self, bound: tuple) -> Column:
+        return F.struct(*[
+            part
+            for k, (v, t) in enumerate(zip(bound, self.types))
+            for part in (F.lit(v is None).alias(f"m{k}"), F.lit(v).cast(t).alias(f"v{k}"))
+        ])
+
+    def _passed(self, mark: Column) -> Column:
+        """Whether a row stands after a bound."""
+        found, level = F.lit(False), F.lit(True)
+        for k, key in enumerate(self.order):
+            after, equal = key.after(mark[f"m{k}"], mark[f"v{k}"])
+            found, level = found | level & after, level & equal
+        return found
+
+    def within(self, low: int, high: int) -> Column:
+        """Whether a row lies in the ranges ``low`` to ``high``; looks at their two outer bounds only."""
+        inside = F.lit(True)
+        if low > 0:
+            inside = inside & self._passed(self._mark(self.bounds[low - 1]))
+        if high < len(self.bounds):
+            inside = inside & ~self._passed(self._mark(self.bounds[high]))
+        return inside
 
     def ranges(self, first: int, last: int) -> tuple[int, int, int]:
         """The ranges that hold the positions ``first`` to ``last``, counted from 0, and the rows before them."""
@@ -351,7 +371,7 @@ def _flipped(key: OrderKey, n: int) -> OrderKey:
 def ordered_slice(rows: DataFrame, index: OrderIndex, first: int, count: int) -> DataFrame:
     """``count`` rows from position ``first`` (from 0) on, with their ``position`` from 1; sorts the ranges of these rows only."""
     low, high, before = index.ranges(first, first + count - 1)
-    part = rows.where(index.range_of().between(low, high)) if index.bounds else rows
+    part = rows.where(index.within(low, high)) if index.bounds else rows
     sorting = [key.sort() for key in index.order]
     taken = part.orderBy(*sorting).offset(first - before).limit(count)
     # no more than ``count`` rows
