@@ -41,3 +41,11 @@ def test_ranges_of_many_bounds_equal_a_full_count(spark):
     assert index.total == 6000
 
 
+def test_a_page_builds_its_rows_once(spark):
+    value, seen = counted(spark, F.col("id").cast("string"))
+    rows = spark.range(400).select(F.col("id"), value.alias("name"))
+    page = explorer.page_slice(rows, explorer.text_order("name"), page=3, size=10, range_rows=40)
+    assert [r.position for r in page.collect()] == list(range(21, 31))
+    assert seen.value == 400
+
+
