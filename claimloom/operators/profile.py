@@ -31,6 +31,11 @@ LONG_VALUE = 128
 KINDS = ("boolean", "date", "number", "date_string", "numeric_text", "text")
 
 
+def _names(headers: DataFrame) -> DataFrame:
+    """Header names, one row per column of a sheet; joined by broadcast, so that no column's values meet in one task."""
+    return F.broadcast(headers.select(*COLUMN, F.col("internal").alias("header")))
+
+
 def share_percent(part: Column, whole: Column) -> Column:
     """Percentage with two decimals; zero when there are no rows."""
     ratio = F.lit(100.0) * part.cast("double") / whole.cast("double")
@@ -65,7 +70,7 @@ def _parsed(counts: DataFrame, headers: DataFrame) -> DataFrame:
     value = F.when(F.col("value") != "", F.col("value"))
     dated = has_term(header, DATE_TERMS)
     financial = has_term(header, FINANCIAL_TERMS)
-    named = counts.join(headers.select(*COLUMN, F.col("internal").alias("header")), COLUMN)
+    named = counts.join(_names(headers), COLUMN)
     # each value is parsed only below a header that asks for it
     parsed = named.select(
         "*",
@@ -150,7 +155,7 @@ def example_values(cells: DataFrame, headers: DataFrame, limit: int = 3) -> Data
     """First non-blank values per column in row order, masked where sensitive."""
     filled = cells.where(F.col("value") != "")
     first = top_per_group(filled, COLUMN, [F.asc("physical_row")], limit)
-    named = first.join(headers.select(*COLUMN, F.col("internal").alias("header")), COLUMN)
+    named = first.join(_names(headers), COLUMN)
     shown = named.withColumn("example", redact_example(F.col("header"), F.col("raw")))
     # at most `limit` rows per column are left here
     listed = F.array_sort(F.collect_list(F.struct("_rank", "example")))
@@ -159,9 +164,7 @@ def example_values(cells: DataFrame, headers: DataFrame, limit: int = 3) -> Data
 
 def enum_candidates(cells: DataFrame, headers: DataFrame, limit: int = 20) -> DataFrame:
     """Values of the columns that have at most ``limit`` of them and are not sensitive."""
-    open_columns = headers.where(~has_term(F.col("internal"), SENSITIVE_TERMS)).select(
-        *COLUMN, F.col("internal").alias("header")
-    )
+    open_columns = _names(headers.where(~has_term(F.col("internal"), SENSITIVE_TERMS)))
     values = (
         cells.where(F.col("value") != "")
         .join(open_columns, COLUMN)
@@ -194,7 +197,7 @@ def claim_coverage(claim_cells: DataFrame, claim_rows: DataFrame, headers: DataF
         F.count(filled).alias("nonblank_count"), F.count_distinct(filled).alias("distinct_count")
     )
     return (
-        per_column.join(headers.select(*COLUMN, F.col("internal").alias("header")), COLUMN)
+        per_column.join(_names(headers), COLUMN)
         .join(totals, SHEET)
         .select(
             *COLUMN,
@@ -208,7 +211,7 @@ def claim_coverage(claim_cells: DataFrame, claim_rows: DataFrame, headers: DataF
 
 def money_stats(cells: DataFrame, claim_rows: DataFrame, headers: DataFrame) -> DataFrame:
     """Zero, negative and malformed amounts, range and exact median per money column."""
-    counts = value_counts(cells).join(headers.select(*COLUMN, F.col("internal").alias("header")), COLUMN)
+    counts = value_counts(cells).join(_names(headers), COLUMN)
     filled = F.col("value") != ""
     number = F.when(filled & (F.col("cell_type") != "boolean"), accounting_number(F.col("value")))
     # the texts are gone once their numbers are known; this is what both the stats and the medians read
@@ -316,7 +319,7 @@ def keyword_counts(updates: DataFrame, families: Mapping[str, str] = KEYWORD_FAM
 
 def date_audit(cells: DataFrame, headers: DataFrame) -> DataFrame:
     """Parsed, invalid and extreme dates of every date column."""
-    dated = headers.where(has_term(F.col("internal"), DATE_TERMS)).select(*COLUMN, F.col("internal").alias("header"))
+    dated = _names(headers.where(has_term(F.col("internal"), DATE_TERMS)))
     counts = value_counts(cells.where(F.col("value") != "")).join(dated, COLUMN)
     valued = counts.select("*", _day_of(F.col("value"), F.col("cell_type")).alias("day"))
     n = F.col("n")

@@ -49,3 +49,21 @@ def test_a_page_builds_its_rows_once(spark):
     assert seen.value == 400
 
 
+def test_values_of_a_column_do_not_meet_in_one_task(spark):
+    rows = spark.range(50).select(
+        *[(F.col("id") % n).cast("string").alias(c) for n, c in ((1, "file_name"), (2, "sheet"))], (F.col("id") % 2).alias("position"), F.col("id").alias("physical_row"),
+        F.col("id").cast("string").alias("raw"), F.col("id").cast("string").alias("value"), F.lit("text").alias("cell_type"),
+    )
+    # a frame whose size Spark does not know
+    headers = rows.groupBy("file_name", "sheet", "position").agg(F.max(F.lit("Fee amount")).alias("internal"))
+    named = profile._parsed(profile.value_counts(rows), headers)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = named._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert named.count() == 50
+
+
