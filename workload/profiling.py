@@ -9,6 +9,7 @@ from claimloom.functions.dates import profile_date
 from claimloom.functions.text import clean_text
 from claimloom.operators import profile
 from claimloom.schema import DATE_TERMS, FINANCIAL_TERMS, KEYWORD_FAMILIES, SENSITIVE_TERMS, SUBITEM_LABEL
+from claimloom.session import kept
 from claimloom.sources import grid as grids
 from workload import views
 from workload.ingest import _named, parsed
@@ -19,7 +20,8 @@ EVENT_HEADERS = ("Event ID", "Sent date", "Visitor", "Kind", "Fee amount", "Note
 
 def _sheet(spark: SparkSession, sf: str, sheet: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Non-blank rows, their cells and the profiler's header names of one sheet."""
-    grid = views.grid(spark, sf).where(F.col("sheet") == sheet)
+    # the cells are built once: the filters on them would build them again
+    grid = kept(views.grid(spark, sf).where(F.col("sheet") == sheet), "grid")
     headers = grids.held_headers(grids.ordinal_headers(grids.header_cells(grid, LAYOUT.header_rows)))
     rows = grids.drop_blank_rows(grids.data_rows(grid, LAYOUT.header_rows))
     return rows, grids.unrolled_cells(rows), headers
