@@ -18,11 +18,11 @@ def decimal_amount(value: Column) -> Column:
 
 def accounting_number(value: Column) -> Column:
     """Finite double; a value wrapped in parentheses is negative."""
-    text = clean_text(value)
-    digits = without(value, "$,%()")
-    number = F.when(digits.rlike(PLAIN_NUMBER), digits.try_cast("double"))
-    sign = F.when(text.startswith("(") & text.endswith(")"), -1.0).otherwise(1.0)
-    return F.nullif(F.nullif(number * sign, F.lit(float("inf"))), F.lit(float("-inf")))
+    # value stands in few places of this expression, as each of them may be worked out anew
+    number = F.regexp_extract(without(value, "$,%()"), PLAIN_NUMBER, 0).try_cast("double")
+    sign = F.when(clean_text(value).rlike(r"(?s)^\(.*\)\z"), -1.0).otherwise(1.0)
+    signed = number * sign
+    return F.when(F.abs(signed) < F.lit(float("inf")), signed)
 
 
 def availability(parsed: Column, raw: Column | None = None, strict: bool = False) -> Column:

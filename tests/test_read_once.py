@@ -49,6 +49,13 @@ def test_a_page_builds_its_rows_once(spark):
     assert seen.value == 400
 
 
+def test_amount_parsing_does_not_repeat_the_cell(spark):
+    assert str(accounting_number(F.col("the_cell"))).count("the_cell") <= 4
+    cells = ["(5.00)", "$ 1,234.50", "12%", "1e5", "1e999", "(-1e999)", "abc", "NaN", "Infinity", "1d", "", " ( 7 ) ", "(", "()", None]
+    got = [r[0] for r in spark.createDataFrame([(c,) for c in cells], "c string").select(accounting_number(F.col("c"))).collect()]
+    assert got == [-5.0, 1234.5, 12.0, 1e5, None, None, None, None, None, None, None, -7.0, None, None, None]
+
+
 def test_values_of_a_column_do_not_meet_in_one_task(spark):
     rows = spark.range(50).select(
         *[(F.col("id") % n).cast("string").alias(c) for n, c in ((1, "file_name"), (2, "sheet"))], (F.col("id") % 2).alias("position"), F.col("id").alias("physical_row"),

@@ -22,6 +22,7 @@ from claimloom.operators.reconcile import money_facts, reconcile_audit
 from claimloom.operators.rows import row_structure, with_parents, with_row_class
 from claimloom.plans.ingest import ParsedImport, parse_import
 from claimloom.schema import SUBITEM_LABEL
+from claimloom.session import kept
 from claimloom.sources import grid as grids
 from claimloom.sources import tables as sources
 from workload import views
@@ -44,7 +45,8 @@ def parsed(spark: SparkSession, sf: str) -> ParsedImport:
 
 
 def _named(spark: SparkSession, sf: str, sheet: str) -> DataFrame:
-    grid = views.grid(spark, sf).where(F.col("sheet") == sheet)
+    # the cells are built once: the filters on them would build them again
+    grid = kept(views.grid(spark, sf).where(F.col("sheet") == sheet), "grid")
     heads = LAYOUT.header_rows
     headers = grids.held_headers(grids.positional_headers(grids.header_cells(grid, heads)))
     return grids.named_rows(grids.drop_blank_rows(grids.data_rows(grid, heads)), headers)
@@ -208,10 +210,10 @@ reconciled AS (SELECT *, CASE WHEN i IS NULL OR c IS NULL THEN 'missing_componen
 
 def audit_reconciliation(spark: SparkSession, sf: str) -> DataFrame:
     rows = _named(spark, sf, LAYOUT.archive_sheet).where(clean_text(F.col("row")[LAYOUT.item_id]).isNotNull())
-    initial, current, source = (
-        accounting_number(F.col("row")[h]) for h in ("Initial Ins. RCV", "Current Ins. RCV", "Additional Secured $")
-    )
-    return rows.groupBy(reconcile_audit(initial, current, source).alias("status")).agg(F.count("*").alias("rows"))
+    heads = {"initial": "Initial Ins. RCV", "current": "Current Ins. RCV", "source": "Additional Secured $"}
+    # each amount is parsed once, not wherever its status looks at it
+    amounts = rows.select(*[accounting_number(F.col("row")[h]).alias(name) for name, h in heads.items()])
+    return amounts.groupBy(reconcile_audit(*[F.col(n) for n in heads]).alias("status")).agg(F.count("*").alias("rows"))
 
 
 def claim_dates(spark: SparkSession, sf: str) -> DataFrame:
