@@ -15,6 +15,7 @@ from claimloom.operators.joins import mark_duplicate_bodies, mark_matched
 from claimloom.operators.reconcile import reconcile_strict
 from claimloom.operators.rows import with_parents, with_row_class
 from claimloom.schema import SheetLayout
+from claimloom.session import kept
 from claimloom.sources.grid import data_rows, header_cells, header_maps, held_headers, named_rows, positional_headers
 
 
@@ -99,10 +100,12 @@ def parse_updates(update_rows: DataFrame, layout: SheetLayout) -> DataFrame:
 def parse_import(grid: DataFrame, layout: SheetLayout, block_rows: int = BLOCK_ROWS) -> ParsedImport:
     """Parse the archive and update sheets of a grid.
 
-    The header names, one row per column, are read and kept at once; everything
-    else stays a plan. Only the subitem frames need the order of the rows; claims
+    The grid is written once to the shared folder, so that neither its filters nor
+    its many readers build the cells again; the header names, one row per column,
+    are read and kept at once. Everything else stays a plan. Only the subitem frames need the order of the rows; claims
     and updates are read row by row.
     """
+    grid = kept(grid, "grid")
     header_rows = layout.header_rows
     headers = held_headers(positional_headers(header_cells(grid, header_rows)))
     named = named_rows(data_rows(grid, header_rows), headers)
@@ -112,7 +115,8 @@ def parse_import(grid: DataFrame, layout: SheetLayout, block_rows: int = BLOCK_R
     placed = with_parents(archive, block_rows=block_rows)
     update_rows = named.where(F.col("sheet") == layout.updates_sheet)
     claims = parse_claims(archive.where(F.col("row_class") == "claim"), layout)
-    updates = mark_duplicate_bodies(mark_matched(parse_updates(update_rows, layout), claims))
+    # matched last, as promotion looks the same item ids up again
+    updates = mark_matched(mark_duplicate_bodies(parse_updates(update_rows, layout)), claims)
 
     def subitems(kind: str, *extra: str) -> DataFrame:
         return placed.where(F.col("row_class") == kind).select(

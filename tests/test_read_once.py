@@ -49,6 +49,20 @@ def test_a_page_builds_its_rows_once(spark):
     assert seen.value == 400
 
 
+def test_an_import_builds_its_cells_once(spark):
+    item, post = ARCHIVE_HEADERS.index("Item ID (auto generated)"), UPDATE_HEADERS.index("Post ID")
+    archive = [[f"{k}" if c == item else None for c in range(len(ARCHIVE_HEADERS))] for k in range(30)]
+    updates = [[f"P{k}" if c == post else None for c in range(len(UPDATE_HEADERS))] for k in range(20)]
+    sheets = [(LAYOUT.archive_sheet, LAYOUT.archive_header_row, [list(ARCHIVE_HEADERS), *archive])]
+    sheets.append((LAYOUT.updates_sheet, LAYOUT.updates_header_row, [list(UPDATE_HEADERS), *updates]))
+    rows = [("f", sheet, first + n, cells) for sheet, first, lines in sheets for n, cells in enumerate(lines)]
+    name, seen = counted(spark, F.col("file_name"))
+    schema = "file_name string, sheet string, physical_row bigint, cells array<string>"
+    found = parse_import(spark.createDataFrame(rows, schema).withColumn("file_name", name), LAYOUT)
+    assert (found.claims.count(), found.updates.count(), found.source_rows.count()) == (30, 20, 50)
+    assert seen.value == len(rows)
+
+
 def test_amount_parsing_does_not_repeat_the_cell(spark):
     assert str(accounting_number(F.col("the_cell"))).count("the_cell") <= 4
     cells = ["(5.00)", "$ 1,234.50", "12%", "1e5", "1e999", "(-1e999)", "abc", "NaN", "Infinity", "1d", "", " ( 7 ) ", "(", "()", None]
