@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -17,10 +17,10 @@ def one_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], kee
     """First or last row of each key in ``order``."""
     if keep not in ("first", "last"):
         raise ValueError("keep is 'first' or 'last'")
-    pick = F.max_by if keep == "last" else F.min_by
-    rest = [c for c in df.columns if c not in keys]
-    chosen = df.groupBy(*keys).agg(pick(F.struct(*rest), F.struct(*order)).alias("_row"))
-    return chosen.select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in df.columns])
+    # columns that no later step reads are not shuffled, and a task hands on one row per key at most
+    ranked = Window.partitionBy(*keys).orderBy(*[c.desc() if keep == "last" else c.asc() for c in order])
+    placed = df.withColumn("_nth_of_key", F.row_number().over(ranked)).where(F.col("_nth_of_key") == 1)
+    return placed.drop("_nth_of_key")
 
 
 def with_key(df: DataFrame, keys: Sequence[str]) -> DataFrame:

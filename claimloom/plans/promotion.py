@@ -20,7 +20,7 @@ from pyspark.sql.types import StructType
 from claimloom.functions.text import alias_key, natural_key, row_fingerprint, run_fingerprint
 from claimloom.operators.issues import all_issues
 from claimloom.operators.joins import lookup_claim
-from claimloom.operators.merge import insert_if_absent, upsert
+from claimloom.operators.merge import insert_if_absent, one_per_key, upsert
 from claimloom.plans.ingest import ParsedImport
 from claimloom.schema import (
     DERIVED_METRIC,
@@ -290,7 +290,10 @@ def batches(parsed: ParsedImport, job: ImportJob, layout: SheetLayout, claims_no
     yield Batch("person_aliases", alias_rows(people, "person_id", job), None, by_row)
 
     resolved = with_source_row(parsed.claims)
-    staged = resolved.select(
+    # the last row of an item id counts in every table keyed by it, so it is found before its amounts are unrolled
+    last = one_per_key(parsed.claims, ["item_id"], by_row)
+    resolved_last = with_source_row(last)
+    staged = resolved_last.select(
         job.job_id.alias("import_job_id"),
         F.col("item_id").alias("source_item_id"),
         "source_row_id",
@@ -301,15 +304,15 @@ def batches(parsed: ParsedImport, job: ImportJob, layout: SheetLayout, claims_no
         F.lit("promoted").alias("promotion_status"),
         "source_row",
     )
-    yield Batch("staged_claim_rows", staged, ("normalized_values",), by_row)
+    yield Batch("staged_claim_rows", staged, ("normalized_values",))
     # a known claim keeps its state, and its links where the new cell is blank
     fixed = {"claim_id", "source_system", "item_id", "service_type", "property_type", "lifecycle_state"}
     replaced = tuple(f.name for f in StructType.fromDDL(TABLES["claims"]) if f.name not in fixed)
-    yield Batch("claims", claim_rows(resolved, job), replaced, by_row, ("carrier_id", "assigned_staff_id"))
-    facts = fact_rows(parsed.claims, job, layout)
-    yield Batch("claim_financial_facts", facts, ("raw_value", "parsed_numeric_value", "source_availability_status"), by_row)
-    derived = derived_rows(parsed.claims, job)
-    yield Batch("claim_derived_metrics", derived, ("calculated_value", "reconciliation_status", "difference"), by_row)
+    yield Batch("claims", claim_rows(resolved_last, job), replaced, keep_if_missing=("carrier_id", "assigned_staff_id"))
+    facts = fact_rows(last, job, layout)
+    yield Batch("claim_financial_facts", facts, ("raw_value", "parsed_numeric_value", "source_availability_status"))
+    derived = derived_rows(last, job)
+    yield Batch("claim_derived_metrics", derived, ("calculated_value", "reconciliation_status", "difference"))
 
     def subitems(df: DataFrame, method: str, *extra: str) -> DataFrame:
         return with_source_row(df).select(

@@ -88,3 +88,10 @@ def test_values_of_a_column_do_not_meet_in_one_task(spark):
     assert named.count() == 50
 
 
+def test_one_per_key_leaves_unread_columns_alone(spark):
+    rows = spark.range(30).select((F.col("id") % 4).alias("k"), F.col("id").alias("at"), F.repeat(F.lit("x"), F.col("id").cast("int")).alias("wide"))
+    last = one_per_key(rows, ["k"], [F.col("at")])
+    assert "wide" not in last.select("k", "at")._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.k: (r.at, len(r.wide)) for r in last.collect()} == {0: (28, 28), 1: (29, 29), 2: (26, 26), 3: (27, 27)}
+    nothing = spark.createDataFrame([(1, None), (1, 5)], "k int, at int")
+    assert [one_per_key(nothing, ["k"], [F.col("at")], keep=e).first().at for e in ("first", "last")] == [None, 5]
