@@ -67,7 +67,7 @@ def trace(start: DataFrame, edges: DataFrame, most_steps: int | None = None, bac
     lineage higher than ``most_steps`` is an error, never cut.
     """
     near, far = ("child", "parent") if backward else ("parent", "child")
-    jumps = edges.select(F.col(near).alias("node"), F.col(far).alias("_next")).dropna().distinct()
+    jumps = kept(edges.select(F.col(near).alias("node"), F.col(far).alias("_next")).dropna().distinct(), "jumps")
     reached = kept(start.select("node").distinct().withColumn("steps", F.lit(0).cast("bigint")), "reached")
     known, length = reached.count(), 1
     while True:

@@ -49,6 +49,14 @@ def test_a_page_builds_its_rows_once(spark):
     assert seen.value == 400
 
 
+def test_lineage_reads_its_edges_once(spark):
+    child, seen = counted(spark, (F.col("id") + 1).cast("string"))
+    edges = spark.range(20).select(F.col("id").cast("string").alias("parent"), child.alias("child"))
+    found = governance.trace(spark.createDataFrame([("0",)], "node string"), edges)
+    assert {r.node: r.steps for r in found.collect()} == {str(i): i for i in range(21)}
+    assert seen.value <= 40  # dropna looks at the edge once more
+
+
 def test_an_import_builds_its_cells_once(spark):
     item, post = ARCHIVE_HEADERS.index("Item ID (auto generated)"), UPDATE_HEADERS.index("Post ID")
     archive = [[f"{k}" if c == item else None for c in range(len(ARCHIVE_HEADERS))] for k in range(30)]

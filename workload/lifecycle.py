@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from claimloom.functions.dates import quarter_label
 from claimloom.functions.envelope import coverage_percent, grade
 from claimloom.operators import governance, lifecycle, metrics, receivables
 from claimloom.operators.governance import QualityRule
@@ -361,9 +362,10 @@ def exclusion_reasons(spark: SparkSession, sf: str) -> DataFrame:
 
 def _edges(spark: SparkSession, sf: str) -> DataFrame:
     """Metric of a quarter <- claim <- source line."""
-    claims = views.claims(spark, sf)
-    metric = claims.select(
-        F.concat(F.lit("claim:"), "id").alias("parent"), F.concat(F.lit("metric:"), "source_quarter").alias("child")
+    # number and quarter of a claim stand in its order, so the joins of the claims are not needed
+    metric = table(spark, sf, "orders").select(
+        F.concat(F.lit("claim:"), text(F.col("o_orderkey"))).alias("parent"),
+        F.concat(F.lit("metric:"), quarter_label(F.to_date("o_orderdate"))).alias("child"),
     )
     lines = table(spark, sf, "lineitem").select(
         F.concat_ws("-", F.lit("line:"), "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").alias("parent"),
