@@ -1,5 +1,6 @@
 """Steps that must not build their input again, meet every bound, or shuffle what nobody reads."""
 
+import os
 import random
 
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from claimloom.operators import explorer, governance, profile
 from claimloom.operators.distributed import OrderKey, order_index
 from claimloom.operators.merge import one_per_key
 from claimloom.plans.ingest import parse_import
+from claimloom.sources.buckets import BucketTable
 from workload.views import ARCHIVE_HEADERS, LAYOUT, UPDATE_HEADERS
 
 
@@ -103,3 +105,12 @@ def test_one_per_key_leaves_unread_columns_alone(spark):
     assert {r.k: (r.at, len(r.wide)) for r in last.collect()} == {0: (28, 28), 1: (29, 29), 2: (26, 26), 3: (27, 27)}
     nothing = spark.createDataFrame([(1, None), (1, 5)], "k int, at int")
     assert [one_per_key(nothing, ["k"], [F.col("at")], keep=e).first().at for e in ("first", "last")] == [None, 5]
+
+
+def test_a_merge_leaves_no_batch_behind(spark, tmp_path):
+    table = BucketTable(spark, str(tmp_path / "t"), "id bigint, name string", ["id"], 4)
+    rows = spark.range(20).select("id", F.lit("a").alias("name"))
+    for replace in (None, None, ["name"]):
+        table.merge(rows, replace)
+    assert not os.listdir(tmp_path / "t" / "staged")
+    assert (table.version(), table.read().count()) == (1, 20)
