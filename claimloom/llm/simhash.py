@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator, Sequence
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -120,15 +121,27 @@ def tally(prints: np.ndarray, one: np.ndarray) -> np.ndarray:
     return (prints == one).sum(axis=1)
 
 
-def _forest(prints: np.ndarray, blocks: np.ndarray, own: bool, min_shared: int, max_bits: int) -> list[tuple[int, int]]:
+def least_shared(size: int, flip: float) -> int:
+    """How many of ``size`` positional bytes two prints share at least, all but once in ten million pairs, if a bit differs with ``flip``."""
+    equal = (1 - flip) ** 8
+    n, below = 0, (1 - equal) ** size
+    while below < 1e-7:
+        n += 1
+        below += comb(size, n) * equal**n * (1 - equal) ** (size - n)
+    return n
+
+
+def _forest(
+    prints: np.ndarray, blocks: np.ndarray, own: bool, min_shared: int, max_bits: int, group: np.ndarray | None = None
+) -> list[tuple[int, int]]:
     """Linked pairs of one posting list, only those that join something not yet joined.
 
     ``prints`` is (n, bytes). Shared positional bytes are counted for every pair,
     pairs below ``min_shared`` go, and the bits of the others are compared. With ``own`` false only pairs of different blocks
-    are compared, as another task compares the blocks themselves.
+    are compared, as another task compares the blocks themselves. Equal numbers in ``group`` are joined before.
     """
     n = len(prints)
-    group = np.arange(n)
+    group = np.arange(n) if group is None else np.unique(group, return_inverse=True)[1]
     out = []
     wide = prints.view(np.uint64)
     for i in range(n - 1):
@@ -168,15 +181,19 @@ def linked_lists(keys: DataFrame, prints: DataFrame, size: int, max_bits: int, m
     have two members or more. Each list is reduced to a spanning forest of its
     links, so a list of n similar fingerprints gives at most n - 1 edges and no
     connection is lost. Lists longer than ``POSTING`` are cut into blocks, and
-    pairs of blocks are compared by different tasks.
+    pairs of blocks are compared by different tasks. With a column ``root`` in
+    ``keys``, ids of one root are joined before: they are not compared, and a
+    list of one root is not read.
     """
-    lengths = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    joined = ["root"] if "root" in keys.columns else []
+    groups = [F.min(c) != F.max(c) for c in joined] or [F.count("*") > 1]
+    lengths = keys.groupBy("key").agg(F.count("*").alias("n"), groups[0].alias("_apart")).where("_apart").select("key", "n")
     live = keys.join(lengths, "key").withColumn("cut", F.ceil(F.col("n") / POSTING).cast("int"))
     block = F.pmod(F.xxhash64("id"), F.col("cut")).cast("int")
     placed = live.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cut") - 1)))
     lists = placed.join(prints, "id").groupBy(
         "key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")
-    ).agg(F.collect_list(F.struct("id", "print", "block")).alias("members"))
+    ).agg(F.collect_list(F.struct("id", "print", "block", *joined)).alias("members"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,6 +211,7 @@ def linked_lists(keys: DataFrame, prints: DataFrame, size: int, max_bits: int, m
                     row["low"] == row["high"],
                     min_shared,
                     max_bits,
+                    np.array([m["root"] for m in members]) if joined else None,
                 )
                 left += [members[i]["id"] for i, _ in found]
                 right += [members[j]["id"] for _, j in found]
@@ -230,6 +248,14 @@ def print_components(
     return labelled.join(least, "root").select("print", "component_id")
 
 
+def index_links(prints: DataFrame, max_bits: int = 4) -> DataFrame:
+    """Edges (u, v) that connect all ids of ``prints``, (id, print of 8 bytes), within ``max_bits``; ids with equal prints too."""
+    classes = stored(prints.groupBy("print").agg(F.min("id").alias("rep")), "index-prints")
+    alike = prints.join(classes, "print").where("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v"))
+    least = 8 - max_bits
+    return linked(classes.select(F.col("rep").alias("id"), "print"), 8, max_bits, least, covering_sets(8, least)).unionByName(alike)
+
+
 def near_classes(docs: DataFrame, width: int = 4, max_bits: int = 4) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row of ``docs``, over 64 bits and without loss.
 
@@ -384,21 +410,34 @@ def one_of_each(
     """``docs`` without near duplicates: of each component the document with the smallest id stays.
 
     Two documents are linked if their sets of distinct shingles have Jaccard
-    ``similarity`` or more. Every such pair shares one of its first shingles
-    (``prefix_keys``) and differs in fewer than a quarter of the fingerprint's
+    ``similarity`` or more. The byte-position index joins groups of what is
+    within four of the fingerprint's first 64 bits: triples of positional bytes
+    as keys, the count filter, the bits. Pairs further apart have no guaranteed
+    bytes to look up; of those, every pair shares one of its first shingles
+    (``prefix_keys``). Lists of such shingles that hold one group alone are
+    dropped; in the others, pairs of two groups pass the count filter over all
+    positional bytes (``least_shared``) and may differ in a quarter of the
     bits: at 0.8 and 1,024 bits a quarter is five standard deviations or more
-    above what is to be expected, even of sets of four and five shingles. Pairs
-    within that join groups, and inside each the sets themselves are compared. Rows that share an
+    above what is to be expected, even of sets of four and five shingles. Inside
+    each group the sets themselves are compared. Rows that share an
     id are one document. A row without id stays. Texts without words are equal.
     """
     size = 8 * words64
     cosine = 2 * similarity / (1 + similarity)
     # further apart than a quarter where lower similarities are asked for
-    max_bits = 2 * size + max(0, int(np.arccos(cosine) / np.pi * 8 * size) - int(0.15 * 8 * size))
+    flip = np.arccos(cosine) / np.pi
+    max_bits = 2 * size + max(0, int(flip * 8 * size) - int(0.15 * 8 * size))
+    # bits of the smallest sets differ up to a quarter more often
+    min_shared = least_shared(size, min(0.5, 1.25 * flip))
     sets = indexed_sets(docs, width, words64, similarity, doc_id, text)
     classes = stored(sets.groupBy("digest").agg(F.min("id").alias("id"), F.min("doc_id").alias("first")), "set-classes")
     distinct = sets.join(classes.select("id"), "id", "left_semi")
-    loose = components(linked_lists(distinct.select("id", F.explode("keys").alias("key")), distinct.select("id", "print"), size, max_bits))
+    near = components(index_links(distinct.select("id", F.substring("print", 1, 8).alias("print"))))
+    found = near.select(F.col("node").alias("id"), "root")
+    placed = distinct.join(found, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    keys = placed.select("id", "root", F.explode("keys").alias("key"))
+    further = linked_lists(keys, distinct.select("id", "print"), size, max_bits, min_shared)
+    loose = components(further.unionByName(found.select(F.col("id").alias("u"), F.col("root").alias("v"))))
     members = loose.withColumnRenamed("node", "id").join(sets.select("id", "content", "digest", "size"), "id")
     roots = components(verified(stored(members, "loose-groups"), docs, width, similarity, text))
     labelled = classes.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))

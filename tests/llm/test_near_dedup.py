@@ -60,3 +60,44 @@ def test_near_dedup_equals_exact_components(spark, monkeypatch):
     monkeypatch.setattr(simhash, "COMPARED", 7)
     kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string"))
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(root))
+
+
+def test_near_dedup_looks_up_positional_bytes_and_counts_them(spark, monkeypatch):
+    calls, lists = [], simhash.linked_lists
+
+    def watched(keys, prints, size, max_bits, min_shared=0):
+        edges = lists(keys, prints, size, max_bits, min_shared)
+        calls.append((dict(keys.dtypes)["key"], size, max_bits, min_shared, {frozenset(r) for r in edges.collect()}))
+        return edges
+
+    monkeypatch.setattr(simhash, "linked_lists", watched)
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(900)]
+    texts = [" ".join(words), " ".join([*words, "more"]), *text_pair(rng, 0.82, 300)[:2]]
+    kept = simhash.one_of_each(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 2]
+    index, rest = calls
+    assert index[:4] == ("binary", 8, 4, 4) and rest[:2] == ("bigint", 128) and rest[3] >= 4
+    # the pair that the index has joined is not looked up again; the one further apart is
+    assert len(rest[4]) == 1 and not index[4] & rest[4]
+
+
+def test_the_count_filter_of_wide_prints_loses_no_pair_at_the_similarity():
+    rng = random.Random(6)
+    flip = 1.25 * np.arccos(1.6 / 1.8) / np.pi
+    least = simhash.least_shared(128, flip)
+    prints = []
+    for _ in range(300):
+        left, right, similarity = text_pair(rng, rng.uniform(0.78, 0.86), rng.choice([5, 9, 30, 120, 500]))
+        a, b = (np.frombuffer(simhash.print_of(np.unique(simhash.shingle_hashes(t, 5)), 16), dtype=np.uint8) for t in (left, right))
+        prints.append(a)
+        assert similarity < 0.8 or simhash.tally(b[None], a)[0] >= least
+    strangers = [int(simhash.tally(b[None], a)[0]) for a, b in itertools.combinations(prints[:60], 2)]
+    assert sum(n >= least for n in strangers) < 0.01 * len(strangers)
+
+
+def test_ids_joined_before_are_not_compared_again(spark):
+    prints = spark.createDataFrame([(k, bytes(8)) for k in range(5)], "id bigint, print binary")
+    keys = spark.createDataFrame([(0, 0, 1), (1, 0, 1), (2, 0, 2), (3, 3, 2), (4, 3, 2)], "id bigint, root bigint, key bigint")
+    edges = [tuple(sorted(r)) for r in simhash.linked_lists(keys, prints, 8, 4, 4).collect()]
+    assert len(edges) == 1 and edges[0][0] == 2 and edges[0][1] in (3, 4)
