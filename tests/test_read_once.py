@@ -2,6 +2,7 @@
 
 import os
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -9,7 +10,9 @@ from claimloom.functions.numbers import accounting_number
 from claimloom.operators import explorer, governance, profile
 from claimloom.operators.distributed import OrderKey, order_index
 from claimloom.operators.merge import one_per_key
+from claimloom.plans import publish
 from claimloom.plans.ingest import parse_import
+from claimloom.session import shuffles_removed
 from claimloom.sources.buckets import BucketTable
 from workload.views import ARCHIVE_HEADERS, LAYOUT, UPDATE_HEADERS
 
@@ -114,3 +117,59 @@ def test_a_merge_leaves_no_batch_behind(spark, tmp_path):
         table.merge(rows, replace)
     assert not os.listdir(tmp_path / "t" / "staged")
     assert (table.version(), table.read().count()) == (1, 20)
+
+
+def unbroadcast(spark, frame):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        return frame._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def listed(spark):
+    claims = spark.createDataFrame(
+        [("c1", "1", "k1", "r1", "s1"), ("c2", "2", None, None, "s2"), ("c3", "3", "k9", "r1", "s3"), ("c4", "4", "k1", "r1", None)],
+        "claim_id string, item_id string, contractor_id string, carrier_id string, source_row_id string",
+    ).withColumns({c: F.lit("x") for c in ("display_name", "raw_status", "normalized_status")})
+    names = spark.createDataFrame([("k1", "Kate"), ("r1", "Rail"), (None, "Nobody")], "organization_id string, display_name string")
+    rows = spark.createDataFrame([("s1", 7), ("s2", 8), ("s2", 9), (None, 1)], "source_row_id string, physical_row bigint")
+    facts = spark.createDataFrame([("c1", 2), ("c1", 1), (None, 3)], "claim_id string, source_column bigint").withColumns(
+        {c: F.lit("f") for c in ("normalized_metric_name", "source_field_name", "parsed_numeric_value", "source_availability_status")}
+    )
+    derived = spark.createDataFrame([("c2", "m"), (None, "n")], "claim_id string, metric_name string").withColumns(
+        {c: F.lit("d") for c in ("metric_version", "calculated_value", "source_comparison_value", "reconciliation_status", "difference")}
+    )
+    return {"claims": claims, "organizations": names, "source_rows": rows, "claim_financial_facts": facts, "claim_derived_metrics": derived}
+
+
+def test_a_claim_list_shuffles_no_ids_that_nobody_reads(spark):
+    found = publish.published_claim_list(listed(spark))
+    assert [tuple(r[c] for c in ("claim_id", "contractor", "carrier", "source_row")) for r in found.collect()] == [
+        ("c1", "Kate", "Rail", 7), *(("c2", None, None, n) for n in sorted(r.source_row for r in found.collect() if r.claim_id == "c2"))
+    ]
+    assert sorted(r.source_row for r in found.collect()) == [7, 8, 9]
+    plan = unbroadcast(spark, found)
+    assert "hashpartitioning(_row" in plan
+    for name in ("source_row_id", "contractor_id", "carrier_id"):
+        assert f"hashpartitioning({name}" not in plan
+
+
+def test_shuffle_files_go_with_the_query_inside(spark):
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting, None)
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        return {b.toString() for b in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(manager.getAllBlocks()) if b.isShuffle()}
+
+    there = files()
+    with shuffles_removed(spark):
+        assert spark.range(1000).repartition(3).groupBy((F.col("id") % 7).alias("k")).count().where("count > 0").count() == 7
+    for _ in range(50):
+        if not files() - there:
+            break
+        time.sleep(0.1)
+    assert not files() - there
+    assert spark.conf.get(setting, None) == before
