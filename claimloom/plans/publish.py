@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.functions.numbers import percent_of
+from claimloom.functions.text import join_key
 from claimloom.operators.explorer import updates_in_order
 from claimloom.operators.filters import find_by_id, is_captured_fact
 from claimloom.operators.joins import claim_list
@@ -151,7 +152,7 @@ def claim_details(tables: dict[str, DataFrame]) -> DataFrame:
     ``claim_detail_updates``.
     """
     base = claim_list(tables["claims"], tables["organizations"], tables["source_rows"])
-    facts = tables["claim_financial_facts"].groupBy("claim_id").agg(
+    facts = tables["claim_financial_facts"].groupBy(join_key("claim_id").alias("_claim")).agg(
         F.array_sort(
             F.collect_list(
                 F.struct(
@@ -161,7 +162,7 @@ def claim_details(tables: dict[str, DataFrame]) -> DataFrame:
             )
         ).alias("financial_facts")
     )
-    derived = tables["claim_derived_metrics"].groupBy("claim_id").agg(
+    derived = tables["claim_derived_metrics"].groupBy(join_key("claim_id").alias("_claim")).agg(
         F.array_sort(
             F.collect_list(
                 F.struct(
@@ -171,7 +172,8 @@ def claim_details(tables: dict[str, DataFrame]) -> DataFrame:
             )
         ).alias("derived_metrics")
     )
-    return base.join(facts, "claim_id", "left").join(derived, "claim_id", "left")
+    keyed = base.withColumn("_claim", join_key("claim_id"))
+    return keyed.join(facts, "_claim", "left").join(derived, "_claim", "left").drop("_claim")
 
 
 def claim_detail(tables: dict[str, DataFrame], claim_id: str) -> DataFrame:

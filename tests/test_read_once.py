@@ -156,6 +156,15 @@ def test_a_claim_list_shuffles_no_ids_that_nobody_reads(spark):
         assert f"hashpartitioning({name}" not in plan
 
 
+def test_claim_details_meet_by_short_keys(spark):
+    found = publish.claim_details(listed(spark))
+    by = {(r.claim_id, r.source_row): r for r in found.collect()}
+    assert set(by) == {("c1", 7), ("c2", 8), ("c2", 9)}
+    assert [f.source_column for f in by["c1", 7].financial_facts] == [1, 2] and by["c1", 7].derived_metrics is None
+    assert by["c2", 8].financial_facts is None and [d.metric_name for d in by["c2", 9].derived_metrics] == ["m"]
+    assert "hashpartitioning(claim_id" not in unbroadcast(spark, found.select("item_id", "financial_facts", "derived_metrics"))
+
+
 def test_shuffle_files_go_with_the_query_inside(spark):
     setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(setting, None)
